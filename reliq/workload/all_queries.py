@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("history", "search")
+MODULES = ("history", "search", "logs")
 
 
 def load() -> None:
