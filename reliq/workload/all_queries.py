@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("history", "search", "logs")
+MODULES = ("history", "search", "logs", "evidence")
 
 
 def load() -> None:
