@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("history", "search", "logs", "evidence")
+MODULES = ("history", "search", "logs", "evidence", "incidents")
 
 
 def load() -> None:
