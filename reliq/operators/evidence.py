@@ -19,12 +19,18 @@ MAX_FINDINGS = 1000
 _CONTEXT = "_word"
 
 
-def _segments(docs: DataFrame, key: str, text: str, name: str, d: pii.Detector, pattern: str) -> DataFrame:
-    parts = pii.fenced(F.col(text), pattern, d.every_start, d.gate)
-    exploded = docs.select(F.col(key).alias("_key"), parts.alias("_p")).filter(F.size("_p") > 1).select(
-        "_key", F.lit(name).alias("type"), F.posexplode("_p").alias("_i", "_s"))
+def _segments(docs: DataFrame, key: str, text: str, detectors) -> DataFrame:
+    """Segment rows of all detectors from one pass over the documents."""
+    jobs = [(d.name, d, d.pattern) for d in detectors]
+    jobs += [(_CONTEXT, d, pii.PASSPORT_WORD) for d in detectors if d.name == "passport"]
+    parts = F.array(*[
+        F.struct(F.lit(name).alias("type"), F.lit(d.every_start).alias("every"), pii.fenced(F.col(text), p, d.every_start, d.gate).alias("p"))
+        for name, d, p in jobs
+    ])
+    hit = docs.select(F.col(key).alias("_key"), F.explode(F.filter(parts, lambda x: F.size(x["p"]) > 1)).alias("_x"))
+    exploded = hit.select("_key", "_x.type", "_x.every", F.posexplode("_x.p").alias("_i", "_s"))
     is_match = F.col("_i") % 2 == 1
-    counts = ~is_match | F.lit(not d.every_start)
+    counts = ~is_match | ~F.col("every")
     newlines = F.length("_s") - F.length(F.replace("_s", F.lit("\n"), F.lit("")))
     return exploded.select(
         "_key", "type", "_i",
@@ -44,12 +50,7 @@ def findings(docs: DataFrame, key: str = "path", text: str = "text", types=None,
     detectors = pii.check_detectors(detectors)
     chosen = require_detector_types(types, [d.name for d in detectors])
     picked = [d for d in detectors if chosen is None or d.name in chosen]
-    pieces = []
-    for d in picked:
-        pieces.append(_segments(docs, key, text, d.name, d, d.pattern))
-        if d.name == "passport":
-            pieces.append(_segments(docs, key, text, _CONTEXT, d, pii.PASSPORT_WORD))
-    rows = reduce(DataFrame.unionByName, pieces)
+    rows = _segments(docs, key, text, picked)
     so_far = Window.partitionBy("_key", "type").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         rows.repartition("_key")
@@ -115,18 +116,34 @@ def _claim(rows: DataFrame) -> DataFrame:
     return grouped.select("_key", F.explode(taken).alias("_s")).select("_key", "_s.*")
 
 
+def _splice(text, spans):
+    body = F.transform(spans, lambda s: F.concat(
+        F.substring(text, (s["from"] + 1).cast("int"), (s["start"] - s["from"]).cast("int")), s["preview"]))
+    rest = F.substring(text, (F.element_at(spans, -1)["end"] + 1).cast("int"), F.length(text))
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(body, ""), rest)).otherwise(text)
+
+
+def mask_columns(docs: DataFrame, key: str, columns: list[str], types=None) -> DataFrame:
+    """Replace every finding in the text columns by its preview; ``masked`` lists the columns that had any.
+
+    One findings pass covers all columns. ``docs`` is read twice: materialise it
+    first when it is expensive to compute.
+    """
+    field = F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).alias("t")) for c in columns])).alias("_x")
+    long = docs.select(key, field).select(F.struct(F.col(key).alias("k"), F.col("_x.f").alias("f")).alias("_id"), F.col("_x.t").alias("_t"))
+    found = findings(long, "_id", "_t", types)
+    last = Window.partitionBy("_id").orderBy("start")
+    spans = found.withColumn("from", F.coalesce(F.lag("end").over(last), F.lit(0))).groupBy("_id").agg(
+        F.sort_array(F.collect_list(F.struct("start", "from", "end", "preview"))).alias("_s"))
+    per_key = spans.groupBy(F.col("_id.k").alias(key)).agg(F.map_from_entries(F.collect_list(F.struct(F.col("_id.f").alias("f"), "_s"))).alias("_m"))
+    joined = docs.join(per_key, key, "left")
+    out = [_splice(F.col(c), F.coalesce(F.try_element_at("_m", F.lit(c)), F.array())).alias(c) if c in columns else F.col(c) for c in docs.columns]
+    return joined.select(*out, F.coalesce(F.map_keys("_m"), F.array().cast("array<string>")).alias("masked"))
+
+
 def mask_pii(docs: DataFrame, key: str, text: str = "text", types=None) -> DataFrame:
-    """Replace every finding in ``text`` by its masked preview; ``masked`` says whether any was there."""
-    found = findings(docs, key, text, types)
-    last = Window.partitionBy(key).orderBy("start")
-    spans = found.withColumn("_from", F.coalesce(F.lag("end").over(last), F.lit(0))).groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("start", "_from", "end", "preview"))).alias("_spans"))
-    body = F.transform("_spans", lambda s: F.concat(
-        F.substring(F.col(text), (s["_from"] + 1).cast("int"), (s["start"] - s["_from"]).cast("int")), s["preview"]))
-    rest = F.substring(F.col(text), (F.element_at("_spans", -1)["end"] + 1).cast("int"), F.length(text))
-    return docs.join(spans, key, "left").withColumn(
-        text, F.when(F.col("_spans").isNotNull(), F.concat(F.array_join(body, ""), rest)).otherwise(F.col(text))
-    ).withColumn("masked", F.col("_spans").isNotNull()).drop("_spans")
+    """``mask_columns`` for one column; ``masked`` says whether it had a finding."""
+    return mask_columns(docs, key, [text], types).withColumn("masked", F.size("masked") > 0)
 
 
 def scan_summary(docs: DataFrame, found: DataFrame, corpus: str, key: str = "path") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("history", "search", "logs", "evidence", "incidents")
+MODULES = ("history", "search", "logs", "evidence", "incidents", "stabilize")
 
 
 def load() -> None:
