@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +16,15 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def bind(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with ``value`` computed once, however often ``fn`` uses it.
+
+    A chain of steps that each use their input several times would otherwise
+    multiply the expression at every step.
+    """
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
 def clean(text: Column) -> Column:
     """Stripped text, null when nothing is left."""
     return F.nullif(strip(text), F.lit(""))

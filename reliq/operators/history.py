@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reliq import checks
 from reliq.functions import text as X
 from reliq.operators import search
-from reliq.operators.verdicts import FAILING
+from reliq.operators.verdicts import FAILING, asked_keys, offered_keys
 
 MAX_OFFENDERS = 50
 CASE_COLUMNS = ["case_id", "run_id", "classname", "name", "file_path", "status"]
@@ -18,22 +18,27 @@ def is_failing() -> Column:
     return F.col("status").isin(*FAILING)
 
 
-def exact_matches(ids: DataFrame, cases: DataFrame) -> DataFrame:
-    """Cases per ``test_id``: class or file plus name, or the bare name.
+def known_tests(ids: DataFrame, cases: DataFrame) -> DataFrame:
+    """``(test_id, name, classname, file_path)``: the distinct tests an id names exactly.
 
-    Equi-joins only. The file branch leaves out cases that the class branch
-    already has, so no distinct is needed.
+    Ids meet the distinct tests, not the cases: that table is reduced map-side and
+    stays small however many runs there are.
     """
-    left, right = X.id_parts(F.col("test_id"))
-    parts = ids.select("test_id").distinct().select("test_id", left.alias("_left"), right.alias("_right"))
-    scoped, bare = parts.filter(F.col("_left").isNotNull()), parts.filter(F.col("_left").isNull())
-    by_class = scoped.join(cases, (F.col("_right") == cases.name) & (F.col("_left") == cases.classname))
-    by_file = scoped.join(
-        cases, (F.col("_right") == cases.name) & (F.col("_left") == cases.file_path)
-    ).filter(~F.col("classname").eqNullSafe(F.col("_left")))
-    by_name = bare.join(cases, F.col("_right") == cases.name)
-    cols = ["test_id", *cases.columns]
-    return by_class.select(*cols).unionByName(by_file.select(*cols)).unionByName(by_name.select(*cols))
+    tests = cases.select("name", "classname", "file_path").distinct()
+    wanted = ids.select("test_id").distinct().select("test_id", F.explode(asked_keys(F.col("test_id"))).alias("_k"))
+    return wanted.join(tests.withColumn("_k", F.explode(offered_keys())), "_k").drop("_k")
+
+
+def cases_of(tests: DataFrame, cases: DataFrame) -> DataFrame:
+    """The cases of ``known_tests`` rows; null-safe equality is still an equi-join."""
+    t = tests.select("test_id", F.col("name").alias("_n"), F.col("classname").alias("_c"), F.col("file_path").alias("_f"))
+    same = (F.col("_n") == F.col("name")) & F.col("_c").eqNullSafe(F.col("classname")) & F.col("_f").eqNullSafe(F.col("file_path"))
+    return cases.join(t, same).select("test_id", *cases.columns)
+
+
+def exact_matches(ids: DataFrame, cases: DataFrame) -> DataFrame:
+    """Cases per ``test_id``: class or file plus name, or the bare name."""
+    return cases_of(known_tests(ids, cases), cases)
 
 
 def text_matches(ids: DataFrame, cases: DataFrame) -> DataFrame:
@@ -46,24 +51,21 @@ def text_matches(ids: DataFrame, cases: DataFrame) -> DataFrame:
 
 def matches(ids: DataFrame, cases: DataFrame) -> DataFrame:
     """Exact matches, and text matches for the ids that have none."""
-    exact = exact_matches(ids, cases)
-    missing = ids.select("test_id").distinct().join(exact.select("test_id").distinct(), "test_id", "left_anti")
-    return exact.unionByName(text_matches(missing, cases))
+    tests = known_tests(ids, cases)
+    missing = ids.select("test_id").distinct().join(tests.select("test_id").distinct(), "test_id", "left_anti")
+    return cases_of(tests, cases).unionByName(text_matches(missing, cases))
 
 
 def lookup_counts(matched: DataFrame) -> DataFrame:
     """Distinct runs, distinct failing runs, distinct tests per id.
 
-    Rows first collapse to one per (id, run, test), spread over all of these
+    Rows first collapse per (id, run) and per (id, test), spread over both
     columns, so one popular id does not load one task.
     """
-    pair = F.struct("classname", "name")
-    per_run = matched.groupBy("test_id", "run_id", "classname", "name").agg(F.max(is_failing()).alias("_bad"))
-    return per_run.groupBy("test_id").agg(
-        F.count_distinct("run_id").alias("total_runs"),
-        F.count_distinct(F.when(F.col("_bad"), F.col("run_id"))).alias("failure_count"),
-        F.count_distinct(pair).alias("matched_tests"),
-    )
+    per_run = matched.groupBy("test_id", "run_id").agg(F.max(is_failing()).alias("_bad"))
+    by_run = per_run.groupBy("test_id").agg(F.count("*").alias("total_runs"), F.count_if("_bad").alias("failure_count"))
+    per_test = matched.select("test_id", "classname", "name").distinct().groupBy("test_id").agg(F.count("*").alias("matched_tests"))
+    return by_run.join(per_test, "test_id").select("test_id", "total_runs", "failure_count", "matched_tests")
 
 
 def recent_failures(matched: DataFrame, runs: DataFrame, limit: int = checks.DEFAULT_LIMIT) -> DataFrame:
@@ -78,9 +80,11 @@ def recent_failures(matched: DataFrame, runs: DataFrame, limit: int = checks.DEF
 def failure_lookup(ids: DataFrame, cases: DataFrame, runs: DataFrame, limit: int = checks.DEFAULT_LIMIT,
                    max_trace_chars: int = 500) -> DataFrame:
     """Counts and the latest failures (an array of at most 50) for every id."""
-    matched = matches(ids, cases)
+    # Kept slim and computed once: counts need no texts, and only failing rows are ranked.
+    slim = search.materialize(matches(ids, cases).select("test_id", *CASE_COLUMNS), "matches")
+    texts = cases.filter(is_failing()).select("case_id", "run_id", "failure_type", "failure_message", "stack_trace")
     failures = (
-        recent_failures(matched, runs, limit)
+        recent_failures(slim, runs, limit).join(texts, ["case_id", "run_id"])
         .groupBy("test_id")
         .agg(
             F.sort_array(F.collect_list(F.struct(
@@ -93,7 +97,7 @@ def failure_lookup(ids: DataFrame, cases: DataFrame, runs: DataFrame, limit: int
     zero = F.lit(0)
     return (
         ids.select("test_id").distinct()
-        .join(lookup_counts(matched), "test_id", "left")
+        .join(lookup_counts(slim), "test_id", "left")
         .join(failures, "test_id", "left")
         .select(
             "test_id",

@@ -141,26 +141,36 @@ def list_verdicts(verdicts: DataFrame, statuses=None) -> DataFrame:
 def resolve_verdicts(ids: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Verdicts per ``test_id``: exact key, else class/file + name, else bare name.
 
-    Only the first kind of match that finds anything counts. Each kind is an
-    equi-join; the tiers are disjoint by construction.
+    Both sides list the keys they can meet on, each with its tier, and meet in one
+    equi-join; per id only the lowest tier that found anything counts.
     """
-    left, right = X.id_parts(F.col("test_id"))
-    wanted = ids.select("test_id").distinct()
-    exact = wanted.join(verdicts, wanted.test_id == verdicts.test_key)
-    rest = wanted.join(verdicts, wanted.test_id == verdicts.test_key, "left_anti")
-    parts = rest.select("test_id", left.alias("_left"), right.alias("_right"))
-    scoped = parts.filter(F.col("_left").isNotNull())
-    bare = parts.filter(F.col("_left").isNull())
-    by_class = scoped.join(verdicts, (F.col("_right") == verdicts.name) & (F.col("_left") == verdicts.classname))
-    by_file = scoped.join(
-        verdicts, (F.col("_right") == verdicts.name) & (F.col("_left") == verdicts.file_path)
-    ).filter(~F.col("classname").eqNullSafe(F.col("_left")))
-    by_name = bare.join(verdicts, F.col("_right") == verdicts.name)
-    cols = ["test_id", *verdicts.columns]
-    out = exact.select(*cols)
-    for part in (by_class, by_file, by_name):
-        out = out.unionByName(part.select(*cols))
-    return out
+    asked = ids.select("test_id").distinct()
+    wanted = asked.select("test_id", F.explode(asked_keys(F.col("test_id"), F.col("test_id"))).alias("_k"))
+    offered = verdicts.withColumn("_k", F.explode(offered_keys(F.col("test_key"))))
+    hits = wanted.join(offered, "_k").withColumn("_tier", F.col("_k.tier")).drop("_k")
+    best = hits.groupBy("test_id").agg(F.min("_tier").alias("_tier"))
+    return hits.join(best, ["test_id", "_tier"], "left_semi").drop("_tier")
+
+
+def _key(tier: int, *parts: Column) -> Column:
+    return F.struct(F.lit(tier).alias("tier"), F.concat_ws("\u0001", *parts).alias("key"))
+
+
+def asked_keys(test_id: Column, exact: Column | None = None) -> Column:
+    left, right = X.id_parts(test_id)
+    scoped = F.when(left.isNotNull(), _key(2, left, right)).otherwise(_key(3, right))
+    return F.array(scoped) if exact is None else F.array(_key(1, exact), scoped)
+
+
+def offered_keys(exact: Column | None = None) -> Column:
+    """Class + name, file + name (when not the same text) and bare name of a row, and its full key."""
+    cls, file, name = F.col("classname"), F.col("file_path"), F.col("name")
+    keys = [
+        F.when(cls.isNotNull(), _key(2, cls, name)),
+        F.when(file.isNotNull() & ~cls.eqNullSafe(file), _key(2, file, name)),
+        _key(3, name),
+    ]
+    return F.array_compact(F.array(*keys, *([] if exact is None else [_key(1, exact)])))
 
 
 def is_flaky(ids: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "reliq", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -41,3 +41,13 @@ def work_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="spark-")
     spark.conf.set("spark.checkpoint.dir", path)
     return path
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input that arrives in fewer partitions than there are cores.
+
+    For CPU-heavy work on a small or single-file input. A large input already has
+    more partitions than cores and passes through untouched, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -70,12 +70,12 @@ _SCRUB = ((secrets.PRIVATE_KEY, "<REDACTED>"), (secrets.URL_CREDENTIALS, "$1<RED
 
 @query("scrub_secrets", f"SELECT doc_id, {_sql_chain('text', _SCRUB)} AS text FROM documents")
 def _(t):
-    return t("documents").select("doc_id", secrets.scrub(F.col("text")).alias("text"))
+    return t.spread("documents").select("doc_id", secrets.scrub(F.col("text")).alias("text"))
 
 
 @query("redact_documents")
 def _(t):
-    d = t("documents").select("doc_id", redact.redact_text(F.col("text"), None).alias("safe"), "text")
+    d = t.spread("documents").select("doc_id", redact.redact_text(F.col("text"), None).alias("safe"), "text")
     return d.select("doc_id", "safe", (F.col("safe") != F.col("text")).alias("contains_pii"))
 
 
@@ -88,7 +88,7 @@ def _(t):
     text = F.col("text")
     for p, r in _PLAIN:
         text = F.regexp_replace(text, p, r)
-    return t("documents").select("doc_id", text.alias("text"))
+    return t.spread("documents").select("doc_id", text.alias("text"))
 
 
 @query("scrub_known_names", """SELECT conv_id, turn, CASE WHEN role = 'user' THEN regexp_replace(x, '\\bDana Scully\\b|\\bScully\\b|\\bDana\\b', '[redacted-name]', 'gi') ELSE x END AS note

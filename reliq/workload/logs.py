@@ -153,7 +153,7 @@ SELECT event_id, category, CASE WHEN category <> 'broken_test' OR regexp_matches
   CASE WHEN category <> 'broken_test' OR regexp_matches(x, 'expected') THEN 0.3 ELSE 0.1 END AS confidence FROM c""")
 def _(t):
     x = F.concat_ws(" ", F.col("user_id").cast("string"), F.expr(_PHRASE))
-    e = t("events").select("event_id", F.concat(F.lit("step"), F.lit(chr(10)), x, F.lit(chr(10)), F.lit("done")).alias("excerpt"))
+    e = t.spread("events").select("event_id", F.concat(F.lit("step"), F.lit(chr(10)), x, F.lit(chr(10)), F.lit("done")).alias("excerpt"))
     return triage.classify(e).select("event_id", "category", "evidence", "confidence")
 
 

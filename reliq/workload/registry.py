@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from reliq.session import spread
+
 
 @dataclass
 class Tables:
@@ -18,6 +20,10 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """The table over all cores even when it is one small file; for regex- or Python-heavy queries."""
+        return spread(self(name))
+
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

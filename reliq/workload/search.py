@@ -63,7 +63,7 @@ def _(t):
 SELECT doc_id, contains(h, ' the ') AND contains(h, ' of ') AS all_of, contains(h, ' token ') OR contains(h, ' ist ') AS any_of,
   NOT contains(h, ' the ') AS none_of, contains(h, ' is the ') AS phrase, contains(h, ' tok') AS prefix FROM x""")
 def _(t):
-    d = t("documents").withColumn("_t", search.term_text("text"))
+    d = t.spread("documents").withColumn("_t", search.term_text("text"))
     m = search.text_match
     c = F.col("_t")
     return d.select("doc_id", m(c, all_of=["the", "of"]).alias("all_of"), m(c, any_of=["token", "ist"]).alias("any_of"),
@@ -74,12 +74,12 @@ def _(t):
   SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+')) AS token FROM documents) GROUP BY ALL)
 GROUP BY token""")
 def _(t):
-    posted, _lens = search.postings(t("documents"), "text")
+    posted, _lens = search.postings(t.spread("documents"), "text")
     return posted.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("uses"))
 
 
 @query("index_gaps", """SELECT doc_id FROM labels WHERE doc_id NOT IN (
   SELECT doc_id FROM documents WHERE regexp_matches(text, '[\\p{L}\\p{N}]'))""")
 def _(t):
-    posted, _lens = search.postings(t("documents"), "text")
+    posted, _lens = search.postings(t.spread("documents"), "text")
     return search.index_gaps(t("labels").select("doc_id"), posted)

@@ -9,6 +9,7 @@ from reliq.functions import signatures as S
 from reliq.operators import recipes, stability, traces, triage
 from reliq.operators.search import materialize
 from reliq.plans import stabilize as plan
+from reliq.session import spread
 from reliq.sources import files, junit
 from reliq.workload import history as H
 from reliq.workload import views
@@ -36,7 +37,7 @@ def _(t):
 
 def _trace_lines(t):
     """Each event as the NDJSON lines a browser trace would hold."""
-    e = t("events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    e = t.spread("events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     call = F.concat(F.lit("c"), F.col("event_id").cast("string"))
     error = F.when(F.col("event_type") == "error", F.struct(
         F.when(F.col("k") % 3 == 0, "Error").otherwise("TimeoutError").alias("name"),
@@ -205,7 +206,7 @@ def _(t):
         F.when(F.col("case_id") % 101 == 7, F.lit("<!DOCTYPE x>")).otherwise(F.lit("")),
         F.lit('<testsuites><testsuite name="s" timestamp="2024-05-01T10:00:00Z"><testcase name="'), F.col("name"), F.lit('" classname="'),
         F.coalesce("classname", F.lit("")), F.lit('" time="'), F.col("duration_ms").cast("string"), F.lit('">'), child, F.lit("</testcase></testsuite></testsuites>"))
-    docs = c.select(F.col("case_id").cast("string").alias("path"), xml.cast("binary").alias("content")).withColumn(
+    docs = spread(c).select(F.col("case_id").cast("string").alias("path"), xml.cast("binary").alias("content")).withColumn(
         "length", F.octet_length("content").cast("bigint")).withColumn("modificationTime", F.lit(NOW).cast("timestamp"))
     rep = junit.Reports(materialize(junit.shred(docs), "junit"), F.lit(NOW), "b1")
     both = rep.cases.join(rep.runs.select("run_id", "source_file", "total", "failures"), "run_id")
@@ -222,7 +223,7 @@ def _(t):
 
 def _report_json(t):
     sev = F.element_at(F.array(*[F.lit(s) for s in (*stability.SEVERITIES, "urgent")]), (F.col("doc_id") % 6 + 1).cast("int"))
-    return t("documents").select(F.col("doc_id").alias("report_id"), F.to_json(F.struct(
+    return t.spread("documents").select(F.col("doc_id").alias("report_id"), F.to_json(F.struct(
         F.concat(F.lit("  Report\n "), F.col("source"), F.lit(" "), F.repeat(F.lit("x"), (F.col("doc_id") % 100).cast("int"))).alias("title"),
         F.substring("text", 1, 5000).alias("summary"), F.array(F.col("lang"), F.lit("mail a.b@example.com")).alias("reproduction_steps"), F.lit("works").alias("expected_behavior"),
         F.lit("call 123-45-6789").alias("actual_behavior"), sev.alias("severity"), F.lit("why").alias("severity_rationale"), F.array().cast("array<string>").alias("missing_evidence"))).alias("json"))

@@ -47,7 +47,7 @@ v_runs AS (
 
 
 def cases(t: Tables) -> DataFrame:
-    li = t("lineitem")
+    li = t.spread("lineitem")
     status = (
         F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"), "failed")
         .when((F.col("l_returnflag") == "R") & (F.col("l_quantity") < 10), "error")
@@ -102,7 +102,7 @@ def log_events(t: Tables) -> DataFrame:
         F.concat(F.lit("user="), _text(F.col("user_id"))),
         F.when(F.col("event_type") != "view", F.concat(F.lit("value="), _text(F.floor("value")))),
     )
-    return t("events").select(
+    return t.spread("events").select(
         F.concat(F.lit("log"), _text(F.col("user_id"))).alias("log_id"),
         F.concat(F.lit("p"), _text(F.col("user_id") % 5)).alias("project"),
         "ts", "event_id", line.alias("line"),
@@ -125,7 +125,7 @@ v_lines AS (
 
 
 def incidents(t: Tables) -> DataFrame:
-    d = t("documents")
+    d = t.spread("documents")
     updated = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")), "yyyy-MM-dd'T'00:00:00")
     return d.select(
         F.concat(F.lit("INC-"), _text(F.col("doc_id"))).alias("key"),
@@ -156,7 +156,7 @@ def search_queries(t: Tables) -> DataFrame:
 
 
 def evidence(t: Tables) -> DataFrame:
-    return t("documents").select(
+    return t.spread("documents").select(
         F.concat_ws("/", "source", _text(F.col("doc_id"))).alias("path"), "source", "doc_id", "text"
     )
 
