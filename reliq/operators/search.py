@@ -24,12 +24,14 @@ SEED_POSTINGS = 20_000
 LIKE_MAX_TOKENS = 16
 
 
-def term_text(*columns: str) -> Column:
-    """Folded terms of the columns as one text, single-spaced; a ``|`` keeps columns apart."""
-    def one(c: str) -> Column:
-        return F.trim(F.regexp_replace(X.fold(F.coalesce(F.col(c), F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+# A private-use character as a term of its own between columns, so that no phrase crosses them.
+_EDGE = "\ue000"
+
 
-    return F.concat(F.lit(" "), F.concat_ws(" | ", *[one(c) for c in columns]), F.lit(" "))
+def term_text(*columns: str) -> Column:
+    """Folded terms of the columns as one text, single-spaced with a space at both ends."""
+    joined = X.fold(F.concat_ws(f" {_EDGE} ", *[F.coalesce(F.col(c), F.lit("")) for c in columns]))
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(joined, rf"[^\p{{L}}\p{{N}}{_EDGE}]+", " ")), F.lit(" "))
 
 
 def text_match(terms: Column, all_of=(), any_of=(), none_of=(), phrase: str | None = None, prefix: str | None = None) -> Column:
@@ -68,7 +70,7 @@ def all_terms_join(queries: DataFrame, query_id: str, docs: DataFrame, terms: st
     Each query joins on its rarest term only and checks its phrases on the
     document row, so a term that is everywhere does not pair everything.
     """
-    tokens = F.filter(F.array_distinct(F.split(F.col(terms), r"[ |]+")), lambda x: x != "")
+    tokens = F.array_distinct(F.split(F.trim(F.col(terms)), " "))
     wanted = queries.filter(F.size("phrases") > 0).select(
         query_id, "phrases", F.explode(F.array_distinct(F.flatten(F.transform("phrases", lambda p: F.split(p, " "))))).alias("_token")
     )

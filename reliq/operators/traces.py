@@ -44,20 +44,40 @@ ATTRIBUTES = rf"\{{\s*+(?:{_STRING}\s*+:\s*+{_STRING}\s*+,?\s*+)*+\}}"
 
 
 def events(lines: DataFrame) -> DataFrame:
-    """Typed event columns; ``pos`` orders events inside a trace, ``.network`` entries after ``.trace`` ones."""
-    v = F.try_parse_json("line")
-    kind = F.schema_of_variant(v)
+    """Typed event columns, each line parsed once; ``pos`` orders events inside a trace.
+
+    ``.network`` entries come after ``.trace`` ones. Lines that are no JSON object are left out.
+    """
     pos = F.struct(F.endswith("entry", F.lit(".network")).alias("n"), F.col("entry").alias("e"), F.col("line_no").alias("l"))
+    parsed = lines.select("trace_id", pos.alias("pos"), F.try_parse_json("line").alias("_v"))
 
     def get(path: str, t: str = "string") -> Column:
         return F.try_variant_get("_v", path, t)
 
-    parsed = lines.withColumn("_v", v).filter(kind.startswith("OBJECT")).withColumn("pos", pos)
-    return parsed.select("trace_id", "pos", get("$.type").alias("type"), "_v")
+    def kind(path: str) -> Column:
+        return F.coalesce(F.schema_of_variant(F.try_variant_get("_v", path, "variant")), F.lit(""))
 
+    err = F.coalesce(get("$.error.error", "variant"), get("$.error", "variant"))
 
-def _get(path: str, t: str = "string") -> Column:
-    return F.try_variant_get("_v", path, t)
+    def of_error(field: str) -> Column:
+        return F.coalesce(get(f"$.error.error.{field}"), get(f"$.error.{field}"), F.lit(""))
+
+    type_ = get("$.type")
+    return parsed.filter(F.schema_of_variant("_v").startswith("OBJECT")).select(
+        "trace_id", "pos", type_.alias("type"), get("$.callId").alias("call_id"), get("$.class").alias("klass"),
+        F.coalesce(get("$.method"), F.lit("")).alias("method"), get("$.title").alias("title"), get("$.message").alias("message"),
+        get("$.version", "int").alias("version"),
+        F.when(kind("$.params.selector") == "STRING", get("$.params.selector")).alias("selector"),
+        F.when(kind("$.params.timeout").rlike("INT|DECIMAL|DOUBLE"), get("$.params.timeout")).alias("timeout_ms"),
+        F.when((type_ == "after") & F.coalesce(F.to_json(err), F.lit("{}")).rlike(r"^\{.+\}$"), F.struct(
+            strip(of_error("name")).alias("name"), of_error("message").alias("message"), of_error("stack").alias("stack"))).alias("error"),
+        F.coalesce(get("$.result.timedOut", "boolean"), F.lit(False)).alias("timed_out"),
+        F.when(type_ == "log", F.array(get("$.message"))).when(type_ == "after", get("$.result.log", "array<string>")).alias("log"),
+        F.when(type_ == "frame-snapshot", F.to_json(get("$.snapshot.html", "variant"))).alias("html"),
+        F.when((type_ == "resource-snapshot") & kind("$.snapshot").startswith("OBJECT"), F.struct(
+            F.coalesce(get("$.snapshot.request.url"), F.lit("")).alias("url"), F.coalesce(get("$.snapshot.request.method"), F.lit("GET")).alias("method"),
+            get("$.snapshot.response.status", "bigint").alias("status"), get("$.snapshot.time", "double").alias("time"))).alias("request"),
+    )
 
 
 def safe_text(text: Column) -> Column:
@@ -66,53 +86,38 @@ def safe_text(text: Column) -> Column:
 
 def actions(ev: DataFrame) -> DataFrame:
     """One row per (trace, call): the first ``before`` with the last error of its ``after`` events."""
-    title = F.regexp_extract(_get("$.title"), '"([^"]+)"', 1)
-    method = F.coalesce(_get("$.method"), F.lit(""))
-    api = F.when((method == "expect") & (title != ""), F.concat(F.lit("expect."), title)).otherwise(method)
-    selector = F.when(F.schema_of_variant(_get("$.params.selector", "variant")) == "STRING", _get("$.params.selector"))
-    timeout = F.when(F.schema_of_variant(_get("$.params.timeout", "variant")).rlike("INT|DECIMAL|DOUBLE"), _get("$.params.timeout"))
-    is_before = (F.col("type") == "before") & ~F.coalesce(_get("$.class").isin(*NON_ACTIONS), F.lit(False))
-    err = F.coalesce(_get("$.error.error", "variant"), _get("$.error", "variant"))
-    has_error = (F.col("type") == "after") & F.coalesce(F.to_json(err), F.lit("{}")).rlike(r"^\{.+\}$")
-
-    def of_error(field: str) -> Column:
-        return F.coalesce(_get(f"$.error.error.{field}"), _get(f"$.error.{field}"), F.lit(""))
-
-    message = of_error("message")
-    name = strip(of_error("name"))
-    timed_out = F.coalesce(_get("$.result.timedOut", "boolean"), F.lit(False))
-    found = [F.nullif(F.regexp_extract(F.substring_index(x, "\n", 1), ERROR_NAME, 1), F.lit("")) for x in (of_error("stack"), message)]
+    title = F.regexp_extract("title", '"([^"]+)"', 1)
+    api = F.when((F.col("method") == "expect") & (title != ""), F.concat(F.lit("expect."), title)).otherwise(F.col("method"))
+    is_before = (F.col("type") == "before") & ~F.coalesce(F.col("klass").isin(*NON_ACTIONS), F.lit(False))
+    rows = ev.filter(F.col("type").isin("before", "after") & (F.coalesce("call_id", F.lit("")) != "")).select(
+        "trace_id", "call_id",
+        F.when(is_before, F.struct("pos", api.alias("api_name"), "selector", "timeout_ms")).alias("_b"),
+        F.when(F.col("error").isNotNull(), F.struct("pos", "error", "timed_out")).alias("_a"),
+    )
+    per_call = rows.groupBy("trace_id", "call_id").agg(F.min("_b").alias("_b"), F.max("_a").alias("_a")).filter(F.col("_b").isNotNull())
+    name, message, late = F.col("_a.error.name"), F.col("_a.error.message"), F.col("_a.timed_out")
+    found = [F.nullif(F.regexp_extract(F.substring_index(x, "\n", 1), ERROR_NAME, 1), F.lit("")) for x in (F.col("_a.error.stack"), message)]
     resolved = F.when(~name.isin("", "Expect", "Error"), name).otherwise(
-        F.coalesce(*found, F.when(timed_out, F.lit("TimeoutError")), F.nullif(name, F.lit("")), F.lit("Error")))
+        F.coalesce(*found, F.when(late, F.lit("TimeoutError")), F.nullif(name, F.lit("")), F.lit("Error")))
     low = F.lower(message)
-    error = F.struct(
-        resolved.alias("error_name"), safe_text(message).alias("error_message"),
-        (timed_out | (F.contains(low, F.lit("timeout")) & F.contains(low, F.lit("exceeded")))).alias("timed_out"))
-    rows = ev.filter(F.col("type").isin("before", "after")).select(
-        "trace_id", "pos", _get("$.callId").alias("call_id"),
-        F.when(is_before, F.struct("pos", api.alias("api_name"), selector.alias("selector"), timeout.alias("timeout_ms"))).alias("_b"),
-        F.when(has_error, F.struct("pos", error.alias("e"))).alias("_a"),
-    ).filter(F.coalesce(F.col("call_id"), F.lit("")) != "")
-    per_call = rows.groupBy("trace_id", "call_id").agg(F.min("_b").alias("_b"), F.max("_a").alias("_a"))
-    return per_call.filter(F.col("_b").isNotNull()).select(
-        "trace_id", "call_id", "_b.*", "_a.e.*", F.col("_a").isNotNull().alias("failed"))
+    failed = F.col("_a").isNotNull()
+    return per_call.select(
+        "trace_id", "call_id", "_b.*", F.when(failed, resolved).alias("error_name"), F.when(failed, safe_text(message)).alias("error_message"),
+        F.when(failed, late | (F.contains(low, F.lit("timeout")) & F.contains(low, F.lit("exceeded")))).alias("timed_out"), failed.alias("failed"))
 
 
 def requests(ev: DataFrame) -> DataFrame:
-    duration = _get("$.snapshot.time", "double")
-    status = F.coalesce(_get("$.snapshot.response.status", "bigint"), F.lit(0))
-    return ev.filter((F.col("type") == "resource-snapshot") & F.schema_of_variant(_get("$.snapshot", "variant")).startswith("OBJECT")).select(
-        "trace_id", "pos", secrets.safe_url(F.coalesce(_get("$.snapshot.request.url"), F.lit(""))).alias("url"),
-        F.substring(F.coalesce(_get("$.snapshot.request.method"), F.lit("GET")), 1, 16).alias("method"),
-        F.nullif(status, F.lit(0)).alias("status"), duration.alias("duration_ms"),
-        (F.coalesce(duration < 0, F.lit(False)) | (status == 0)).alias("pending"))
+    r = ev.filter(F.col("request").isNotNull()).select("trace_id", "pos", "request.*")
+    return r.select(
+        "trace_id", "pos", secrets.safe_url(F.col("url")).alias("url"), F.substring("method", 1, 16).alias("method"),
+        F.nullif("status", F.lit(0)).alias("status"), F.col("time").alias("duration_ms"),
+        (F.coalesce(F.col("time") < 0, F.lit(False)) | (F.coalesce("status", F.lit(0)) == 0)).alias("pending"))
 
 
 def dom_ids(ev: DataFrame) -> DataFrame:
     """Elements of the snapshots with an id or test id: the first test id seen per (trace, id)."""
-    html = F.to_json(_get("$.snapshot.html", "variant"))
-    attrs = ev.filter(F.col("type") == "frame-snapshot").select(
-        "trace_id", "pos", F.posexplode(F.regexp_extract_all(html, F.lit(ATTRIBUTES), F.lit(0))).alias("i", "a"))
+    attrs = ev.filter(F.col("html").isNotNull()).select(
+        "trace_id", "pos", F.posexplode(F.regexp_extract_all("html", F.lit(ATTRIBUTES), F.lit(0))).alias("i", "a"))
     fields = attrs.select(
         "trace_id", F.struct("pos", "i").alias("at"), F.nullif(F.get_json_object("a", "$.id"), F.lit("")).alias("id"),
         F.nullif(F.get_json_object("a", "$['data-testid']"), F.lit("")).alias("testid"))
@@ -137,10 +142,8 @@ def target_testids(failing: DataFrame, dom: DataFrame) -> DataFrame:
 
 def call_logs(ev: DataFrame, failing: DataFrame) -> DataFrame:
     """The failing call's log lines, 200 at most, in order."""
-    lines = ev.filter(F.col("type").isin("log", "after")).withColumn("call_id", _get("$.callId")).join(
-        failing.select("trace_id", "call_id"), ["trace_id", "call_id"], "left_semi")
-    text = F.when(F.col("type") == "log", F.array(_get("$.message"))).otherwise(_get("$.result.log", "array<string>"))
-    rows = lines.select("trace_id", "pos", F.posexplode(text).alias("i", "line"))
+    lines = ev.filter(F.col("log").isNotNull()).join(failing.select("trace_id", "call_id"), ["trace_id", "call_id"], "left_semi")
+    rows = lines.select("trace_id", "pos", F.posexplode("log").alias("i", "line"))
     order = Window.partitionBy("trace_id").orderBy("pos", "i")
     kept = rows.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= MAX_CALL_LOG)
     return kept.groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct("_k", strip(safe_text(F.col("line"))).alias("t")))).alias("_l")).select(
@@ -149,15 +152,15 @@ def call_logs(ev: DataFrame, failing: DataFrame) -> DataFrame:
 
 def summarize(lines: DataFrame) -> DataFrame:
     """One row per trace that holds a recognisable event."""
-    ev = events(lines)
+    ev = materialize(events(lines), "trace-events")
     acts = actions(ev)
     reqs = requests(ev)
     failing = acts.filter("failed").groupBy("trace_id").agg(
         F.max_by(F.struct("call_id", "api_name", "selector", "timeout_ms", "error_name", "error_message", "timed_out"), "pos").alias("_f")
     ).select("trace_id", "_f.*")
     totals = acts.groupBy("trace_id").agg(F.count("*").alias("actions_total"))
-    version = _get("$.version", "int")
-    message = F.nullif(safe_text(_get("$.message")), F.lit(""))
+    version = F.col("version")
+    message = F.nullif(safe_text(F.col("message")), F.lit(""))
     general = ev.groupBy("trace_id").agg(
         F.max(F.when(F.col("type") == "context-options", version)).alias("trace_version"),
         F.min_by(F.when(F.col("type") == "error", message), F.when((F.col("type") == "error") & message.isNotNull(), F.col("pos"))).alias("test_error_message"))
