@@ -50,10 +50,16 @@ def text_matches(ids: DataFrame, cases: DataFrame) -> DataFrame:
 
 
 def matches(ids: DataFrame, cases: DataFrame) -> DataFrame:
-    """Exact matches, and text matches for the ids that have none."""
-    tests = known_tests(ids, cases)
-    missing = ids.select("test_id").distinct().join(tests.select("test_id").distinct(), "test_id", "left_anti")
-    return cases_of(tests, cases).unionByName(text_matches(missing, cases))
+    """Exact matches, and text matches for the ids that have none.
+
+    The resolved ids are small tables and used several times, so they are written
+    once; without unmatched ids the case texts are not read at all.
+    """
+    asked = search.materialize(ids.select("test_id").distinct(), "ids")
+    tests = search.materialize(known_tests(asked, cases), "known-tests")
+    exact = cases_of(tests, cases)
+    missing = search.materialize(asked.join(tests.select("test_id"), "test_id", "left_anti"), "unmatched-ids")
+    return exact if missing.isEmpty() else exact.unionByName(text_matches(missing, cases))
 
 
 def lookup_counts(matched: DataFrame) -> DataFrame:

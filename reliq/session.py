@@ -27,6 +27,9 @@ def local_session(app: str = "reliq", cores: int | str = "*", **conf: str) -> Sp
     return spark
 
 
+_LOCAL_WORK_DIR: list[str] = []
+
+
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
@@ -38,9 +41,9 @@ def work_dir(spark: SparkSession) -> str:
         return shared
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    path = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if not _LOCAL_WORK_DIR:
+        _LOCAL_WORK_DIR.append(tempfile.mkdtemp(prefix="spark-"))
+    return _LOCAL_WORK_DIR[0]
 
 
 def spread(df: DataFrame) -> DataFrame:
