@@ -10,6 +10,15 @@ from reliq.workload import views
 from reliq.workload.registry import query
 
 
+def _sql_chain(col, rules):
+    for p, r in rules:
+        flags = "gi" if p.startswith("(?i") else "g"
+        body = p.split(")", 1)[1] if p.startswith("(?") and p[2] in "iU" else p
+        body = body.replace("'", "''").replace(r"\z", "$")
+        col = f"regexp_replace({col}, '{body}', '{r.replace('$1', chr(92) + '1')}', '{flags}')"
+    return col
+
+
 @query("pii_findings")
 def _(t):
     return evidence.findings(views.evidence(t).select("path", "text")).drop("raw")
@@ -56,15 +65,6 @@ def _(t):
     return evidence.gate(named.select("ticket_id").distinct(), named, scans)
 
 
-def _sql_chain(col, rules):
-    for p, r in rules:
-        flags = "gi" if p.startswith("(?i") else "g"
-        body = p.split(")", 1)[1] if p.startswith("(?") and p[2] in "iU" else p
-        body = body.replace("'", "''").replace(r"\z", "$")
-        col = f"regexp_replace({col}, '{body}', '{r.replace('$1', chr(92) + '1')}', '{flags}')"
-    return col
-
-
 _SCRUB = ((secrets.PRIVATE_KEY, "<REDACTED>"), (secrets.URL_CREDENTIALS, "$1<REDACTED>@"), (secrets.TOKEN_SHAPES, "<REDACTED>"), (secrets.ASSIGNMENT, "$1<REDACTED>"))
 
 
@@ -73,10 +73,29 @@ def _(t):
     return t.spread("documents").select("doc_id", secrets.scrub(F.col("text")).alias("text"))
 
 
-@query("redact_documents")
+def re2_rules() -> list[tuple[str, str]]:
+    """The redaction rules as RE2 can run them: look-behind becomes a captured neighbour."""
+    out = []
+    for pattern, token in redact.RULES:
+        body = pattern.replace(r"[\w.%+\-]", r"[\p{L}\p{N}_.%+\-]").replace(r"[\w.\-]", r"[\p{L}\p{N}_.\-]")
+        if r"(?<![\w:.])" in body:
+            body = body.replace(r"(?<![\w:.])", r"(^|[^\p{L}\p{N}_:.])").replace(r"(?![\w:.])", r"($|[^\p{L}\p{N}_:.])")
+            token = r"\1" + token + r"\2"
+        elif r"(?<![\w.])" in body:
+            body = body.replace(r"(?<![\w.])", r"(^|[^\p{L}\p{N}_.])")
+            token = r"\1" + token
+        out.append((body, token))
+    return out
+
+
+def redact_sql(col: str) -> str:
+    return _sql_chain(col, re2_rules())
+
+
+@query("redact_documents", f"""SELECT doc_id, safe, safe <> text AS contains_pii, text FROM (SELECT doc_id, text, {redact_sql('text')} AS safe FROM documents)""")
 def _(t):
     d = t.spread("documents").select("doc_id", redact.redact_text(F.col("text"), None).alias("safe"), "text")
-    return d.select("doc_id", "safe", (F.col("safe") != F.col("text")).alias("contains_pii"))
+    return d.select("doc_id", "safe", "text", (F.col("safe") != F.col("text")).alias("contains_pii"))
 
 
 # The rules without look-around, as RE2 can run them; \\w is spelled out for Unicode.
@@ -102,3 +121,50 @@ def _(t):
 @query("neutralize_turns", """SELECT conv_id, turn, regexp_replace(role || ': ' || text, '^([ \\t]*)(system|assistant|user|developer|human|ai|tool)([ \\t]*):', '\\1\\2\\3 -', 'gim') AS text FROM conversations""")
 def _(t):
     return t("conversations").select("conv_id", "turn", redact.neutralize(F.concat_ws(": ", "role", "text")).alias("text"))
+
+
+_GREEDY = """
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM m),
+g AS (SELECT doc_id, 0 AS k, 0 AS reach, false AS take FROM (SELECT DISTINCT doc_id FROM n)
+  UNION ALL SELECT g.doc_id, n.k, CASE WHEN n.i >= reach THEN n.i + n.l ELSE reach END, n.i >= reach FROM g JOIN n ON n.doc_id = g.doc_id AND n.k = g.k + 1)
+SELECT n.doc_id, n.i - 1 AS start, n.i - 1 + n.l AS "end", {preview} AS preview FROM n JOIN g USING (doc_id, k) WHERE g.take {where}"""
+
+
+def _spans_sql(gate: str, first: str, before: str, lengths: str, shape: str, after: str, valid: str, preview: str, where: str = "") -> str:
+    """Every position that can start a match, its longest match there, then left to right without overlap."""
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, text, string_split(text, '') AS ch FROM documents WHERE regexp_matches(text, '{gate}')),
+p AS (SELECT doc_id, text, i FROM (SELECT doc_id, text, ch, unnest(range(1, len(ch) + 1)) AS i FROM d)
+  WHERE regexp_matches(ch[i], '{first}') AND (i = 1 OR NOT regexp_matches(ch[i - 1], '{before}'))),
+s AS (SELECT doc_id, i, substring(text, i, 40) AS x FROM p),
+c AS (SELECT doc_id, i, x, unnest({lengths}) AS l FROM s),
+m AS (SELECT doc_id, i, max(l) AS l, left(any_value(x), max(l)) AS raw FROM c
+  WHERE l <= length(x) AND regexp_full_match(left(x, l), '{shape}') AND (length(x) = l OR NOT regexp_matches(substring(x, l + 1, 1), '{after}')) GROUP BY ALL HAVING {valid}),
+""".replace("GROUP BY ALL", "GROUP BY doc_id, i") + _GREEDY.format(preview=preview, where=where)
+
+
+_DIGITS = "regexp_replace(raw, '[^0-9]', '', 'g')"
+_LUHN = ("list_sum(list_transform(range(0, length({d})), lambda j: CASE WHEN j % 2 = 0 THEN CAST(substring({d}, length({d}) - j, 1) AS INTEGER) "
+         "ELSE (2 * CAST(substring({d}, length({d}) - j, 1) AS INTEGER)) // 10 + (2 * CAST(substring({d}, length({d}) - j, 1) AS INTEGER)) % 10 END)) % 10 = 0").format(d=_DIGITS)
+
+
+def _positions(t, kind):
+    return evidence.findings(views.evidence(t), "doc_id", types=[kind]).select("doc_id", "start", "end", "preview")
+
+
+@query("pii_cards", _spans_sql(
+    r"([0-9][ -]?){12}[0-9]", "[0-9]", "[0-9]", "range(13, 38)", r"([0-9][ -]?){12,18}[0-9]", "[0-9]", _LUHN,
+    f"repeat('*', length({_DIGITS}) - 4) || right({_DIGITS}, 4)"))
+def _(t):
+    return _positions(t, "credit_card")
+
+
+_PHONE_OK = (f"AND NOT regexp_matches(raw, '^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}-[0-9]{{2}}-[0-9]{{4}})') AND replace({_DIGITS}, left({_DIGITS}, 1), '') <> '' AND "
+             f"CASE WHEN raw LIKE '+%' THEN length({_DIGITS}) BETWEEN 8 AND 15 ELSE length({_DIGITS}) BETWEEN 9 AND 11 AND length({_DIGITS}) <> length(raw) END")
+
+
+@query("pii_phones", _spans_sql(
+    r"[0-9][0-9 ()\-]{6}", r"[0-9+]", r"[\p{L}\p{N}_+]", "range(8, 22)", r"\+?[0-9][0-9 ()\-]{6,17}[0-9]", r"[\p{L}\p{N}_:]", "true",
+    """array_to_string(list_transform(range(1, length(raw) + 1), lambda j: CASE WHEN regexp_matches(substring(raw, j, 1), '[0-9]')
+      AND length(regexp_replace(substring(raw, j + 1), '[^0-9]', '', 'g')) >= 4 THEN '*' ELSE substring(raw, j, 1) END), '')""", _PHONE_OK))
+def _(t):
+    return _positions(t, "phone")

@@ -13,6 +13,7 @@ from reliq.session import spread
 from reliq.sources import files, junit
 from reliq.workload import history as H
 from reliq.workload import views
+from reliq.workload.evidence import redact_sql
 from reliq.workload.registry import query
 from reliq.workload.views import BURNIN, CASES, NOW, RUNS
 
@@ -240,7 +241,13 @@ def _(t):
     return stability.normalize_reports(_report_json(t))[1]
 
 
-@query("ticket_rows")
+_BODY = """left(text, 4000) || chr(10) || chr(10) || 'Reproduction steps:' || chr(10) || '1. ' || lang || chr(10) || '2. mail a.b@example.com' || chr(10) ||
+ 'Expected: works' || chr(10) || 'Actual: call 123-45-6789' || chr(10) || 'Severity: ' || ['critical', 'high', 'medium', 'low', 'unknown'][doc_id % 6 + 1] || chr(10) || 'Severity rationale: why'"""
+
+
+@query("ticket_rows", f"""SELECT doc_id AS report_id, CASE WHEN length(t) > 80 THEN rtrim(left(t, 79)) || '…' ELSE t END AS title, {redact_sql(_BODY)} AS body,
+ ['critical', 'high', 'medium', 'low', 'unknown'][doc_id % 6 + 1] AS severity, false AS egress_masked
+ FROM (SELECT *, trim('Report ' || source || ' ' || repeat('x', doc_id % 100)) AS t FROM documents) WHERE doc_id % 6 < 5""")
 def _(t):
     return stability.ticket_rows(stability.normalize_reports(_report_json(t))[0])
 
