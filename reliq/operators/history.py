@@ -147,10 +147,12 @@ def module_failure_history(cases: DataFrame, runs: DataFrame, paths: DataFrame,
     starts with: prefixes join on their text up to the last slash of the file.
     """
     groups = module_groups(cases, runs, None, since, min_failures)
-    # Every prefix of a file path is a candidate key, so the match is an equi-join.
-    probe = groups.withColumn(
-        "path", F.explode(F.transform(F.sequence(F.lit(1), F.length("file_path")), lambda i: F.substring("file_path", F.lit(1), i)))
-    )
+    # A file meets a prefix by its own first n characters, for the lengths that were asked for
+    # (at most 500 different ones), so the match is an equi-join.
+    lengths = paths.agg(F.collect_set(F.length("path")).alias("_lengths"))
+    fitting = F.filter("_lengths", lambda n: n <= F.length("file_path"))
+    probe = groups.join(F.broadcast(lengths)).withColumn(
+        "path", F.explode(F.transform(fitting, lambda n: F.substring("file_path", F.lit(1), n)))).drop("_lengths")
     hit = probe.join(paths.select("path").distinct(), "path")
     totals = hit.groupBy("path").agg(F.count("*").alias("tests_with_failures"))
     order = Window.partitionBy("path").orderBy(

