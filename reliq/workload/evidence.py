@@ -166,7 +166,7 @@ def _(t):
 
 
 @query("pii_summary", f"""WITH {_ALL}, n AS (SELECT doc_id, count(*) AS n FROM found GROUP BY doc_id)
-SELECT source, count(*) AS scanned_files, 0 AS skipped_files, COALESCE(sum(n), 0) AS findings, COALESCE(sum(n), 0) = 0 AS clean, true AS complete
+SELECT source, count(*) AS scanned_files, 0 AS skipped_files, CAST(COALESCE(sum(n), 0) AS BIGINT) AS findings, COALESCE(sum(n), 0) = 0 AS clean, true AS complete
 FROM documents LEFT JOIN n USING (doc_id) GROUP BY source""")
 def _(t):
     docs = views.evidence(t).withColumn("skip_reason", F.lit(None).cast("string")).withColumn("truncated", F.lit(False))

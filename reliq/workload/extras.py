@@ -46,7 +46,7 @@ def _(t):
     return views.log_lines(t).select("log_id", "line_no", F.array_join(F.sort_array(S.fuzzy_tokens(S.normalize_failure(F.col("line")))), " ").alias("words"))
 
 
-@query("log_statistics", f"""WITH {LOG_LINES} SELECT log_id, count(*) AS original_lines, sum(strlen(line)) + count(*) - 1 AS original_bytes, count(*) FILTER (WHERE contains(line, 'ERROR')) AS hit_count
+@query("log_statistics", f"""WITH {LOG_LINES} SELECT log_id, count(*) AS original_lines, CAST(sum(strlen(line)) + count(*) - 1 AS BIGINT) AS original_bytes, count(*) FILTER (WHERE contains(line, 'ERROR')) AS hit_count
 FROM v_lines GROUP BY log_id""")
 def _(t):
     li = views.log_lines(t)
@@ -73,7 +73,7 @@ def _(t):
 
 @query("overlap_scores", """WITH a AS (SELECT doc_id, list_distinct(list_filter(list_transform(regexp_extract_all(left(text, 200), '[\\p{L}\\p{N}_]+'), lambda x: lower(x)), lambda x: length(x) > 2)) AS q,
   list_distinct(list_transform(regexp_extract_all(text[201:600], '[\\p{L}\\p{N}_]+'), lambda x: lower(x))) AS d FROM documents)
-SELECT doc_id, CASE WHEN len(q) = 0 THEN 0 ELSE round(len(list_intersect(q, d)) / len(q), 6) END AS score FROM a""")
+SELECT doc_id, CASE WHEN len(q) = 0 THEN 0::DOUBLE ELSE round(len(list_intersect(q, d)) / len(q), 6) END AS score FROM a""")
 def _(t):
     q = X.long_word_set(F.substring("text", 1, 200))
     d = X.long_word_set(F.substring("text", 201, 400))

@@ -20,7 +20,7 @@ def _excerpt_sql(before=8, after=12, chars=12000, cap=200) -> str:
     return f"""
 {LOG_LINES},
 h AS (SELECT *, {_HIT} AS hit FROM v_lines),
-st AS (SELECT log_id, any_value(project) AS project, count(*) AS original_lines, sum(strlen(line)) + count(*) - 1 AS original_bytes,
+st AS (SELECT log_id, any_value(project) AS project, count(*) AS original_lines, CAST(sum(strlen(line)) + count(*) - 1 AS BIGINT) AS original_bytes,
   count(*) FILTER (WHERE hit) AS hit_count FROM h GROUP BY log_id),
 k AS (SELECT *, max(hit) OVER (PARTITION BY log_id ORDER BY line_no ROWS BETWEEN {after} PRECEDING AND {before} FOLLOWING) AS keep FROM h),
 kp AS (SELECT *, lag(line_no) OVER w AS pn, lag(line) OVER w AS pl FROM k WHERE keep WINDOW w AS (PARTITION BY log_id ORDER BY line_no)),
@@ -109,7 +109,7 @@ _CTX, _CAP = 1, 600
 BLOCKS = f"""
 {LOG_LINES},
 bh AS (SELECT *, regexp_matches(line, '\\bFAIL(ED|URE)?\\b|\\b[A-Z][A-Za-z]+Error\\b|\\bError\\b|\\b[1-9]\\d* failed\\b') AS hit FROM v_lines),
-bs AS (SELECT log_id, count(*) AS n, sum(strlen(line)) + count(*) - 1 AS bytes_raw, count(*) FILTER (WHERE hit) AS anchor_count FROM bh GROUP BY log_id),
+bs AS (SELECT log_id, count(*) AS n, CAST(sum(strlen(line)) + count(*) - 1 AS BIGINT) AS bytes_raw, count(*) FILTER (WHERE hit) AS anchor_count FROM bh GROUP BY log_id),
 bk AS (SELECT *, max(hit) OVER (PARTITION BY log_id ORDER BY line_no ROWS BETWEEN {_CTX} PRECEDING AND {_CTX} FOLLOWING) AS keep FROM bh),
 bp AS (SELECT *, CASE WHEN coalesce(lag(line_no) OVER w, -9) <> line_no - 1 THEN line_no END AS s0 FROM bk WHERE keep WINDOW w AS (PARTITION BY log_id ORDER BY line_no)),
 bb AS (SELECT *, max(s0) OVER (PARTITION BY log_id ORDER BY line_no) AS s FROM bp),
@@ -150,7 +150,7 @@ _PHRASE = """CASE event_id % 11 WHEN 0 THEN 'flaky run' WHEN 1 THEN 'request tim
 @query("failure_categories", f"""WITH s AS (SELECT event_id, user_id || ' ' || {_PHRASE} AS x FROM events),
 c AS (SELECT event_id, x, {RULES} AS category FROM s)
 SELECT event_id, category, CASE WHEN category <> 'broken_test' OR regexp_matches(x, 'expected') THEN x END AS evidence,
-  CASE WHEN category <> 'broken_test' OR regexp_matches(x, 'expected') THEN 0.3 ELSE 0.1 END AS confidence FROM c""")
+  CASE WHEN category <> 'broken_test' OR regexp_matches(x, 'expected') THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END AS confidence FROM c""")
 def _(t):
     x = F.concat_ws(" ", F.col("user_id").cast("string"), F.expr(_PHRASE))
     e = t.spread("events").select("event_id", F.concat(F.lit("step"), F.lit(chr(10)), x, F.lit(chr(10)), F.lit("done")).alias("excerpt"))

@@ -70,7 +70,7 @@ def _(t):
                     m(c, none_of=["the"]).alias("none_of"), m(c, phrase="is the").alias("phrase"), m(c, prefix="tok").alias("prefix"))
 
 
-@query("document_frequency", """SELECT token, count(*) AS df, sum(tf) AS uses FROM (
+@query("document_frequency", """SELECT token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS uses FROM (
   SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+')) AS token FROM documents) GROUP BY ALL)
 GROUP BY token""")
 def _(t):

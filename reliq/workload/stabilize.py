@@ -93,7 +93,7 @@ def _(t):
 @query("trace_diagnosis", f"""WITH {_TRACE_SQL}, c AS (SELECT *, CASE
   WHEN timed_out AND testid_on_target IS NOT NULL THEN 'fragile_selector' WHEN timed_out AND pending_requests > 0 THEN 'race_condition'
   WHEN timed_out THEN 'timeout' WHEN error_name IS NOT NULL AND contains(failing_action, 'expect') THEN 'data' ELSE 'unknown' END AS cause FROM v_traces)
-SELECT trace_id, cause, CASE cause WHEN 'fragile_selector' THEN 0.85 WHEN 'race_condition' THEN 0.8 WHEN 'timeout' THEN 0.75 WHEN 'data' THEN 0.5 ELSE 0.3 END AS confidence,
+SELECT trace_id, cause, CAST(CASE cause WHEN 'fragile_selector' THEN 0.85 WHEN 'race_condition' THEN 0.8 WHEN 'timeout' THEN 0.75 WHEN 'data' THEN 0.5 ELSE 0.3 END AS DOUBLE) AS confidence,
  CASE cause WHEN 'timeout' THEN 'timeout' WHEN 'data' THEN 'data' WHEN 'unknown' THEN 'broken_test' ELSE 'flaky' END AS triage_label,
  CASE cause WHEN 'timeout' THEN 'bump_timeout' WHEN 'fragile_selector' THEN 'testid_selector' WHEN 'race_condition' THEN 'await_state' END AS recommended_strategy FROM c""")
 def _(t):
