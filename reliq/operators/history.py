@@ -164,7 +164,8 @@ def module_failure_history(cases: DataFrame, runs: DataFrame, paths: DataFrame,
 def store_status(runs: DataFrame, cases: DataFrame) -> DataFrame:
     by_run = runs.agg(F.count("*").alias("runs"), F.min("effective_ts").alias("earliest"), F.max("effective_ts").alias("latest"))
     by_case = cases.agg(F.count("*").alias("cases"))
-    return by_run.withColumn("_k", F.lit(1)).join(by_case.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    both = by_run.unionByName(by_case, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in ("runs", "earliest", "latest", "cases")])
 
 
 def split_old_runs(runs: DataFrame, cutoff) -> tuple[DataFrame, DataFrame]:

@@ -68,7 +68,8 @@ def _(t):
 @query("incident_status_counts", f"""WITH {INCIDENTS} SELECT (SELECT count(*) FROM v_incidents) AS incidents, (SELECT count(*) FROM labels) AS links, max(updated) AS watermark FROM v_incidents""")
 def _(t):
     n = views.incidents(t).agg(F.count("*").alias("incidents"), F.max("updated").alias("watermark"))
-    return n.join(F.broadcast(t("labels").agg(F.count("*").alias("links"))))
+    both = n.unionByName(t("labels").agg(F.count("*").alias("links")), allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in ("incidents", "links", "watermark")])
 
 
 @query("overlap_scores", """WITH a AS (SELECT doc_id, list_distinct(list_filter(list_transform(regexp_extract_all(left(text, 200), '[\\p{L}\\p{N}_]+'), lambda x: lower(x)), lambda x: length(x) > 2)) AS q,
