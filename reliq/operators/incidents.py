@@ -119,7 +119,7 @@ def newest_update(rows: DataFrame) -> DataFrame:
     return rows.agg(F.max(F.nullif("updated", F.lit(""))).alias("newest"))
 
 
-def redact_rows(rows: DataFrame, fields: tuple[str, ...], max_chars: int | None = redact.MAX_CHARS) -> DataFrame:
+def redact_rows(rows: DataFrame, fields: tuple[str, ...], max_chars: int | None = None) -> DataFrame:
     """Only ``fields``, redacted; names come from the row's person columns even when these are not shown."""
     people = [F.col(c) for c in redact.NAME_FIELDS if c in rows.columns]
     named = rows.withColumn("_names", redact.known_names(people)) if people else rows.withColumn("_names", F.array().cast("array<string>"))

@@ -145,7 +145,7 @@ def ticket_text(reports: DataFrame) -> Column:
         F.when(F.size("missing_evidence") > 0, F.concat(F.lit("Missing evidence: "), F.array_join("missing_evidence", "; "))))
 
 
-def ticket_rows(reports: DataFrame, key: str = "report_id", max_chars: int | None = redact.MAX_CHARS) -> DataFrame:
+def ticket_rows(reports: DataFrame, key: str = "report_id", max_chars: int | None = None) -> DataFrame:
     """Rows ready to file: redacted, then masked once more; ``egress_masked`` when that second pass found anything."""
     drafted = materialize(reports.select(
         key, redact.redact_text(F.col("title"), max_chars).alias("title"), redact.redact_text(ticket_text(reports), max_chars).alias("body"), "severity"), "tickets")

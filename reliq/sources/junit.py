@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reliq.functions import text as X
@@ -258,7 +258,9 @@ def synthetic_runs(cases: DataFrame, ingested_at, suite_name: str = "burn-in") -
         "run_id", F.lit(suite_name).alias("suite_name"), F.lit(ingested_at).cast("timestamp_ntz").alias("ingested_at"), "run_timestamp",
         F.col("run_timestamp").alias("effective_ts"), "total", "failures", "errors", "skipped",
         F.concat(F.lit(f"synthetic://{suite_name}/"), F.col("run_key").cast("string")).alias("source_file"))
-    out = stamped.select(
-        F.xxhash64("run_id", "name", "classname", "file_path").alias("case_id"), "run_id", "classname", "name", "file_path", "line_number",
+    # Repeated results of one test in one run are told apart by their order.
+    same = Window.partitionBy("run_id", "name", "classname", "file_path").orderBy("status", "duration_ms", "failure_message", "failure_type", "stack_trace", "line_number")
+    out = stamped.withColumn("_nth", F.row_number().over(same)).select(
+        F.xxhash64("run_id", "name", "classname", "file_path", "_nth").alias("case_id"), "run_id", "classname", "name", "file_path", "line_number",
         "status", "duration_ms", "failure_message", "failure_type", "stack_trace")
     return runs, out

@@ -72,12 +72,13 @@ def _(t):
     return both.agg(*[F.max(c).alias(c) for c in ("incidents", "links", "watermark")])
 
 
-@query("overlap_scores", """WITH a AS (SELECT doc_id, list_distinct(list_filter(list_transform(regexp_extract_all(left(text, 200), '[\\p{L}\\p{N}_]+'), lambda x: lower(x)), lambda x: length(x) > 2)) AS q,
-  list_distinct(list_transform(regexp_extract_all(text[201:600], '[\\p{L}\\p{N}_]+'), lambda x: lower(x))) AS d FROM documents)
+@query("overlap_scores", """WITH a AS (SELECT doc_id, list_distinct(list_filter(list_transform(regexp_extract_all(left(text, length(text) // 2), '[\\p{L}\\p{N}_]+'), lambda x: lower(x)), lambda x: length(x) > 2)) AS q,
+  list_distinct(list_transform(regexp_extract_all(substring(text, length(text) // 2 + 1), '[\\p{L}\\p{N}_]+'), lambda x: lower(x))) AS d FROM documents)
 SELECT doc_id, CASE WHEN len(q) = 0 THEN 0::DOUBLE ELSE round(len(list_intersect(q, d)) / len(q), 6) END AS score FROM a""")
 def _(t):
-    q = X.long_word_set(F.substring("text", 1, 200))
-    d = X.long_word_set(F.substring("text", 201, 400))
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    q = X.long_word_set(F.substring("text", F.lit(1), half))
+    d = X.long_word_set(F.substring("text", half + 1, F.char_length("text")))
     return t.spread("documents").select("doc_id", F.round(X.overlap_ratio(q, d), 6).alias("score"))
 
 

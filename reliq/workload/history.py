@@ -105,9 +105,9 @@ def _(t):
 
 @query("worst_first_listing", VERDICTS + """
 SELECT test_key, status, fails, runs, row_number() OVER (ORDER BY fails DESC, runs DESC, test_key) AS pos
-FROM v_verdicts WHERE status IN ('flaky','consistently_failing') QUALIFY pos <= 50""")
+FROM v_verdicts WHERE status IN ('flaky','consistently_failing')""")
 def _(t):
-    bad = verdicts.list_verdicts(scanned(t), [verdicts.FLAKY, verdicts.CONSISTENTLY_FAILING]).limit(50)
+    bad = verdicts.list_verdicts(scanned(t), [verdicts.FLAKY, verdicts.CONSISTENTLY_FAILING])
     from pyspark.sql import Window
     pos = F.row_number().over(Window.orderBy(F.desc("fails"), F.desc("runs"), "test_key"))
     return bad.select("test_key", "status", "fails", "runs", pos.alias("pos"))
