@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from reliq.checks import require_detector_types
 from reliq.functions import pii
 
-MAX_FINDINGS = 1000
 _CONTEXT = "_word"
 
 
@@ -72,7 +71,9 @@ def findings(docs: DataFrame, key: str = "path", text: str = "text", types=None,
 
 def _near_passport_word(rows: DataFrame) -> DataFrame:
     """Passport tokens stay only within 30 characters after a passport word."""
-    before = Window.partitionBy("_key").orderBy("start", "type").rowsBetween(Window.unboundedPreceding, -1)
+    # A word counts from its end, a token from its start: the last word that ends before the token decides.
+    is_word = F.col("type") == _CONTEXT
+    before = Window.partitionBy("_key").orderBy(F.when(is_word, F.col("end")).otherwise(F.col("start")), ~is_word).rowsBetween(Window.unboundedPreceding, -1)
     seen = F.max(F.when(F.col("type") == _CONTEXT, F.col("end"))).over(before)
     near = rows.withColumn("_seen", seen)
     good = (F.col("type") != "passport") | F.coalesce(
@@ -167,7 +168,7 @@ def findings_by_type(docs: DataFrame, found: DataFrame, corpus: str, key: str =
     return found.join(docs.select(key, corpus), key).groupBy(corpus, "type").agg(F.count("*").alias("n"))
 
 
-def top_findings(found: DataFrame, limit: int = MAX_FINDINGS) -> DataFrame:
+def top_findings(found: DataFrame, limit: int) -> DataFrame:
     """The report's first findings in (path, position) order."""
     return found.drop("raw").orderBy("path", "start").limit(limit)
 

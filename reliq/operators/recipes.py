@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reliq.functions import signatures as S
 
 COUNTERS = ("hits", "successes", "failures")
+# What a diagnosis says about its own making.
+VOLATILE_KEYS = ("diagnosis_stage", "llm_used", "llm_error")
 
 
 def with_parts(df: DataFrame, error_class: str, failing_action: str, selector: str, message: str, framework: str = "playwright") -> DataFrame:
@@ -25,6 +27,27 @@ def with_parts(df: DataFrame, error_class: str, failing_action: str, selector: s
     )
 
 
+def stable_diagnosis(diagnosis_json: Column) -> Column:
+    """The diagnosis object without the keys that differ from run to run; other text stays as it is."""
+    fields = F.try_parse_json(diagnosis_json)
+    is_object = F.coalesce(F.schema_of_variant(fields).startswith("OBJECT"), F.lit(False))
+    kept = F.map_filter(F.when(is_object, fields).cast("map<string,variant>"), lambda k, _: ~k.isin(*VOLATILE_KEYS))
+    return F.when(is_object, F.to_json(kept)).otherwise(diagnosis_json)
+
+
+def backfill_relaxed_keys(recipes: DataFrame) -> DataFrame:
+    """Recipes of an older store: a missing relaxed key is built from the signature parts kept with the diagnosis.
+
+    Rows without parts keep no key and match exactly only.
+    """
+    stored = F.try_parse_json("diagnosis_json")
+    has_parts = F.coalesce(F.try_variant_get(stored, "$.diagnosis", "variant").isNotNull()
+                           & F.schema_of_variant(F.try_variant_get(stored, "$.signature_parts", "variant")).startswith("OBJECT<"), F.lit(False))
+    parts = {k: F.coalesce(F.try_variant_get(stored, f"$.signature_parts.{k}", "string"), F.lit("")) for k in S.PART_KEYS}
+    known = F.col("relaxed_key") if "relaxed_key" in recipes.columns else F.lit(None).cast("string")
+    return recipes.withColumn("relaxed_key", F.coalesce(known, F.when(has_parts, S.relaxed_key(parts))))
+
+
 def upsert(stored: DataFrame | None, incoming: DataFrame) -> DataFrame:
     """Recipes after a batch ``(signature, relaxed_key, strategy, patch_ops_json, diagnosis_json, created_ts, degenerate)``.
 
@@ -32,7 +55,8 @@ def upsert(stored: DataFrame | None, incoming: DataFrame) -> DataFrame:
     body: a new strategy or patch starts from zero.
     """
     body = ["relaxed_key", "strategy", "patch_ops_json", "diagnosis_json"]
-    batch = incoming.filter(~F.col("degenerate")).groupBy("signature").agg(
+    kept = incoming.filter(~F.col("degenerate")).withColumn("diagnosis_json", stable_diagnosis(F.col("diagnosis_json")))
+    batch = kept.groupBy("signature").agg(
         F.max(F.struct("created_ts", *body)).alias("n"), F.min("created_ts").alias("first_ts"))
     zero = F.lit(0).cast("bigint")
     if stored is None:

@@ -21,7 +21,6 @@ from reliq.session import run_dir
 # The published BM25 constants and the floor for terms in over half of the documents.
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
 SEED_POSTINGS = 20_000
-LIKE_MAX_TOKENS = 16
 
 
 # A private-use character as a term of its own between columns, so that no phrase crosses them.
@@ -189,7 +188,7 @@ def search_contains(docs: DataFrame, text: str, columns: list[str], limit: int =
     """One query without an index: rank by how many of its words occur anywhere, then newest."""
     import re
 
-    words = [w.lower() for w in re.findall(r"\w+", text or "")][:LIKE_MAX_TOKENS]
+    words = [w.lower() for w in re.findall(r"\w+", text or "")]
     haystack = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in columns]))
     score = sum((F.contains(F.col("_hay"), F.lit(w)).cast("int") for w in words), F.lit(0))
     hits = docs.withColumn("_hay", haystack).withColumn("score", score).filter(F.col("score") > 0).drop("_hay")

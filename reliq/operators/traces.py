@@ -18,7 +18,7 @@ from reliq.operators.search import materialize
 
 # Bounds, bookkeeping classes, diagnosis patterns, confidences and labels.
 NON_ACTIONS = ("Test", "Tracing", "LocalUtils")
-MAX_CALL_LOG, BRIEF_CALL_LOG, MAX_TEXT, BRIEF_ERROR = 200, 20, 4000, 500
+BRIEF_CALL_LOG, BRIEF_ERROR = 20, 500
 ERROR_NAME = r"(?U)\b([A-Z][a-zA-Z]*Error)\b"
 ENVIRONMENT = (
     r"(?i)(ECONNREFUSED|ENOTFOUND|EHOSTUNREACH|EAI_AGAIN|ERR_CONNECTION_REFUSED|ERR_NAME_NOT_RESOLVED|ERR_INTERNET_DISCONNECTED)"
@@ -38,9 +38,10 @@ LABELS = {
     "data": "data", "infra": "infra", "unknown": "broken_test",
 }
 STRATEGIES = {"timeout": "bump_timeout", "fragile_selector": "testid_selector", "race_condition": "await_state"}
-# A flat object of string values inside JSON: an element's attributes.
+# A flat object inside JSON: an element's attributes.
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
-ATTRIBUTES = rf"\{{\s*+(?:{_STRING}\s*+:\s*+{_STRING}\s*+,?\s*+)*+\}}"
+_PLAIN = r"[-+.0-9a-zA-Z]++"
+ATTRIBUTES = rf"\{{\s*+(?:{_STRING}\s*+:\s*+(?:{_STRING}|{_PLAIN})\s*+,?\s*+)*+\}}"
 
 
 def events(lines: DataFrame) -> DataFrame:
@@ -81,7 +82,7 @@ def events(lines: DataFrame) -> DataFrame:
 
 
 def safe_text(text: Column) -> Column:
-    return secrets.scrub(F.substring(L.strip_ansi(F.coalesce(text, F.lit(""))), 1, MAX_TEXT))
+    return secrets.scrub(L.strip_ansi(F.coalesce(text, F.lit(""))))
 
 
 def actions(ev: DataFrame) -> DataFrame:
@@ -141,13 +142,29 @@ def target_testids(failing: DataFrame, dom: DataFrame) -> DataFrame:
 
 
 def call_logs(ev: DataFrame, failing: DataFrame) -> DataFrame:
-    """The failing call's log lines, 200 at most, in order."""
+    """``(trace_id, k, text)``: the failing call's log lines in order."""
     lines = ev.filter(F.col("log").isNotNull()).join(failing.select("trace_id", "call_id"), ["trace_id", "call_id"], "left_semi")
     rows = lines.select("trace_id", "pos", F.posexplode("log").alias("i", "line"))
     order = Window.partitionBy("trace_id").orderBy("pos", "i")
-    kept = rows.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= MAX_CALL_LOG)
-    return kept.groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct("_k", strip(safe_text(F.col("line"))).alias("t")))).alias("_l")).select(
-        "trace_id", F.transform("_l", lambda x: x["t"]).alias("call_log"))
+    return rows.select("trace_id", F.row_number().over(order).alias("k"), strip(safe_text(F.col("line"))).alias("text"))
+
+
+MASKED = ("selector", "error_message", "test_error_message", "testid_on_target", "pending_urls")
+
+
+def mask_summaries(rows: DataFrame, logs: DataFrame) -> DataFrame:
+    """The summaries with personal data masked in every text column, and the masked call log added."""
+    fields = F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.lit(0).alias("k"), F.col(c).alias("text")) for c in MASKED]))
+    texts = rows.select("trace_id", fields.alias("x")).select("trace_id", "x.*").unionByName(logs.withColumn("what", F.lit("call_log"))).filter("text <> ''")
+    keyed = materialize(texts.withColumn("_place", F.concat_ws("\0", "trace_id", "what", "k")), "trace-texts")
+    masked = evidence.mask_columns(keyed, "_place", ["text"]).groupBy("trace_id").agg(
+        *[F.max(F.when(F.col("what") == c, F.col("text"))).alias(f"_{c}") for c in MASKED],
+        F.sort_array(F.collect_list(F.when(F.col("what") == "call_log", F.struct("k", "text")))).alias("_log"))
+    joined = rows.join(masked, "trace_id", "left")
+    for c in MASKED:
+        joined = joined.withColumn(c, F.coalesce(f"_{c}", c))
+    log = F.coalesce(F.transform("_log", lambda x: x["text"]), F.array().cast("array<string>"))
+    return joined.withColumn("call_log", log).select(*rows.columns, "call_log")
 
 
 def summarize(lines: DataFrame) -> DataFrame:
@@ -169,29 +186,27 @@ def summarize(lines: DataFrame) -> DataFrame:
     shown = waiting.withColumn("_k", F.row_number().over(first)).filter("_k <= 3").groupBy("trace_id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_k", "url"))), lambda x: x["url"]), ", ").alias("pending_urls"))
     pending = waiting.groupBy("trace_id").agg(F.count("*").alias("pending_requests")).join(shown, "trace_id")
-    return (
+    logs = materialize(call_logs(ev, failing), "call-logs")
+    resolved = logs.groupBy("trace_id").agg(F.max(F.contains("text", F.lit("resolved to"))).alias("selector_resolved"))
+    found = (
         general.join(totals, "trace_id", "left").join(failing, "trace_id", "left")
-        .join(call_logs(ev, failing), "trace_id", "left").join(pending, "trace_id", "left")
+        .join(resolved, "trace_id", "left").join(pending, "trace_id", "left")
         .join(target_testids(failing, dom_ids(ev)).withColumnRenamed("testid", "testid_on_target"), "trace_id", "left")
         .filter(F.col("actions_total").isNotNull() | F.col("trace_version").isNotNull())
         .select(
             "trace_id", F.lit("playwright").alias("framework"), "trace_version", F.col("api_name").alias("failing_action"), "selector", "timeout_ms",
             "error_name", "error_message", "test_error_message", F.coalesce("timed_out", F.lit(False)).alias("timed_out"),
-            F.coalesce(F.exists("call_log", lambda x: F.contains(x, F.lit("resolved to"))), F.lit(False)).alias("selector_resolved"),
-            F.coalesce("call_log", F.array().cast("array<string>")).alias("call_log"),
+            F.coalesce("selector_resolved", F.lit(False)).alias("selector_resolved"),
             F.coalesce("pending_requests", F.lit(0)).alias("pending_requests"), F.coalesce("pending_urls", F.lit("")).alias("pending_urls"),
             "testid_on_target", F.coalesce("actions_total", F.lit(0)).alias("actions_total"))
     )
+    return mask_summaries(materialize(found, "trace-summaries"), logs)
 
 
 def brief(summaries: DataFrame) -> DataFrame:
-    """The view that may leave: scrubbed, masked, error text and call log cut."""
-    cut = summaries.withColumn("error_message", F.substring(F.coalesce("error_message", F.lit("")), 1, BRIEF_ERROR)).withColumn(
+    """The view that may leave: scrubbed and masked already, error text and call log cut."""
+    return summaries.withColumn("error_message", F.substring(F.coalesce("error_message", F.lit("")), 1, BRIEF_ERROR)).withColumn(
         "call_log", F.slice("call_log", F.greatest(F.lit(1), F.size("call_log") - BRIEF_CALL_LOG + 1), BRIEF_CALL_LOG))
-    columns = ["selector", "testid_on_target", "error_message"]
-    for c in columns:
-        cut = cut.withColumn(c, safe_text(F.col(c)))
-    return evidence.mask_columns(materialize(cut, "brief"), "trace_id", columns).drop("masked")
 
 
 def _quoted(text: Column) -> Column:

@@ -17,7 +17,6 @@ SAMPLE_CHARS = 4000
 RETENTION_DAYS = 180
 MAX_PER_PROJECT = 500
 FUZZY_POOL = 10
-MAX_EVIDENCE_LINES = 10
 
 
 def sign(excerpts: DataFrame) -> DataFrame:
@@ -85,14 +84,14 @@ def record_patterns(stored: DataFrame | None, observed: DataFrame) -> DataFrame:
     )
 
 
-def prune_patterns(patterns: DataFrame, now, retention_days: int = RETENTION_DAYS, max_per_project: int = MAX_PER_PROJECT) -> DataFrame:
-    """Drop old patterns, then all but the most recently seen of each project."""
+def prune_patterns(patterns: DataFrame, now, retention_days: int = RETENTION_DAYS, max_per_project: int | None = MAX_PER_PROJECT) -> DataFrame:
+    """Drop old patterns, then all but the most recently seen of each project (none with ``None``)."""
     cutoff = require_iso(now, "now") - timedelta(days=retention_days)
+    recent = patterns.filter(F.col("last_seen") >= F.lit(cutoff))
+    if max_per_project is None:
+        return recent
     newest = Window.partitionBy("project").orderBy(F.desc("last_seen"), "signature")
-    return (
-        patterns.filter(F.col("last_seen") >= F.lit(cutoff))
-        .withColumn("_k", F.row_number().over(newest)).filter(F.col("_k") <= max_per_project).drop("_k")
-    )
+    return recent.withColumn("_k", F.row_number().over(newest)).filter(F.col("_k") <= max_per_project).drop("_k")
 
 
 def prior_patterns(signed: DataFrame, patterns: DataFrame) -> DataFrame:

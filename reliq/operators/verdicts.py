@@ -19,6 +19,11 @@ def fail_statuses(include_errors: bool) -> tuple[str, ...]:
     return FAILING if include_errors else (FAILED,)
 
 
+def _recent(rows: DataFrame, cutoff) -> DataFrame:
+    """Only partitions that can hold rows of the window, where rows carry their run's day."""
+    return rows.filter(F.col("run_date") >= F.lit(cutoff).cast("date")) if "run_date" in rows.columns else rows
+
+
 def surviving_runs(runs: DataFrame, cutoff) -> DataFrame:
     """One run per (source_file, effective time): the last ingested, then the highest id.
 
@@ -26,7 +31,7 @@ def surviving_runs(runs: DataFrame, cutoff) -> DataFrame:
     source that holds a third of all runs is never sorted in one task.
     """
     return (
-        runs.filter(F.col("effective_ts") >= F.lit(cutoff))
+        _recent(runs, cutoff).filter(F.col("effective_ts") >= F.lit(cutoff))
         .groupBy("source_file", "effective_ts")
         .agg(F.max(F.struct("ingested_at", "run_id")).alias("_last"))
         .select(F.col("_last.run_id").alias("run_id"), "effective_ts")
@@ -35,7 +40,7 @@ def surviving_runs(runs: DataFrame, cutoff) -> DataFrame:
 
 def windowed_cases(cases: DataFrame, runs: DataFrame, cutoff) -> DataFrame:
     """Non-skipped cases of the surviving runs, with the run's effective time."""
-    kept = cases.filter(F.col("status") != SKIPPED).select(
+    kept = _recent(cases, cutoff).filter(F.col("status") != SKIPPED).select(
         "case_id", "run_id", "classname", "name", "file_path", "status"
     )
     return kept.join(surviving_runs(runs, cutoff), "run_id")

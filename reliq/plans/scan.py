@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +28,7 @@ def run_scan(store: Store, now: datetime, window_days: int = 14, min_fails: int
     # Written once as a candidate; the summary and the diff read it back.
     candidate = f"scan_{now:%Y%m%dT%H%M%S}"
     store.append("scan_candidates", stamped, candidate)
-    result = store.spark.read.schema(stamped.schema).parquet(f"{store.root}/scan_candidates/b_{candidate}")
+    result = store.spark.read.schema(stamped.schema).parquet(f"{store.root}/scan_candidates/b={candidate}")
     summary = verdicts.scan_summary(result).head()
     audit = store.spark.createDataFrame(
         [(now, window_days, min_fails, include_errors, SCHEMA_VERSION, summary["tests_examined"], summary["flaky_found"])],
@@ -46,5 +48,15 @@ def export_json(verdict_table: DataFrame, path: str) -> None:
     verdict_table.write.mode("overwrite").json(path)
 
 
+def export_document(verdict_table: DataFrame, changes: DataFrame | None, meta: dict, path: str) -> None:
+    """The whole scan in one folder of JSON lines: ``{"scan": …}`` first, then one line per change and per verdict."""
+    spark = verdict_table.sparkSession
+    lines = [spark.createDataFrame([(json.dumps({"scan": meta}, default=str),)], "value string")]
+    if changes is not None:
+        lines.append(changes.select(F.to_json(F.struct(F.struct("test_key", "change").alias("changes"))).alias("value")))
+    lines.append(verdict_table.select(F.to_json(F.struct(F.struct("*").alias("verdicts"))).alias("value")))
+    reduce(DataFrame.unionByName, lines).write.mode("overwrite").text(path)
+
+
 def recent_scans(store: Store, n: int = 50) -> DataFrame:
     return store.read("scan_runs").orderBy(F.desc("ran_at")).limit(n)

@@ -9,10 +9,16 @@ from reliq.functions import loglines as L
 from reliq.operators import history, incidents, stability, verdicts
 
 
+def join_known(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """Left join on a key that many rows lack: those are set aside, so that nulls do not meet in one task."""
+    known = rows.filter(F.col(key).isNotNull()).join(facts, key, "left")
+    return known.unionByName(rows.filter(F.col(key).isNull()), allowMissingColumns=True)
+
+
 def incident_context(failures: DataFrame, triaged: DataFrame, stored: DataFrame, limit: int = 3) -> DataFrame:
     """Related incidents per failure, sought by the log's signal line, else by the test id."""
     signal = triaged.select("log_id", F.nullif(L.top_signal_line(F.col("excerpt")), F.lit("")).alias("_s"))
-    asked = failures.join(signal, "log_id", "left").select(
+    asked = join_known(failures, signal, "log_id").select(
         F.col("failure_id").alias("query_id"), F.coalesce("_s", "test_id").alias("text")).filter(F.col("text").isNotNull())
     return incidents.related_lines(asked, stored, limit).select(F.col("query_id").alias("failure_id"), F.col("lines").alias("incident_lines"))
 
@@ -40,11 +46,13 @@ def stabilize(failures: DataFrame, cases: DataFrame, runs: DataFrame, verdict_ta
         history.recent_failures(history.exact_matches(ids, cases), runs, 1).select("test_id", F.col("effective_ts").alias("last_failure_at"))
     )
     category = triaged.select("log_id", F.col("category").alias("triage_category"), "classification_method", "confidence", "evidence")
-    joined = failures.join(flaky, "test_id", "left").join(past, "test_id", "left").join(last, "test_id", "left").join(category, "log_id", "left")
+    joined = failures
+    for facts, key in ((flaky, "test_id"), (past, "test_id"), (last, "test_id"), (category, "log_id")):
+        joined = join_known(joined, facts, key)
     routed = stability.route(joined.withColumn("category", F.col("triage_category")), heal_categories)
     if burnin is not None:
         green = stability.stability_report(burnin, "test_id").select("test_id", "all_green", "passed")
-        routed = routed.join(green, "test_id", "left")
+        routed = join_known(routed, green, "test_id")
     if gates is not None:
         routed = routed.join(gates.select(F.col("ticket_id").alias("failure_id"), F.col("ok").alias("gate_ok")), "failure_id", "left")
     if reports is not None:

@@ -17,8 +17,13 @@ def signed_excerpts(lines: DataFrame, **bounds) -> DataFrame:
     return triage.sign(excerpts.join(projects, "log_id"))
 
 
-def triage_logs(lines: DataFrame, patterns: DataFrame | None, now, categories=T.CATEGORIES, classifier=None, **bounds) -> tuple[DataFrame, DataFrame]:
-    """(results per log, pattern table after learning from them)."""
+def triage_logs(lines: DataFrame, patterns: DataFrame | None, now, categories=T.CATEGORIES, classifier=None, max_per_project: int | None = None,
+                **bounds) -> tuple[DataFrame, DataFrame]:
+    """(results per log, pattern table after learning from them).
+
+    A column ``seen_at`` of ``lines`` dates what a log teaches; without it ``now`` does. Learned
+    patterns are cut per project only on request; ``triage.prune_patterns`` is a job of its own.
+    """
     # One bounded row per log, used by several branches below: computed once.
     signed = search.materialize(signed_excerpts(lines, **bounds), "excerpts")
     classified = triage.classify(signed, categories, classifier)
@@ -30,8 +35,12 @@ def triage_logs(lines: DataFrame, patterns: DataFrame | None, now, categories=T.
             classified.withColumn("prior_category", F.lit(None).cast("string")).withColumn("prior_occurrences", F.lit(None).cast("bigint"))
             .withColumn("prior_signature", F.lit(None).cast("string")).withColumn("fuzzy", F.lit(None).cast("boolean"))
         )
-    observed = triage.observations(classified).withColumn("seen_at", F.lit(now).cast("timestamp_ntz"))
-    learned = triage.prune_patterns(triage.record_patterns(patterns, observed), now)
+    observed = triage.observations(classified)
+    if "seen_at" in lines.columns:
+        observed = observed.join(lines.groupBy("log_id").agg(F.max("seen_at").cast("timestamp_ntz").alias("seen_at")), "log_id")
+    else:
+        observed = observed.withColumn("seen_at", F.lit(now).cast("timestamp_ntz"))
+    learned = triage.prune_patterns(triage.record_patterns(patterns, observed), now, max_per_project=max_per_project)
     results = classified.select(
         "log_id", "project", "category", F.round("confidence", 3).alias("confidence"), "evidence",
         F.col("method").alias("classification_method"),

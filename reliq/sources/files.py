@@ -10,12 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Byte and file bounds of the sources.
-MAX_LOG_BYTES = 25 * 1024 * 1024
-MAX_EVIDENCE_BYTES = 2_000_000
-DEFAULT_MAX_FILES, MAX_MAX_FILES = 2000, 10_000
 NUL_SCAN_BYTES = 8192
-MAX_ENTRY_BYTES, MAX_ARCHIVE_BYTES, MAX_ENTRIES = 64 * 1024 * 1024, 256 * 1024 * 1024, 10_000
 IMAGE_SUFFIXES = r"(?i)\.(png|jpe?g|tiff?|bmp|gif|webp)$"
 NON_FAILURES = ("success", "skipped", "neutral")
 
@@ -32,12 +27,15 @@ def decode_utf8(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
-def read_logs(spark: SparkSession, path: str, glob: str | None = None, remote: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(logs, rejects). A local log over 25 MB is refused; a fetched one keeps its tail and says so."""
+def read_logs(spark: SparkSession, path: str, glob: str | None = None, max_bytes: int | None = None, remote: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(logs, rejects), whole logs by default.
+
+    With ``max_bytes`` a longer local log is refused; a fetched one keeps its tail and says so.
+    """
     raw = _binary(spark, path, glob)
-    big = F.col("length") > MAX_LOG_BYTES
+    big = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
     kept = raw if remote else raw.filter(~big)
-    body = F.when(big, F.substring("content", -MAX_LOG_BYTES, MAX_LOG_BYTES)).otherwise(F.col("content")) if remote else F.col("content")
+    body = F.when(big, F.substring("content", -(max_bytes or 0), max_bytes or 0)).otherwise(F.col("content")) if remote else F.col("content")
     logs = kept.select(F.col("path").alias("log_id"), decode_utf8(body).alias("text"), (big if remote else F.lit(False)).alias("fetch_truncated"))
     rejects = raw.filter(F.lit(not remote) & big).select("path", F.lit("log file too large").alias("reason"))
     return logs, rejects
@@ -46,37 +44,37 @@ def read_logs(spark: SparkSession, path: str, glob: str | None = None, remote: b
 _ENTRY_SCHEMA = "path string, entry string, text string, reason string"
 
 
-def unzip_entries(archives: DataFrame, suffixes: tuple[str, ...]) -> DataFrame:
-    """One row per wanted archive entry ``(path, entry, text, reason)``; a bad archive is one row with a reason.
+def unzip_entries(archives: DataFrame, suffixes: tuple[str, ...], max_entry_bytes: int | None = None) -> DataFrame:
+    """One row per wanted archive entry ``(path, entry, text, reason)``; what cannot be read is a row with a reason.
 
-    Reads are bounded per entry and per archive, whatever the archive claims.
+    Entries leave one by one. A broken entry, or one longer than ``max_entry_bytes`` (a guard
+    against crafted archives; none by default), costs itself only; a broken archive is one row.
     """
-
-    def entries(blob: bytes):
-        with zipfile.ZipFile(io.BytesIO(blob)) as archive:
-            members = archive.infolist()
-            if len(members) > MAX_ENTRIES:
-                raise ValueError(f"{len(members)} entries")
-            left = MAX_ARCHIVE_BYTES
-            for name in sorted(m.filename for m in members if m.filename.endswith(suffixes)):
-                bound = min(MAX_ENTRY_BYTES, left)
-                with archive.open(name) as stream:
-                    data = stream.read(bound + 1)
-                if len(data) > bound:
-                    raise ValueError(f"entry {name} over the size bound")
-                left -= len(data)
-                yield name, data.decode("utf-8", "replace")
+    def entries(path: str, blob: bytes) -> Iterator[tuple]:
+        try:
+            archive = zipfile.ZipFile(io.BytesIO(blob))
+        except Exception as exc:  # noqa: BLE001 - a broken archive is a reject, never a failed job
+            yield path, None, None, type(exc).__name__
+            return
+        with archive:
+            names = sorted(m.filename for m in archive.infolist() if m.filename.endswith(suffixes))
+            if not names:
+                yield path, None, None, "no entries"
+            for name in names:
+                try:
+                    with archive.open(name) as stream:
+                        data = stream.read() if max_entry_bytes is None else stream.read(max_entry_bytes + 1)
+                    long = max_entry_bytes is not None and len(data) > max_entry_bytes
+                    yield path, name, None if long else data.decode("utf-8", "replace"), "entry over the size bound" if long else None
+                except Exception as exc:  # noqa: BLE001
+                    yield path, name, None, type(exc).__name__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = ("path", "entry", "text", "reason")
         for batch in batches:
             for path, blob in zip(batch["path"].to_pylist(), batch["content"], strict=True):
-                try:
-                    rows = [(path, name, text, None) for name, text in entries(blob.as_py())]
-                    rows = rows or [(path, None, None, "no entries")]
-                except Exception as exc:  # noqa: BLE001 - a broken archive is a reject, never a failed job
-                    rows = [(path, None, None, f"{type(exc).__name__}")]
-                yield pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in rows], pa.string()) for i, c in enumerate(columns)})
+                for row in entries(path, blob.as_py()):
+                    yield pa.RecordBatch.from_pydict({c: pa.array([x], pa.string()) for c, x in zip(columns, row, strict=True)})
 
     return archives.select("path", "content").mapInArrow(run, _ENTRY_SCHEMA)
 
@@ -121,32 +119,28 @@ def trace_events(entries: DataFrame) -> DataFrame:
     return lines.filter((F.trim("line") != "") & F.try_parse_json("line").isNotNull())
 
 
-def read_evidence(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """Evidence files as ``(path, text, skip_reason, truncated)``.
+def read_evidence(spark: SparkSession, path: str, max_files: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Evidence files as ``(path, text, skip_reason, truncated)``; every file, and whole, by default.
 
-    ``truncated`` is true when a file is longer than 2 MB (the scan then covers
-    its first 2 MB and cannot count as complete) or when files beyond the
-    requested number exist. Without ``max_files`` every file is read.
+    ``truncated`` is true when a bound the caller set left something out: a file longer than
+    ``max_bytes`` (its scan cannot count as complete), or files beyond ``max_files``.
     """
     raw = _binary(spark, path)
     if max_files is not None:
-        if not isinstance(max_files, int) or isinstance(max_files, bool) or not 0 < max_files <= MAX_MAX_FILES:
-            raise ValueError(f"max_files must be between 1 and {MAX_MAX_FILES}")
+        if not isinstance(max_files, int) or isinstance(max_files, bool) or max_files < 1:
+            raise ValueError("max_files must be 1 or more")
         chosen = raw.select("path").orderBy("path").limit(max_files)
         more = raw.select("path").limit(max_files + 1).agg((F.count("*") > max_files).alias("_more"))
         raw = raw.join(chosen, "path", "left_semi").join(F.broadcast(more))
     else:
         raw = raw.withColumn("_more", F.lit(False))
-    return raw.select("path", F.col("length"), "content", "_more").transform(classify_evidence)
+    return classify_evidence(raw.select("path", F.col("length"), "content", "_more"), max_bytes)
 
 
-def classify_evidence(raw: DataFrame) -> DataFrame:
+def classify_evidence(raw: DataFrame, max_bytes: int | None = None) -> DataFrame:
     nul = F.expr(f"position(X'00' IN substring(content, 1, {NUL_SCAN_BYTES})) > 0")
     reason = F.when(F.col("path").rlike(IMAGE_SUFFIXES), "ocr_unavailable").when(nul, "binary")
     more = F.col("_more") if "_more" in raw.columns else F.lit(False)
-    return raw.select(
-        "path",
-        F.when(reason.isNull(), decode_utf8(F.substring("content", 1, MAX_EVIDENCE_BYTES))).alias("text"),
-        reason.alias("skip_reason"),
-        ((F.col("length") > MAX_EVIDENCE_BYTES) | more).alias("truncated"),
-    )
+    body = F.col("content") if max_bytes is None else F.substring("content", 1, max_bytes)
+    cut = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
+    return raw.select("path", F.when(reason.isNull(), decode_utf8(body)).alias("text"), reason.alias("skip_reason"), (cut | more).alias("truncated"))

@@ -18,7 +18,8 @@ from reliq.functions import text as X
 from reliq.functions import times
 from reliq.operators.search import materialize
 
-MAX_XML_BYTES = 64 * 1024 * 1024
+#: Bytes of a report handed to the XML parser at once.
+XML_PIECE = 1 << 20
 FILES_PER_BATCH = 64
 
 _COUNTS = "tests string, failures string, errors string, skipped string"
@@ -107,7 +108,7 @@ class _Report:
         }
 
 
-def _shred_one(content: bytes | None, size: int) -> dict:
+def _shred_one(content: bytes) -> dict:
     """Raw strings of one report, or the reason why the whole file is refused."""
     from xml.parsers import expat
 
@@ -115,15 +116,15 @@ def _shred_one(content: bytes | None, size: int) -> dict:
         raise ValueError("DTD is not allowed")
 
     try:
-        if size > MAX_XML_BYTES:
-            raise ValueError(f"file too large ({size} bytes)")
         report = _Report()
         parser = expat.ParserCreate()
         parser.StartDoctypeDeclHandler = refuse  # fires before any entity expands
         parser.StartElementHandler, parser.EndElementHandler = report.start, report.end
         parser.CharacterDataHandler = report.text
         parser.buffer_text = True
-        parser.Parse(content, True)
+        for at in range(0, len(content), XML_PIECE):
+            parser.Parse(content[at:at + XML_PIECE], False)
+        parser.Parse(b"", True)
         return report.row()
     except (ValueError, expat.ExpatError) as exc:
         return {"reason": str(exc)[:200]}
@@ -140,7 +141,7 @@ def shred(files: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for i in range(batch.num_rows):
-                row = _shred_one(batch["content"][i].as_py(), batch["length"][i].as_py())
+                row = _shred_one(batch["content"][i].as_py())
                 row |= {"path": batch["path"][i].as_py(), "modified": batch["modified"][i].as_py()}
                 rows.append(row)
                 if len(rows) == FILES_PER_BATCH:
@@ -150,8 +151,7 @@ def shred(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     slim = files.select(
-        "path", F.col("modificationTime").cast("timestamp_ntz").alias("modified"), "length",
-        F.when(F.col("length") <= MAX_XML_BYTES, F.col("content")).alias("content"))
+        "path", F.col("modificationTime").cast("timestamp_ntz").alias("modified"), "content")
     return slim.mapInArrow(run, SHRED_SCHEMA)
 
 
@@ -192,10 +192,17 @@ class Reports:
     def _good(self) -> DataFrame:
         return self.shredded.filter(F.col("reason").isNull()).withColumn("run_id", F.xxhash64("path", F.lit(self.batch)))
 
+    def _run_ts(self) -> Column:
+        reported = F.get(F.filter(F.transform("times", times.parse_ts), lambda t: t.isNotNull()), 0).cast("timestamp_ntz")
+        return F.coalesce(reported, F.date_trunc("second", "modified").cast("timestamp_ntz"))
+
+    def _run_date(self) -> Column:
+        """Day of the run's effective time: both histories are partitioned by it."""
+        return F.coalesce(self._run_ts(), self.ingested_at.cast("timestamp_ntz")).cast("date")
+
     @cached_property
     def runs(self) -> DataFrame:
-        reported = F.get(F.filter(F.transform("times", times.parse_ts), lambda t: t.isNotNull()), 0).cast("timestamp_ntz")
-        run_ts = F.coalesce(reported, F.date_trunc("second", "modified").cast("timestamp_ntz"))
+        run_ts = self._run_ts()
         file_name = F.substring_index("path", "/", -1)
         return self._good.select(
             "run_id",
@@ -208,11 +215,12 @@ class Reports:
             _total("errors", ("error",)).alias("errors"),
             _total("skipped", ("skipped",)).alias("skipped"),
             F.col("path").alias("source_file"),
+            self._run_date().alias("run_date"),
         )
 
     @cached_property
     def cases(self) -> DataFrame:
-        c = self._good.select("run_id", F.explode("cases").alias("c")).select("run_id", "c.*")
+        c = self._good.select("run_id", self._run_date().alias("run_date"), F.explode("cases").alias("c")).select("run_id", "run_date", "c.*")
         return c.select(
             # Orders cases inside a run; not a join key.
             F.shiftleft("run_id", 20).bitwiseOR(F.col("position").cast("bigint")).alias("case_id"),
@@ -226,6 +234,7 @@ class Reports:
             X.clean(F.col("message")).alias("failure_message"),
             X.clean(F.col("type")).alias("failure_type"),
             X.clean(F.col("trace")).alias("stack_trace"),
+            "run_date",
         )
 
 
@@ -257,10 +266,10 @@ def synthetic_runs(cases: DataFrame, ingested_at, suite_name: str = "burn-in") -
     ).select(
         "run_id", F.lit(suite_name).alias("suite_name"), F.lit(ingested_at).cast("timestamp_ntz").alias("ingested_at"), "run_timestamp",
         F.col("run_timestamp").alias("effective_ts"), "total", "failures", "errors", "skipped",
-        F.concat(F.lit(f"synthetic://{suite_name}/"), F.col("run_key").cast("string")).alias("source_file"))
+        F.concat(F.lit(f"synthetic://{suite_name}/"), F.col("run_key").cast("string")).alias("source_file"), F.col("run_timestamp").cast("date").alias("run_date"))
     # Repeated results of one test in one run are told apart by their order.
     same = Window.partitionBy("run_id", "name", "classname", "file_path").orderBy("status", "duration_ms", "failure_message", "failure_type", "stack_trace", "line_number")
     out = stamped.withColumn("_nth", F.row_number().over(same)).select(
         F.xxhash64("run_id", "name", "classname", "file_path", "_nth").alias("case_id"), "run_id", "classname", "name", "file_path", "line_number",
-        "status", "duration_ms", "failure_message", "failure_type", "stack_trace")
+        "status", "duration_ms", "failure_message", "failure_type", "stack_trace", F.col("run_timestamp").cast("date").alias("run_date"))
     return runs, out

@@ -21,6 +21,7 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._marked = False
         self._check_version()
 
     # -- folders ---------------------------------------------------------
@@ -43,7 +44,7 @@ class Store:
         return max(versions, default=0)
 
     def exists(self, name: str) -> bool:
-        return self.version(name) > 0 or bool(self._committed(name, "b_"))
+        return self.version(name) > 0 or bool(self._committed(name, "b="))
 
     # -- snapshot tables --------------------------------------------------
 
@@ -51,15 +52,17 @@ class Store:
         current = self.version(name) if version is None else version
         if current:
             return self.spark.read.parquet(f"{self.root}/{name}/v_{current}")
-        batches = self._committed(name, "b_")
+        batches = self._committed(name, "b=")
         if not batches:
             raise FileNotFoundError(f"no table {name} in {self.root}")
-        return self.spark.read.parquet(*batches)
+        return self.spark.read.option("basePath", f"{self.root}/{name}").parquet(*batches).drop("b")
 
     def read_or_none(self, name: str) -> DataFrame | None:
         return self.read(name) if self.exists(name) else None
 
     def replace(self, name: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> int:
+        if name != "meta":
+            self.mark_version()
         new = self.version(name) + 1
         # Left-overs of a failed write of the same number are overwritten.
         df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{self.root}/{name}/v_{new}")
@@ -67,11 +70,28 @@ class Store:
 
     # -- batch tables -------------------------------------------------------
 
-    def append(self, name: str, df: DataFrame, batch_id: str | int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/b_{batch_id}")
+    def append(self, name: str, df: DataFrame, batch_id: str | int, partition_by: tuple[str, ...] = ()) -> None:
+        self.mark_version()
+        df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{self.root}/{name}/b={batch_id}")
 
     def has_batch(self, name: str, batch_id: str | int) -> bool:
-        return any(p.rsplit("/", 1)[1] == f"b_{batch_id}" for p in self._committed(name, "b_"))
+        return any(p.rsplit("/", 1)[1] == f"b={batch_id}" for p in self._committed(name, "b="))
+
+    def compact(self, name: str, batch_id: str, partition_by: tuple[str, ...] = ()) -> int:
+        """Join all present batches into one, for a table whose writers rest; returns how many there were.
+
+        The joined batch is complete before the old ones go. A crash in between leaves rows
+        twice: run it again under the same id, which starts from the old batches.
+        """
+        old = [p for p in self._committed(name, "b=") if not p.endswith(f"/b={batch_id}")]
+        if len(old) > 1:
+            rows = self.spark.read.option("basePath", f"{self.root}/{name}").parquet(*old).drop("b")
+            kept = rows.repartition(*partition_by) if partition_by else rows
+            self.append(name, kept, batch_id, partition_by)
+            for folder in old:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return len(old)
 
     # -- key/value state ------------------------------------------------------
 
@@ -96,7 +116,11 @@ class Store:
             raise ValueError(f"tables in {self.root} have schema version {found}; this library reads up to {SCHEMA_VERSION}")
 
     def mark_version(self) -> None:
-        self.set_meta(schema_version=str(SCHEMA_VERSION))
+        """Written with the first table; a newer library's store is refused above."""
+        if not self._marked:
+            self._marked = True
+            if self.get_meta("schema_version") is None:
+                self.set_meta(schema_version=str(SCHEMA_VERSION))
 
 
 def import_rows(source: DataFrame, target: DataFrame | None, key: list[str]) -> DataFrame:

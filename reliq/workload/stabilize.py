@@ -10,7 +10,7 @@ from reliq.operators import recipes, stability, traces, triage
 from reliq.operators.search import materialize
 from reliq.plans import stabilize as plan
 from reliq.session import spread
-from reliq.sources import files, junit
+from reliq.sources import files, junit, ledgers
 from reliq.workload import history as H
 from reliq.workload import views
 from reliq.workload.evidence import redact_sql
@@ -159,9 +159,53 @@ def _(t):
     return recipes.match(a, stored, "call_id").select("call_id", "recipe", "kind")
 
 
-@query("page_element_ids", r"""SELECT page_id, len(regexp_extract_all(html, '<[^>]*\bid="[^"]+"')) AS ids FROM pages""")
+@query("dom_ids", """SELECT page_id AS trace_id, '#p' || page_id AS id, CASE WHEN page_id % 3 <> 0 THEN 't' || (page_id % 10) END AS testid FROM pages WHERE page_id % 5 <> 0
+UNION ALL SELECT page_id, NULL, 'end' FROM pages""")
 def _(t):
-    return t("pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit(r'<[^>]*\bid="[^"]+"'), F.lit(0))).alias("ids"))
+    page = F.col("page_id")
+    number = page.cast("string")
+    element = F.when(page % 5 != 0, F.concat(
+        F.lit('["DIV",{"id":"#p'), number, F.lit('"'), F.when(page % 3 != 0, F.concat(F.lit(',"data-testid":"t'), (page % 10).cast("string"), F.lit('"'))).otherwise(""),
+        F.lit(',"n":'), number, F.lit(',"open":true},')))
+    text = F.to_json(F.struct(F.col("html").alias("v")))
+    html = F.concat(F.coalesce(element, F.lit('["DIV",{},')), F.substring(text, F.lit(6), F.length(text) - 6), F.lit(',["P",{"data-testid":"end"}]]'))
+    line = F.concat(F.lit('{"type":"frame-snapshot","snapshot":{"html":'), html, F.lit("}}"))
+    lines = t("pages").select(page.alias("trace_id"), F.lit("0.trace").alias("entry"), F.lit(0).alias("line_no"), line.alias("line"))
+    return traces.dom_ids(traces.events(lines)).select("trace_id", "id", "testid")
+
+
+@query("trace_brief", """SELECT doc_id AS trace_id, 'to ' || lang || ' a***@e****.com' AS error_message, 'click' AS failing_action, '#x' AS selector, 'waiting for b***@e****.com' AS log FROM documents""")
+def _(t):
+    lang = F.col("lang")
+    before = F.lit('{"type":"before","callId":"c","class":"Frame","method":"click","params":{"selector":"#x"}}')
+    after = F.concat(F.lit('{"type":"after","callId":"c","error":{"name":"Error","message":"to '), lang, F.lit(' ann@e12x.com"},"result":{"log":["waiting for bob@exam.com"]}}'))
+    lines = t("documents").select(F.col("doc_id").alias("trace_id"), F.lit("0.trace").alias("entry"), F.posexplode(F.array(before, after)).alias("line_no", "line"))
+    return traces.brief(traces.summarize(lines)).select("trace_id", "error_message", "failing_action", "selector", F.get("call_log", 0).alias("log"))
+
+
+@query("backfilled_keys", """SELECT doc_id AS id, doc_id % 3 <> 1 AS has_key, CASE WHEN doc_id % 3 = 0 THEN 'old' END AS old FROM documents""")
+def _(t):
+    doc = F.col("doc_id")
+    parts = F.to_json(F.struct(F.struct(F.lit("timeout").alias("cause")).alias("diagnosis"), F.struct(
+        F.lit("playwright").alias("framework"), F.col("lang").alias("error_class"), F.lit("click").alias("failing_action"), F.col("source").alias("selector_shape"),
+        F.col("text").alias("message_shape")).alias("signature_parts")))
+    stored = t("documents").select(doc.alias("id"), F.when(doc % 3 == 0, "old").alias("relaxed_key"), F.when(doc % 3 == 1, '{"cause":"x"}').otherwise(parts).alias("diagnosis_json"))
+    return recipes.backfill_relaxed_keys(stored).select("id", F.col("relaxed_key").isNotNull().alias("has_key"), F.when(F.col("relaxed_key") == "old", "old").alias("old"))
+
+
+@query("stable_diagnoses", """SELECT doc_id AS id, lang AS cause, md5(text) AS note, NULL::VARCHAR AS stage FROM documents""")
+def _(t):
+    raw = F.to_json(F.struct(F.col("lang").alias("cause"), F.lit("rules").alias("diagnosis_stage"), (F.col("doc_id") % 2 == 0).alias("llm_used"), F.col("text").alias("note")))
+    clean = t("documents").select(F.col("doc_id").alias("id"), recipes.stable_diagnosis(raw).alias("d"))
+    return clean.select("id", F.get_json_object("d", "$.cause").alias("cause"), F.md5(F.get_json_object("d", "$.note")).alias("note"), F.get_json_object("d", "$.diagnosis_stage").alias("stage"))
+
+
+@query("ledger_defaults", """SELECT '2024-01-01' AS day, CASE WHEN doc_id % 2 = 0 THEN 'tool' ELSE source END AS trigger, lang AS project, '' AS outcome, '{}' AS stage_results_json, count(*) AS n
+FROM documents GROUP BY ALL""")
+def _(t):
+    rows = t("documents").select(F.when(F.col("doc_id") % 2 != 0, F.col("source")).alias("trigger"), F.col("lang").alias("project"), "text")
+    made = ledgers.ledger_rows("pipeline_runs", rows, NOW.replace(year=2024, month=1, day=1))
+    return made.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "trigger", "project", "outcome", "stage_results_json").agg(F.count("*").alias("n"))
 
 
 @query("safe_urls", r"""SELECT page_id, CASE WHEN regexp_matches(url, '^https?://') THEN regexp_extract(url, '^https?://[^/?#]+') ELSE '[redacted-url]' END AS url FROM pages""")

@@ -24,7 +24,7 @@ VALUES = [
     ("12345 4111 1111 1111 1111", "credit_card", "4111 1111 1111 1111", "************1111"), ("IBAN GB82 WEST 1234 5698 7654 32", "iban", "GB82 WEST 1234 5698 7654 32", None),
     ("XX00 GB82 WEST 1234 5698 7654 32", "iban", "GB82 WEST 1234 5698 7654 32", None), ("dni 12345678Z", "spanish_dni_nie", "12345678Z", "********Z"),
     ("nie x1234567l", "spanish_dni_nie", "x1234567l", "********l"), ("ssn 123-45-6789", "us_ssn", "123-45-6789", "***-**-6789"), ("itin 912-70-1234", "us_itin", "912-70-1234", "***-**-1234"),
-    ("call +34 600 123 456", "phone", "+34 600 123 456", "+** *** **3 456"), ("passport no AB123456", "passport", "AB123456", "******56")]
+    ("call +34 600 123 456", "phone", "+34 600 123 456", "+** *** **3 456"), ("passport no AB123456", "passport", "AB123456", "******56"), ("passport PASSPORT1", "passport", "PASSPORT1", "*******T1")]
 
 
 @pytest.mark.parametrize("text, kind, raw, preview", VALUES)

@@ -186,14 +186,16 @@ def test_logs_archives_and_evidence(spark, tmp_path):
     (ev / "t.txt").write_text("mail a@b.com")
     (ev / "b.bin").write_bytes(b"ab\x00c")
     (ev / "i.PNG").write_bytes(b"x")
-    (ev / "big.txt").write_bytes(b"a" * (files.MAX_EVIDENCE_BYTES + 5))
+    (ev / "big.txt").write_bytes(b"a" * 3_000_000 + b" c@d.org")
     out = {r.path.rsplit("/", 1)[1]: r for r in files.read_evidence(spark, str(ev)).collect()}
     assert out["t.txt"].text == "mail a@b.com" and out["b.bin"].skip_reason == "binary" and out["i.PNG"].skip_reason == "ocr_unavailable"
-    assert out["big.txt"].truncated and not out["t.txt"].truncated
+    assert out["big.txt"].text.endswith("c@d.org") and not out["big.txt"].truncated and not out["t.txt"].truncated
+    bound = {r.path.rsplit("/", 1)[1]: r for r in files.read_evidence(spark, str(ev), max_bytes=100).collect()}
+    assert bound["big.txt"].truncated and len(bound["big.txt"].text) == 100 and not bound["t.txt"].truncated
     two = files.read_evidence(spark, str(ev), max_files=2).collect()
     assert [r.path.rsplit("/", 1)[1] for r in sorted(two, key=lambda r: r.path)] == ["b.bin", "big.txt"] and all(r.truncated for r in two)
     with pytest.raises(ValueError):
-        files.read_evidence(spark, str(ev), max_files=10_001)
+        files.read_evidence(spark, str(ev), max_files=0)
 
 
 def trace_rows(spark, events, network=()):
@@ -248,3 +250,28 @@ def test_log_only_diagnosis(spark):
     df = empty.withColumn("has_trace", F.lit(False)).withColumn("log_excerpt", F.lit("Timeout 300ms exceeded waiting for locator('#a')"))
     r = traces.diagnose(df).head()
     assert (r.cause, r.confidence, r.selector) == ("timeout", 0.6, "#a")
+
+
+def test_traces_mask_personal_data_and_read_plain_attributes(spark):
+    log = {"type": "log", "callId": "c1", "message": "sent to a@b.com"}
+    s = traces.summarize(trace_rows(spark, [BEFORE, log, {"type": "error", "message": "for c@d.org"}, failed(message="mail a@b.com")]))
+    r = traces.brief(s).head()
+    assert "a@b.com" not in str(r) and "c@d.org" not in str(r) and any("sent to" in x for x in r.call_log)
+    snap = {"type": "frame-snapshot", "snapshot": {"html": ["P", {"id": "btn-59c2", "data-testid": "save", "n": 1, "b": True}]}}
+    assert diagnose(spark, [BEFORE, failed(), snap]).cause == "fragile_selector"
+
+
+def test_long_inputs_stay_whole(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "a.log").write_bytes(b"line of a log\n" * 2_200_000 + b"end")
+    good, rejects = files.read_logs(spark, str(tmp_path / "logs"))
+    assert good.select(F.length("text")).head()[0] == 14 * 2_200_000 + 3 and rejects.count() == 0
+    (tmp_path / "xml").mkdir()
+    (tmp_path / "xml" / "r.xml").write_text('<testsuite name="s">' + '<testcase name="t"><system-out>' + "x" * 70_000_000 + "</system-out></testcase></testsuite>")
+    reports = junit.read_junit(spark, str(tmp_path / "xml"), NOW, "b")
+    assert reports.rejects.count() == 0 and reports.cases.count() == 1
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.writestr("a.txt", "x" * 100)
+        z.writestr("b.txt", "y")
+    got = {r.entry: r.reason for r in files.unzip_entries(files._binary(spark, str(tmp_path), "z.zip"), (".txt",), max_entry_bytes=50).collect()}
+    assert got == {"a.txt": "entry over the size bound", "b.txt": None}

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reliq.functions import redact
+from reliq.operators import verdicts
 from reliq.sources import junit
 from reliq.sources.tables import Store
 from reliq.streaming import ingest
@@ -94,3 +95,25 @@ def test_repeated_synthetic_results_have_ids_of_their_own(spark):
 def test_markers_only_at_real_line_starts(spark):
     got = spark.createDataFrame([("a\rsystem: x tool: y\nuser: z",)], "t string").select(redact.neutralize(F.col("t"))).head()[0]
     assert got == "a\rsystem: x tool: y\nuser - z"
+
+
+def test_scans_read_only_the_days_of_their_window(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "db"))
+    (tmp_path / "in").mkdir()
+    for day in ("2026-05-20", "2026-05-21", "2024-01-01"):
+        (tmp_path / "in" / f"{day}.xml").write_text(f'<testsuite name="s" timestamp="{day}T00:00:00"><testcase name="t"><failure/></testcase></testsuite>')
+    ingest.stream_junit(spark, str(tmp_path / "in"), store, str(tmp_path / "cp"), NOW).awaitTermination()
+    rows = verdicts.windowed_cases(store.read("test_cases"), store.read("test_runs"), datetime(2026, 5, 1))
+    assert rows.count() == 2
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(run_date") == 2
+    store.append("test_cases", store.read("test_cases").limit(1), "more", ("run_date",))
+    assert store.compact("test_cases", "joined", ("run_date",)) == 2 and store.read("test_cases").count() == 4
+    assert store.get_meta("schema_version") == "1"
+
+
+def test_a_newer_store_is_refused(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "db"))
+    store.set_meta(schema_version="99")
+    with pytest.raises(ValueError, match="schema version 99"):
+        Store(spark, str(tmp_path / "db"))
