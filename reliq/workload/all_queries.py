@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("history", "search", "logs", "evidence", "incidents", "stabilize", "extras")
+MODULES = ("history", "search", "logs", "evidence", "incidents", "stabilize", "extras", "flows")
 
 
 def load() -> None:
