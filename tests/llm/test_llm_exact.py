@@ -104,8 +104,9 @@ def library(ranks):
     return tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def test_bpe_round_trip(spark, library):
-    both = bpe.decode(bpe.encode(docs(spark, ODD), RANKS, public.PATTERN, part_bytes=50), RANKS).collect()
+@pytest.mark.parametrize("frequent", [3, 1000])
+def test_bpe_round_trip(spark, library, frequent):
+    both = bpe.decode(bpe.encode(docs(spark, ODD), RANKS, public.PATTERN, part_bytes=50, frequent=frequent), RANKS).collect()
     assert len(both) == len(ODD)
     for r in both:
         text = ODD[r.doc_id] or ""
@@ -114,6 +115,14 @@ def test_bpe_round_trip(spark, library):
     assert bpe.encode(docs(spark, []), RANKS, public.PATTERN).count() == 0
 
 
+def test_frequent_words_are_counted_over_all_texts(spark):
+    import regex
+
+    counts = Counter(w for t in ODD for w in regex.findall(public.PATTERN, t or "") if len(w.encode()) <= bpe.WORD_BYTES)
+    got = [(r.word, r.n) for r in bpe.frequent_words(docs(spark, ODD), public.PATTERN, 5).collect()]
+    assert got == sorted(counts.items(), key=lambda x: (-x[1], x[0].encode()))[:5]
+
+
 def test_bpe_fold_equals_library(ranks, library):
     @settings(max_examples=300, deadline=None)
     @given(st.text(max_size=40))
