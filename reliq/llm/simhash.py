@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from reliq.llm.components import components
 from reliq.llm.store import id_text, stored, utf8, words_of
 
-#: Fingerprints per trie node at the depth where Spark's joins end.
-NODE_SIZE = 1 << 14
+#: Fingerprints per trie node at the depth where Spark's joins end; smaller nodes meet more others.
+NODE_SIZE = 1 << 16
 #: Fingerprints of one slice of a node, and node pairs walked at once.
-SLICE_SIZE, WALK = 1 << 15, 1 << 18
+SLICE_SIZE, WALK = 1 << 16, 1 << 18
 _MANY = 1 << 15
 
 
