@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from reliq.llm.store import stored
 
 #: Pivots, rows sampled to choose them from, and rows of a block of queries and of candidates.
-PIVOTS, SAMPLE, QUERY_BLOCK, BLOCK = 24, 2048, 2048, 16384
-_STEP, _AT_ONCE = 256, 64
+PIVOTS, SAMPLE, QUERY_BLOCK, BLOCK = 16, 2048, 2048, 16384
+#: Candidates evaluated first (each later step takes twice as many), and queries whose bounds are computed at once.
+_STEP, _AT_ONCE = 256, 16
 
 
 def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -63,10 +64,6 @@ def _distances(v: np.ndarray, extra: np.ndarray, pivots: np.ndarray) -> np.ndarr
     return np.sqrt(np.maximum(squares, 0))
 
 
-def _scores(q: np.ndarray, x: np.ndarray, exact_floats: bool) -> np.ndarray:
-    return (x.astype(np.float64) @ q.astype(np.float64)).astype(np.int64) if exact_floats else x @ q
-
-
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best: larger score, then smaller id."""
     return np.lexsort((ids, -scores))[:k]
@@ -78,7 +75,8 @@ def _search(q_ids, q, q_far, x_ids, x, x_far, radius: float, k: int) -> Iterator
     exact_floats = top * top * max(q.shape[1], 1) < 1 << 52
     x_far32 = np.ascontiguousarray(x_far.T, np.float32)
     slack = 1e-5 * max(x_far.max(initial=0), q_far.max(initial=0), 1.0)
-    xs = x.astype(np.float64) if exact_floats else x
+    if exact_floats:
+        q, x = q.astype(np.float64), x.astype(np.float64)
     for start in range(0, len(q), _AT_ONCE):
         far = q_far[start:start + _AT_ONCE].astype(np.float32)
         bound = np.zeros((len(far), len(x)), np.float32)
@@ -89,8 +87,8 @@ def _search(q_ids, q, q_far, x_ids, x, x_far, radius: float, k: int) -> Iterator
             np.maximum(bound, gap, out=bound)
         for i in range(len(far)):
             one = q[start + i]
-            length = float((one.astype(np.float64) ** 2).sum())
-            low = np.maximum(bound[i].astype(np.float64) - slack, 0)
+            length = float(np.square(one, dtype=np.float64).sum())
+            low = np.maximum(bound[i] - slack, 0, dtype=np.float64)
             most = (length + radius * radius - low * low) / 2 + 1  # no candidate scores above this
             others = x_ids != q_ids[start + i]
             most[~others] = -np.inf
@@ -98,21 +96,24 @@ def _search(q_ids, q, q_far, x_ids, x, x_far, radius: float, k: int) -> Iterator
             if not n:
                 continue
             first = np.argpartition(-most, min(_STEP, n) - 1)[:min(_STEP, n)]
-            scores, ids = _scores(one, xs[first], exact_floats), x_ids[first]
+            scores, ids = (x[first] @ one).astype(np.int64), x_ids[first]
             keep = _best(scores, ids, k)
             scores, ids = scores[keep], ids[keep]
             worst = scores[-1] if len(scores) == k else -np.inf
             most[first] = -np.inf
             rest = np.flatnonzero((most >= worst) & (most > -np.inf))
-            rest = rest[np.argsort(-most[rest], kind="stable")]
-            for at in range(0, len(rest), _STEP):
-                part = rest[at:at + _STEP]
+            rest = rest[np.argsort(-most[rest])]
+            at, step = 0, _STEP
+            while at < len(rest):
+                part = rest[at:at + step]
                 if len(scores) == k and most[part[0]] < scores[-1]:
                     break  # every later bound is lower still
-                scores = np.concatenate([scores, _scores(one, xs[part], exact_floats)])
-                ids = np.concatenate([ids, x_ids[part]])
+                new = (x[part] @ one).astype(np.int64)
+                good = new >= (scores[-1] if len(scores) == k else new.min())
+                scores, ids = np.concatenate([scores, new[good]]), np.concatenate([ids, x_ids[part[good]]])
                 keep = _best(scores, ids, k)
                 scores, ids = scores[keep], ids[keep]
+                at, step = at + step, 2 * step
             yield int(q_ids[start + i]), ids, scores
 
 
