@@ -112,6 +112,8 @@ def test_bpe_round_trip(spark, library, frequent):
         text = ODD[r.doc_id] or ""
         assert np.frombuffer(r.ids, "<u4").tolist() == library.encode_ordinary(text)
         assert bytes(r.decoded) == text.encode()
+    whole = bpe.encode(docs(spark, ODD), RANKS, public.PATTERN, frequent=frequent, with_decoded=True).collect()
+    assert sorted((r.doc_id, r.ids, r.decoded) for r in whole) == sorted((r.doc_id, r.ids, r.decoded) for r in both)
     assert bpe.encode(docs(spark, []), RANKS, public.PATTERN).count() == 0
 
 
