@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA_VERSION = 1
+#: Batch tables whose batches are partitioned, always by the same columns.
+PARTITIONED = {"test_cases": ("run_date",), "test_runs": ("run_date",)}
 
 
 class Store:
@@ -70,14 +72,14 @@ class Store:
 
     # -- batch tables -------------------------------------------------------
 
-    def append(self, name: str, df: DataFrame, batch_id: str | int, partition_by: tuple[str, ...] = ()) -> None:
+    def append(self, name: str, df: DataFrame, batch_id: str | int) -> None:
         self.mark_version()
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{self.root}/{name}/b={batch_id}")
+        df.write.mode("overwrite").partitionBy(*PARTITIONED.get(name, ())).parquet(f"{self.root}/{name}/b={batch_id}")
 
     def has_batch(self, name: str, batch_id: str | int) -> bool:
         return any(p.rsplit("/", 1)[1] == f"b={batch_id}" for p in self._committed(name, "b="))
 
-    def compact(self, name: str, batch_id: str, partition_by: tuple[str, ...] = ()) -> int:
+    def compact(self, name: str, batch_id: str) -> int:
         """Join all present batches into one, for a table whose writers rest; returns how many there were.
 
         The joined batch is complete before the old ones go. A crash in between leaves rows
@@ -86,8 +88,8 @@ class Store:
         old = [p for p in self._committed(name, "b=") if not p.endswith(f"/b={batch_id}")]
         if len(old) > 1:
             rows = self.spark.read.option("basePath", f"{self.root}/{name}").parquet(*old).drop("b")
-            kept = rows.repartition(*partition_by) if partition_by else rows
-            self.append(name, kept, batch_id, partition_by)
+            parts = PARTITIONED.get(name)
+            self.append(name, rows.repartition(*parts) if parts else rows, batch_id)
             for folder in old:
                 path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -107,8 +107,8 @@ def test_scans_read_only_the_days_of_their_window(spark, tmp_path):
     assert rows.count() == 2
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert plan.count("PartitionFilters: [isnotnull(run_date") == 2
-    store.append("test_cases", store.read("test_cases").limit(1), "more", ("run_date",))
-    assert store.compact("test_cases", "joined", ("run_date",)) == 2 and store.read("test_cases").count() == 4
+    store.append("test_cases", store.read("test_cases").limit(1), "more")
+    assert store.compact("test_cases", "joined") == 2 and store.read("test_cases").count() == 4
     assert store.get_meta("schema_version") == "1"
 
 
