@@ -199,7 +199,7 @@ def predict(model: Model, docs: DataFrame, keep: Sequence[str] = ("doc_id",), te
             _MEMORY[model.key] = _Memory(model)
         memory = _MEMORY[model.key]
         for batch in batches:
-            texts = [t or "" for t in batch.column("_text").to_pylist()]
+            texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
             totals = np.concatenate([memory.totals(part) for _, part in _parts(texts)]) if texts else np.zeros((0, len(model.langs) + 1))
             signs = totals[:, -1]
             lettered = np.array([n > 0 and any(map(str.isalpha, t)) for n, t in zip(signs, texts, strict=True)], bool) & (len(model.langs) > 0)

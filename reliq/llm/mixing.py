@@ -155,7 +155,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], keep: Seq
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, p = _memberships(utf8(batch.column("_text")), prior, words)
+            n, p = _memberships(utf8(batch.column(len(keep))), prior, words)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(n), pa.array(list(p), pa.list_(pa.float64())),
                                               pa.array(_rates(p, steps))], [f.name for f in schema.fields])
 

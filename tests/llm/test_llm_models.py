@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from reliq.llm import brown, langid, mixing, queries
 
 SF = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, score double, rate double, learn string"
+SCHEMA = "doc_id long, text string, lang string, score double, rate double, _text string"
 
 
 def docs(spark, rows):
