@@ -190,8 +190,107 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, budget: int = 2) -> DataFrame:
+# --- texts of similarity 0.8 and more --------------------------------------------------------------------------------
+
+#: Words of a wide fingerprint, 64 bits each; every half word is one table of the search.
+WIDE = 4
+#: Share of differing bits up to which wide fingerprints count as near: five-word shingles of similarity 0.8 differ in 0.14 of them.
+NEAR = 0.19
+_SALTS = [np.uint64(x) for x in (0x0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+_MIX = np.uint64(0xFF51AFD7ED558CCD)
+
+
+def wide_fingerprint(text: bytes, shingle: int, seed: int) -> np.ndarray:
+    """WIDE * 64 votes of a text: each shingle's hash is mixed anew for every word."""
+    words = words_of(text.lower())
+    if not words:
+        return np.zeros(WIDE, np.uint64)
+    shingle = min(shingle, len(words))
+    n = len(words) - shingle + 1
+    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
+    hashes = np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in grams), np.uint64, n)
+    out = np.zeros(WIDE, np.uint64)
+    for k, salt in enumerate(_SALTS):
+        votes = np.zeros(64, np.int64)
+        for i in range(0, n, _MANY):
+            h = (hashes[i:i + _MANY] ^ salt) * _MIX
+            h ^= h >> np.uint64(32)
+            votes += np.unpackbits((h * _MIX).astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(votes * 2 > n).view(">u8")[0]
+    return out
+
+
+def _near_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=1) <= NEAR * 64 * WIDE
+
+
+def similar_links(wide: DataFrame, budget: int = 2) -> DataFrame:
+    """(u, v): edges between distinct wide fingerprints (node, w: array<long>) that connect near ones.
+
+    A table's key is so many leading bits of half a word that random texts seldom share it. Per table the trie join pairs the
+    distinct keys that differ in at most ``budget`` bits, each shown by one fingerprint; that pair, and every fingerprint with the
+    one that shows its key, becomes an edge if the whole fingerprints are near. So a group of copies costs its keys, not its pairs.
+    """
+    bits = min(32, max(16, math.ceil(math.log2(max(wide.count(), 2))) + 6))
+    tables = F.explode(F.transform(F.sequence(F.lit(0), F.lit(2 * WIDE - 1)), lambda t: F.struct(
+        t.alias("table"), F.shiftleft(F.shiftrightunsigned(F.when(t % 2 == 0, F.get("w", F.floor(t / 2).cast("int"))).otherwise(
+            F.call_function("shiftleft", F.get("w", F.floor(t / 2).cast("int")), F.lit(32))), 64 - bits), 64 - bits).alias("key"))))
+    keyed = wide.select("node", "w", tables.alias("x")).select("node", "w", "x.table", "x.key")
+    shown = stored(keyed.groupBy("table", "key").agg(F.min("node").alias("shown")).join(
+        wide.select(F.col("node").alias("shown"), F.col("w").alias("shown_w")), "shown"), "keys")
+    distance = F.aggregate(F.zip_with("w", "shown_w", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    stars = keyed.join(shown, ["table", "key"]).filter((F.col("node") != F.col("shown")) & (distance <= NEAR * 64 * WIDE)).select(
+        F.col("node").alias("u"), F.col("shown").alias("v"))
+    top = max(0, math.ceil(math.log2(max(shown.count() / (2 * WIDE), 1) / NODE_SIZE)))
+    masks = [0]
+    for bit in range(top):
+        masks += [m | (1 << bit) for m in masks if m.bit_count() < budget]
+    node = F.shiftrightunsigned("key", 64 - top) if top else F.lit(0).cast("long")
+    pairs = shown.select("*", node.alias("n"), F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask")).withColumn(
+        "other", F.col("n").bitwiseXOR(F.col("mask")))
+    group = pairs.select("table", F.least("n", "other").alias("n1"), F.greatest("n", "other").alias("n2"), F.bit_count("mask").alias("err"),
+                         (F.col("n") > F.col("other")).alias("second"), "key", "shown", "shown_w")
+
+    def walk(at: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        keys, second = rows["key"].to_numpy().view(np.uint64), rows["second"].to_numpy()
+        same = at[1] == at[2]
+        sides = []
+        for side in (False, True):
+            places = np.flatnonzero(second == side)
+            sides.append(places[np.argsort(keys[places], kind="stable")])
+        first, other = sides[0], sides[0] if same else sides[1]
+        w = np.stack(rows["shown_w"].to_numpy()).astype(np.int64).view(np.uint64)
+        if not len(first) or not len(other):
+            return pd.DataFrame({"u": [], "v": []}).astype(np.int64)
+        i, j = _walk(keys[first], keys[other], same, top, int(at[3]), budget)
+        i, j = first[i], other[j]
+        near = np.concatenate([np.zeros(0, bool), *(_near_rows(w[i[k:k + WALK]], w[j[k:k + WALK]]) for k in range(0, len(i), WALK))])
+        roots = _forest(len(rows), i[near], j[near])
+        hit = roots != np.arange(len(rows))
+        shown = rows["shown"].to_numpy()
+        return pd.DataFrame({"u": shown[hit], "v": shown[roots[hit]]})
+
+    return stars.unionByName(group.groupBy("table", "n1", "n2", "err").applyInPandas(walk, "u long, v long"))
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seed: int = 42) -> DataFrame:
+    """(doc_id, component_id) per row: texts whose word shingles have a similarity of about 0.8 or more are joined."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = [wide_fingerprint(t, shingle, seed).view(np.int64).tolist() for t in utf8(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(w, pa.list_(pa.int64()))], ["doc_id", "w"])
+
+    found = stored(id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, w array<long>"), "wide-prints").withColumn("node", F.xxhash64("w"))
+    nodes = stored(found.groupBy("node", "w").agg(F.min("doc_id").alias("least")), "wide-nodes")
+    parts = components(similar_links(nodes.select("node", "w")))
+    named = nodes.select("node", "least").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    answer = stored(named.join(ids, "component").select("node", "component_id"), "wide-classes")
+    return found.select("doc_id", "node").join(answer, "node").select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """The rows of ``docs`` with the smallest id of their component (all columns); repeated rows of that id stay together, rows without an id stay."""
-    found = near_duplicates(docs, id_col, text_col, shingle, budget)
+    found = similar_documents(docs, id_col, text_col, shingle)
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")

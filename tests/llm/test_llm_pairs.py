@@ -95,6 +95,26 @@ def test_fingerprint_votes():
     assert simhash.fingerprint(b"One TWO") == xxhash.xxh64_intdigest(b"one two", 42)
 
 
+def test_similar_documents(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(3000)]
+    rows, groups = [], []
+    for g in range(25):
+        text = rng.choice(words, 400)
+        for copy in range(1 + g % 4):
+            changed = text.copy()
+            changed[rng.choice(400, 3 * copy, replace=False)] = "new"  # a similarity of about 0.86 for two copies, 0.93 to the first
+            rows.append((len(rows), " ".join(changed)))
+            groups.append(g)
+    rows += [(900, None), (901, ""), (902, "One two"), (903, "one TWO"), (None, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
+    first = {g: groups.index(g) for g in groups}
+    assert {i: got[i] for i in range(len(groups))} == {i: first[g] for i, g in enumerate(groups)}
+    assert (got[900], got[901], got[902], got[903], got[None]) == (900, 900, 902, 902, 0)
+    assert simhash.similar_documents(df.limit(0)).count() == 0
+
+
 def test_near_duplicates_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(400))
     rows = [(5, None), (3, ""), (9, "one"), (8, "ONE"), (1, text), (2, text), (None, text), (None, "alone here now"), (4, "w0 " * 60_000), (4, "w0 " * 60_000)]
@@ -162,7 +182,7 @@ def test_pipeline(spark):
             assert docs.select("text").distinct().count() == sizes[-1] == before.select(F.coalesce("text", F.lit(""))).distinct().count()
             assert docs.join(before.groupBy("text").agg(F.min("doc_id").alias("least")), "text").filter("doc_id <> least").count() == 0
         if name == "near_dedup":
-            found = simhash.near_duplicates(before, shingle=5)
+            found = simhash.similar_documents(before)
             assert {r.doc_id for r in docs.collect()} == {r.component_id for r in found.collect()}
     assert sizes[1] >= 0.98 * sizes[0] and docs.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]
 
