@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 ORDER, DISCOUNT = 4, 0.75
 #: Labelled rows per language that the models, and the calibration, learn from at most: those with the smallest hashed ids.
-FIT_ROWS, CALIBRATION_ROWS = 1500, 400
+FIT_ROWS, CALIBRATION_ROWS = 500, 400
 #: Sampled ids that are broadcast at most; beyond it the sample is joined by shuffle.
 BROADCAST_ROWS = 200_000
 #: Distinct letter runs a worker remembers; beyond it forgets all and goes on.
