@@ -4,8 +4,9 @@ A naive Bayes classifier, learned from a table of labelled documents over hashed
 posteriors; its log-odds per word are tempered, so that membership stays soft for long texts. Then a nonnegative rate is fitted
 for every document so that the expected tokens of domain k, sum of rate * tokens * posterior_k, match the targets: projected
 gradient descent on the least squares ||A r - t||^2 in the norm of (A D A^T)^-1, D = 1 / tokens, in which a step of length one
-is exact without the bound r >= 0. One step per round over a small written table: tasks add up the domains' totals, the driver
-holds one number per domain and round, and tasks replay the rounds to get a row's rate.
+is exact as long as no rate meets the bound r >= 0. D leaves out rows at that bound, unless the step before made the fit worse.
+One step per round over a small written table: tasks add up the domains' totals, the driver holds a few numbers per domain and
+round, and tasks replay the rounds to get a row's rate.
 
 Defined cases: null and empty texts have no tokens and the prior as posterior; rates of equal texts are equal; a domain without
 targets has target weight 0, one that no document belongs to cannot be met; with no labelled row every posterior is uniform;
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 from reliq.llm.store import id_text, stored, utf8, words_of
 
 #: Labelled rows learned from at most (those with the smallest hashed ids), cells of hashed words, rounds of descent.
-LABELLED_ROWS, CELLS, ROUNDS = 20_000, 1 << 16, 40
+LABELLED_ROWS, CELLS, ROUNDS = 20_000, 1 << 16, 25
 #: A text's log-odds grow with the number of its words to this power.
 TEMPER = 0.5
 
@@ -111,36 +112,44 @@ def _rates(posterior: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     return rate
 
 
-def fit_rates(members: DataFrame, weights: list[float], rounds: int = ROUNDS, tolerance: float = 1e-6) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """(steps, expected totals, targets) for rows (n_tokens, posterior): the steps give every row's rate."""
+def fit_rates(members: DataFrame, weights: list[float], rounds: int = ROUNDS, tolerance: float = 1e-4) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(steps, expected totals, targets) for rows (n_tokens, posterior): the steps give every row's rate.
+
+    Ends when every domain's total is within ``tolerance`` of all tokens; the best rates found count.
+    """
     k = len(weights)
 
-    def totals(steps: list[np.ndarray]) -> np.ndarray:
+    def totals(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             out = np.zeros(2 * k + k * k)
             for rows in batches:
                 if len(rows):
                     p, n = np.stack(rows["posterior"]), rows["n_tokens"].to_numpy(np.float64)
-                    out += np.concatenate([(n * _rates(p, steps)) @ p, n @ p, ((p * n[:, None]).T @ p).ravel()])
+                    rate = _rates(p, steps)
+                    out += np.concatenate([(n * rate) @ p, n @ p, ((p * (n * (rate > 0))[:, None]).T @ p).ravel()])
             yield pd.DataFrame({"at": range(len(out)), "x": out})
 
-        got = members.mapInPandas(add, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
         out = np.zeros(2 * k + k * k)
-        for r in got:
+        for r in members.mapInPandas(add, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
             out[r.at] = r.x
-        return out
+        return out[:k], out[k:2 * k], out[2 * k:].reshape(k, k)
 
-    now = totals([])
-    mass, gram = now[k:2 * k], now[2 * k:].reshape(k, k)
+    now, mass, gram = totals([])
     target = np.array(weights, np.float64) / max(sum(weights), 1e-300) * mass.sum()
-    metric = np.linalg.pinv(gram, rcond=1e-10, hermitian=True)
-    steps: list[np.ndarray] = []
+    whole, steps, best = gram, [], ([], now)
+
+    def gap(x: np.ndarray) -> float:
+        return float(np.abs(x - target).max())
+
     for _ in range(rounds):
-        if np.abs(now[:k] - target).max() <= tolerance * max(mass.sum(), 1):
+        if gap(best[1]) <= tolerance * max(mass.sum(), 1):
             break
-        steps.append(metric @ (now[:k] - target))
-        now = totals(steps)
-    return steps, now[:k], target
+        metric = gram if gap(now) <= gap(best[1]) else whole
+        steps = [*steps, np.linalg.pinv(metric, rcond=1e-10, hermitian=True) @ (now - target)]
+        now, _, gram = totals(steps)
+        if gap(now) < gap(best[1]):
+            best = steps, now
+    return best[0], best[1], target
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], keep: Sequence[str] = ("doc_id",), id_col: str = "doc_id", text_col: str = "text",
