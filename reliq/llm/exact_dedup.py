@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reliq.llm.store import stored
+from reliq.llm.store import free_name, stored
 
 
 def content_hash(text: Column) -> Column:
@@ -56,7 +56,8 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     pick = {"smallest": F.min_by, "largest": F.max_by}[keep]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rest = [c for c in docs.columns if c != text_col]
-    groups = docs.select(F.struct(*rest, F.col(text_col).isNull().alias("_null")).alias("_row"), rank.alias("_rank"), text.alias("_text"), content_hash(text).alias("_hash")).groupBy(
+    missing = free_name(docs, "_null")  # the one field of the row that is no column
+    groups = docs.select(F.struct(*rest, F.col(text_col).isNull().alias(missing)).alias("_row"), rank.alias("_rank"), text.alias("_text"), content_hash(text).alias("_hash")).groupBy(
         "_hash", "_text").agg(pick("_row", "_rank").alias("_row"))
-    whole = F.when(~F.col("_row._null"), F.col("_text"))
+    whole = F.when(~F.col("_row").getField(missing), F.col("_text"))
     return groups.select(*(whole.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns))

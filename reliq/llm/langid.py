@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reliq.llm.store import free_name
+
 ORDER, DISCOUNT = 4, 0.75
 #: Labelled rows per language that the models, and the calibration, learn from at most: those with the smallest hashed ids.
 FIT_ROWS, CALIBRATION_ROWS = 500, 400
@@ -220,7 +222,7 @@ def predict(model: Model, docs: DataFrame, keep: Sequence[str] = ("doc_id",), te
     answers = "lang_pred string, score double, cross_entropy double, n_signs long, rejected boolean"
     kept = docs.select(*keep).schema.fields
     schema = T.StructType(kept + [T.StructField(prefix + f.name, f.dataType) for f in T.StructType.fromDDL(answers).fields])
-    return docs.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).cast("string").alias(free_name(docs, "_text"))).mapInArrow(run, schema)
 
 
 def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn: Column, rows: int) -> DataFrame:

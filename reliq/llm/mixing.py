@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reliq.llm.store import id_text, stored, utf8, words_of
+from reliq.llm.store import free_name, id_text, stored, utf8, words_of
 
 #: Labelled rows learned from at most (those with the smallest hashed ids), cells of hashed words, rounds of descent.
 LABELLED_ROWS, CELLS, ROUNDS = 20_000, 1 << 16, 25
@@ -170,7 +170,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], keep: Seq
 
     answers = T.StructType.fromDDL("n_tokens long, posterior array<double>, rate double").fields
     schema = T.StructType(docs.select(*keep).schema.fields + [T.StructField(prefix + f.name, f.dataType) for f in answers])
-    return docs.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(rated, schema)
+    return docs.select(*keep, F.col(text_col).cast("string").alias(free_name(docs, "_text"))).mapInArrow(rated, schema)
 
 
 def copies(rate, *key) -> F.Column:

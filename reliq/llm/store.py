@@ -30,6 +30,14 @@ def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores in front as make it no column of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def slices(batch: pa.RecordBatch, text: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of ``batch`` in parts of about ``limit`` text bytes; a longer row is a part of its own."""
     start = size = 0
