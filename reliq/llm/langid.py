@@ -33,7 +33,7 @@ FIT_ROWS, CALIBRATION_ROWS = 500, 400
 #: Sampled ids that are broadcast at most; beyond it the sample is joined by shuffle.
 BROADCAST_ROWS = 200_000
 #: Distinct letter runs a worker remembers; beyond it forgets all and goes on.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Rejection: this quantile of the calibration rows' cross-entropy, times the slack.
 QUANTILE, SLACK = 0.999, 1.15
 
@@ -201,7 +201,7 @@ def predict(model: Model, docs: DataFrame, keep: Sequence[str] = ("doc_id",), te
             _MEMORY[model.key] = _Memory(model)
         memory = _MEMORY[model.key]
         for batch in batches:
-            texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
+            texts = [t or "" for t in batch.column(place).to_pylist()]
             totals = np.concatenate([memory.totals(part) for _, part in _parts(texts)]) if texts else np.zeros((0, len(model.langs) + 1))
             signs = totals[:, -1]
             lettered = np.array([n > 0 and any(map(str.isalpha, t)) for n, t in zip(signs, texts, strict=True)], bool) & (len(model.langs) > 0)
@@ -222,7 +222,10 @@ def predict(model: Model, docs: DataFrame, keep: Sequence[str] = ("doc_id",), te
     answers = "lang_pred string, score double, cross_entropy double, n_signs long, rejected boolean"
     kept = docs.select(*keep).schema.fields
     schema = T.StructType(kept + [T.StructField(prefix + f.name, f.dataType) for f in T.StructType.fromDDL(answers).fields])
-    return docs.select(*keep, F.col(text_col).cast("string").alias(free_name(docs, "_text"))).mapInArrow(run, schema)
+    # the text travels once
+    place = list(keep).index(text_col) if text_col in keep else len(keep)
+    extra = [] if text_col in keep else [F.col(text_col).cast("string").alias(free_name(docs, "_text"))]
+    return docs.select(*keep, *extra).mapInArrow(run, schema)
 
 
 def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn: Column, rows: int) -> DataFrame:

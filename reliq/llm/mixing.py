@@ -40,7 +40,7 @@ class _Cells(dict):
     def __missing__(self, word: bytes) -> int:
         cell = xxhash.xxh32_intdigest(word) % self.cells
         if len(word) < 64:
-            if len(self) > 500_000:
+            if len(self) > 200_000:
                 self.clear()
             self[word] = cell
         return cell
@@ -164,13 +164,16 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], keep: Seq
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, p = _memberships(utf8(batch.column(len(keep))), prior, words)
+            n, p = _memberships(utf8(batch.column(place)), prior, words)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(n), pa.array(list(p), pa.list_(pa.float64())),
                                               pa.array(_rates(p, steps))], [f.name for f in schema.fields])
 
     answers = T.StructType.fromDDL("n_tokens long, posterior array<double>, rate double").fields
     schema = T.StructType(docs.select(*keep).schema.fields + [T.StructField(prefix + f.name, f.dataType) for f in answers])
-    return docs.select(*keep, F.col(text_col).cast("string").alias(free_name(docs, "_text"))).mapInArrow(rated, schema)
+    # the text travels once
+    place = list(keep).index(text_col) if text_col in keep else len(keep)
+    extra = [] if text_col in keep else [F.col(text_col).cast("string").alias(free_name(docs, "_text"))]
+    return docs.select(*keep, *extra).mapInArrow(rated, schema)
 
 
 def copies(rate, *key) -> F.Column:
