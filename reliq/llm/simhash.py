@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -192,105 +193,188 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # --- texts of similarity 0.8 and more --------------------------------------------------------------------------------
 
-#: Words of a wide fingerprint, 64 bits each; every half word is one table of the search.
-WIDE = 4
-#: Share of differing bits up to which wide fingerprints count as near: five-word shingles of similarity 0.8 differ in 0.14 of them.
-NEAR = 0.19
-_SALTS = [np.uint64(x) for x in (0x0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-_MIX = np.uint64(0xFF51AFD7ED558CCD)
+#: Rows of a bucket up to which all its pairs are written out; larger buckets are searched around a pivot.
+BUCKET = 16
+#: Shingles counted at once for the order of rarity, and the most frequent ones that are told to all tasks.
+COUNTED, COMMON = 1 << 21, 1 << 18
+_MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 
 
-def wide_fingerprint(text: bytes, shingle: int, seed: int) -> np.ndarray:
-    """WIDE * 64 votes of a text: each shingle's hash is mixed anew for every word."""
+def shingles(text: bytes, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """The set of 64-bit hashes of a text's word shingles, sorted; a shorter text is one shingle, one without words has none."""
     words = words_of(text.lower())
     if not words:
-        return np.zeros(WIDE, np.uint64)
+        return np.zeros(0, np.uint64)
     shingle = min(shingle, len(words))
     n = len(words) - shingle + 1
-    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in grams), np.uint64, n)
-    out = np.zeros(WIDE, np.uint64)
-    for k, salt in enumerate(_SALTS):
-        votes = np.zeros(64, np.int64)
-        for i in range(0, n, _MANY):
-            h = (hashes[i:i + _MANY] ^ salt) * _MIX
-            h ^= h >> np.uint64(32)
-            votes += np.unpackbits((h * _MIX).astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-        out[k] = np.packbits(votes * 2 > n).view(">u8")[0]
-    return out
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+    out = np.full(n, shingle, np.uint64)
+    for i in range(shingle):
+        out += hashes[i:i + n]
+        for mix in _MIX:
+            out ^= out >> np.uint64(33)
+            out *= mix
+    return np.unique(out)
+
+
+def _prefix(n, share: Fraction):
+    """Of n shingles, so many rarest ones that a text of the wanted similarity has one of them among its own."""
+    return n - (n * share.numerator + share.denominator - 1) // share.denominator + 1
 
 
-def _near_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=1) <= NEAR * 64 * WIDE
+def _scored(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v, nu, nv, both) for pairs (u, v): sizes of the two sets and of what they share."""
+    v, u = (sets.select(F.col("node").alias(x), F.col("own").alias(f"{x}_own")) for x in "vu")
+    both = pairs.select("u", "v").join(v, "v").join(u, "u")  # the side that may repeat is slim when it is dealt
+    return both.select("u", "v", F.size("u_own").alias("nu"), F.size("v_own").alias("nv"), F.size(F.array_intersect("u_own", "v_own")).alias("both"))
 
 
-def similar_links(wide: DataFrame, budget: int = 2) -> DataFrame:
-    """(u, v): edges between distinct wide fingerprints (node, w: array<long>) that connect near ones.
+def similar_nodes(docs: DataFrame, shingle: int, seed: int, share: Fraction, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_key, node) and edges (u, v) for rows (doc_id, text); a node is a distinct set of shingles.
 
-    A table's key is so many leading bits of half a word that random texts seldom share it. Per table the trie join pairs the
-    distinct keys that differ in at most ``budget`` bits, each shown by one fingerprint; that pair, and every fingerprint with the
-    one that shows its key, becomes an edge if the whole fingerprints are near. So a group of copies costs its keys, not its pairs.
+    The edges connect exactly what pairs with a Jaccard similarity of ``share`` or more connect. Sets are ordered from rare to
+    common shingles (any one order gives the same answer). Two similar sets share one of their first n - ceil(share * n) + 1, so
+    they meet in that shingle's bucket, whatever the table's size.
+
+    Small buckets give all pairs, counted: prefixes that share too little cannot reach the similarity. In a large bucket every
+    node is measured against the least, its pivot. 1 - similarity is a metric, so two nodes can only be similar if their distances
+    from the pivot differ by 1 - share at most; those pairs are measured unless the two are connected already. Every pair
+    that becomes an edge was measured on the whole sets.
     """
-    bits = min(32, max(16, math.ceil(math.log2(max(wide.count(), 2))) + 6))
-    tables = F.explode(F.transform(F.sequence(F.lit(0), F.lit(2 * WIDE - 1)), lambda t: F.struct(
-        t.alias("table"), F.shiftleft(F.shiftrightunsigned(F.when(t % 2 == 0, F.get("w", F.floor(t / 2).cast("int"))).otherwise(
-            F.call_function("shiftleft", F.get("w", F.floor(t / 2).cast("int")), F.lit(32))), 64 - bits), 64 - bits).alias("key"))))
-    keyed = wide.select("node", "w", tables.alias("x")).select("node", "w", "x.table", "x.key")
-    shown = stored(keyed.groupBy("table", "key").agg(F.min("node").alias("shown")).join(
-        wide.select(F.col("node").alias("shown"), F.col("w").alias("shown_w")), "shown"), "keys")
-    distance = F.aggregate(F.zip_with("w", "shown_w", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    stars = keyed.join(shown, ["table", "key"]).filter((F.col("node") != F.col("shown")) & (distance <= NEAR * 64 * WIDE)).select(
-        F.col("node").alias("u"), F.col("shown").alias("v"))
-    top = max(0, math.ceil(math.log2(max(shown.count() / (2 * WIDE), 1) / NODE_SIZE)))
-    masks = [0]
-    for bit in range(top):
-        masks += [m | (1 << bit) for m in masks if m.bit_count() < budget]
-    node = F.shiftrightunsigned("key", 64 - top) if top else F.lit(0).cast("long")
-    pairs = shown.select("*", node.alias("n"), F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask")).withColumn(
-        "other", F.col("n").bitwiseXOR(F.col("mask")))
-    group = pairs.select("table", F.least("n", "other").alias("n1"), F.greatest("n", "other").alias("n2"), F.bit_count("mask").alias("err"),
-                         (F.col("n") > F.col("other")).alias("second"), "key", "shown", "shown_w")
-
-    def walk(at: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        keys, second = rows["key"].to_numpy().view(np.uint64), rows["second"].to_numpy()
-        same = at[1] == at[2]
-        sides = []
-        for side in (False, True):
-            places = np.flatnonzero(second == side)
-            sides.append(places[np.argsort(keys[places], kind="stable")])
-        first, other = sides[0], sides[0] if same else sides[1]
-        w = np.stack(rows["shown_w"].to_numpy()).astype(np.int64).view(np.uint64)
-        if not len(first) or not len(other):
-            return pd.DataFrame({"u": [], "v": []}).astype(np.int64)
-        i, j = _walk(keys[first], keys[other], same, top, int(at[3]), budget)
-        i, j = first[i], other[j]
-        near = np.concatenate([np.zeros(0, bool), *(_near_rows(w[i[k:k + WALK]], w[j[k:k + WALK]]) for k in range(0, len(i), WALK))])
-        roots = _forest(len(rows), i[near], j[near])
-        hit = roots != np.arange(len(rows))
-        shown = rows["shown"].to_numpy()
-        return pd.DataFrame({"u": shown[hit], "v": shown[roots[hit]]})
-
-    return stars.unionByName(group.groupBy("table", "n1", "n2", "err").applyInPandas(walk, "u long, v long"))
-
-
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seed: int = 42) -> DataFrame:
-    """(doc_id, component_id) per row: texts whose word shingles have a similarity of about 0.8 or more are joined."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            w = [wide_fingerprint(t, shingle, seed).view(np.int64).tolist() for t in utf8(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(w, pa.list_(pa.int64()))], ["doc_id", "w"])
+    top, low = share.numerator, share.denominator
 
-    found = stored(id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, w array<long>"), "wide-prints").withColumn("node", F.xxhash64("w"))
-    nodes = stored(found.groupBy("node", "w").agg(F.min("doc_id").alias("least")), "wide-nodes")
-    parts = components(similar_links(nodes.select("node", "w")))
-    named = nodes.select("node", "least").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def common() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            most = np.argsort(-n, kind="stable")[:COMMON >> 5]
+            most = most[n[most] > 2]
+            none = pa.nulls(len(most), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, pa.array(found[most].view(np.int64)), pa.array(n[most])], names)
+
+        names = ["doc_id", "text_key", "node", "token", "n"]
+        for batch in batches:
+            nodes = np.zeros(batch.num_rows, np.uint64)
+            for i, text in enumerate(utf8(batch.column("text"))):
+                own = shingles(text, shingle, seed)
+                nodes[i] = xxhash.xxh3_64_intdigest(own.tobytes())
+                held.append(own)
+                size += len(own)
+                if size >= COUNTED:
+                    yield common()
+                    held, size = [], 0
+            none = pa.nulls(batch.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(nodes.view(np.int64)), none, none], names)
+        yield common()
+
+    keyed = docs.select("doc_id", "text", text_key("text").alias("text_key"))
+    first = stored(keyed.mapInArrow(read, "doc_id long, text_key long, node long, token long, n long"), "sets")
+    found = first.filter("node IS NOT NULL").select("doc_id", "text_key", "node")
+    often = first.filter("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > bucket).orderBy(
+        F.desc("n"), "token").limit(COMMON).toPandas()
+    known = often["token"].to_numpy(np.int64).view(np.uint64)
+    known, counts = known[np.argsort(known)], often["n"].to_numpy(np.int64)[np.argsort(known)]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, nodes, sizes = [], [], []
+            for text in utf8(batch.column("text")):
+                own = shingles(text, shingle, seed)
+                if not len(own):
+                    continue
+                rarity = np.zeros(len(own), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    rarity = np.where(known[at] == own, counts[at], 0)
+                rare = own[np.lexsort((own, rarity))[:_prefix(len(own), share)]]
+                tokens.append(rare)
+                nodes.append(np.full(len(rare), xxhash.xxh3_64_intdigest(own.tobytes()), np.uint64))
+                sizes.append(np.full(len(rare), len(own)))
+            token, node = (np.concatenate([np.zeros(0, np.uint64), *x]).view(np.int64) for x in (tokens, nodes))
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(node), pa.array(np.concatenate([np.zeros(0, np.int64), *sizes]))], ["token", "node", "n"])
+
+    tokens = docs.select("text").mapInArrow(deal, "token long, node long, n long")
+    shared = tokens.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("m")).filter("pivot < last")
+    met = stored(tokens.join(shared.select("token", "pivot", "m"), "token").distinct(), "buckets")
+    small, large = met.filter(F.col("m") <= bucket).select("token", "node", "n"), met.filter(F.col("m") > bucket)
+
+    def fits(a: str, b: str) -> F.Column:
+        return F.least(a, b) * low >= F.greatest(a, b) * top
+
+    x, y = (small.select("token", F.col("node").alias(k), F.col("n").alias(f"n{k}")) for k in "uv")
+    pairs = x.join(y, "token").filter((F.col("u") < F.col("v")) & fits("nu", "nv")).groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("c"))
+    # Shingles shared in large buckets are not counted here: as many as both have.
+    crowd = stored(large.groupBy("node").agg(F.count("*").alias("large")), "crowded")
+    for k in "uv":
+        pairs = pairs.join(crowd.select(F.col("node").alias(k), F.col("large").alias(f"l{k}")), k, "left")
+    rest = F.greatest(*(F.expr(f"n{k} - ({_prefix_sql(f'n{k}', share)})") for k in "uv"))
+    reach = F.col("c") + F.least(F.coalesce("lu", F.lit(0)), F.coalesce("lv", F.lit(0))) + rest
+    pairs = pairs.filter(reach * (top + low) >= (F.col("nu") + F.col("nv")) * top).select("u", "v")
+    spokes = large.filter("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v"))
+    candidates = stored(pairs.unionByName(spokes).distinct(), "candidates")
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [shingles(t, shingle, seed).view(np.int64) for t in utf8(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.list_(pa.int64()))], ["node", "own"])
+
+    wanted = candidates.select(F.col("u").alias("node")).unionByName(candidates.select(F.col("v").alias("node"))).distinct()
+    texts = found.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key"))
+    sets = stored(keyed.select("text", "text_key").join(texts, "text_key").groupBy("node").agg(F.any_value("text").alias("text")).mapInArrow(
+        collect, "node long, own array<long>"), "whole-sets")
+    similar = F.col("both") * (top + low) >= (F.col("nu") + F.col("nv")) * top
+    scored = stored(_scored(candidates.select(F.col("v").alias("u"), F.col("u").alias("v")), sets), "scored")
+    edges = scored.filter(similar).select("u", "v")
+    if crowd.isEmpty():
+        return found, edges
+
+    # The other pairs of large buckets: at least one of the two is not connected with the pivot.
+    parts = components(edges)
+    # bands are a little wider than the distance, so that rounding never parts neighbours
+    band = F.floor((1 - F.col("both") / (F.col("nu") + F.col("nv") - F.col("both"))) * (low / (low - top) * 0.999) if top < low else F.lit(0)).cast("int")
+    placed = large.filter("node <> pivot").join(scored.select(F.col("u").alias("node"), F.col("v").alias("pivot"), band.alias("band")), ["node", "pivot"])
+    for k, p in (("node", "part"), ("pivot", "pivot_part")):
+        placed = placed.join(parts.select(F.col("node").alias(k), F.col("component").alias(p)), k, "left").withColumn(p, F.coalesce(p, k))
+    placed = stored(placed.select("token", "node", "n", "band", "part", "pivot_part"), "around-pivots")
+    apart = placed.filter("part <> pivot_part").select("token", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("part").alias("pu"), F.explode(
+        F.array(*(F.col("band") + i for i in (-1, 0, 1)))).alias("band"))
+    around = placed.select("token", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("part").alias("pv"), "band")
+    more = stored(apart.join(around, ["token", "band"]).filter((F.col("pu") != F.col("pv")) & fits("nu", "nv")).select(
+        F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "more-candidates")
+    return found, stored(edges.unionByName(_scored(more, sets).filter(similar).select("u", "v")), "similar")
+
+
+def _prefix_sql(n: str, share: Fraction) -> str:
+    return f"{n} - CAST(({n} * {share.numerator} + {share.denominator - 1}) DIV {share.denominator} AS BIGINT) + 1"
+
+
+def text_key(text_col: str) -> F.Column:
+    """Hash of a text; null reads as empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def _similar_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int, similarity: str, bucket: int) -> DataFrame:
+    """(doc_id, text_key, component_id) per row."""
+    found, edges = similar_nodes(id_text(docs, id_col, text_col), shingle, seed, Fraction(similarity), bucket)
+    nodes = found.groupBy("node").agg(F.min("doc_id").alias("least"))
+    named = nodes.join(components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    answer = stored(named.join(ids, "component").select("node", "component_id"), "wide-classes")
-    return found.select("doc_id", "node").join(answer, "node").select("doc_id", "component_id")
+    answer = stored(named.join(ids, "component").select("node", "component_id"), "similar-classes")
+    return found.join(answer, "node").select("doc_id", "text_key", "component_id")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seed: int = 42, similarity: str = "0.795",
+                      bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, component_id) per row: texts whose sets of word shingles have a Jaccard similarity of ``similarity`` or more are joined.
+
+    The default takes in what rounds to 0.80; ``drop_near_duplicates`` asks for 0.8 itself.
+    """
+    return _similar_rows(docs, id_col, text_col, shingle, seed, similarity, bucket).select("doc_id", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: str = "0.8") -> DataFrame:
     """The rows of ``docs`` with the smallest id of their component (all columns); repeated rows of that id stay together, rows without an id stay."""
-    found = similar_documents(docs, id_col, text_col, shingle)
+    found = _similar_rows(docs, id_col, text_col, shingle, 42, similarity, BUCKET)
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")

@@ -115,6 +115,44 @@ def test_similar_documents(spark):
     assert simhash.similar_documents(df.limit(0)).count() == 0
 
 
+def similar_by_brute_force(rows, share=(4, 5)):
+    """Component (least id) of each id, by all pairs of five-word shingle sets."""
+    sets = {}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        k = min(5, len(w))
+        sets[i] = {tuple(w[j:j + k]) for j in range(len(w) - k + 1)} if w else set()
+    ids = sorted(sets)
+    near = [(a, b) for a in ids for b in ids if a < b and len(sets[a] & sets[b]) * share[1] >= len(sets[a] | sets[b]) * share[0]]
+    return joined(near, ids)
+
+
+def changed_copies(seed, texts, copies, length, shared=0):
+    """Random texts with an equal passage of ``shared`` words, and copies that replace 1 to 7 words in 100."""
+    rng = np.random.default_rng(seed)
+    words = np.array([f"w{i}" for i in range(5000)])
+    passage, rows = rng.choice(words, shared), []
+    for _ in range(texts):
+        text = np.concatenate([passage, rng.choice(words, length)])
+        for c in range(copies):
+            new = text.copy()
+            at = shared + rng.choice(length, c and int(rng.integers(1, max(2, length * 7 // 100))), replace=False)
+            new[at] = rng.choice(words, len(at))
+            rows.append((len(rows), " ".join(new)))
+    return rows
+
+
+def kept_by_drop(spark, rows):
+    return sorted(r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_near_copies_are_exactly_those_of_brute_force(spark):
+    rows = changed_copies(8, 60, 3, 150)
+    want = similar_by_brute_force(rows)
+    assert 60 < len(set(want.values())) < 180
+    assert kept_by_drop(spark, rows) == sorted(set(want.values()))
+
+
 def test_near_duplicates_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(400))
     rows = [(5, None), (3, ""), (9, "one"), (8, "ONE"), (1, text), (2, text), (None, text), (None, "alone here now"), (4, "w0 " * 60_000), (4, "w0 " * 60_000)]
