@@ -153,6 +153,17 @@ def test_near_copies_are_exactly_those_of_brute_force(spark):
     assert kept_by_drop(spark, rows) == sorted(set(want.values()))
 
 
+@pytest.mark.parametrize("bucket", [1, 2, 5])
+def test_near_copies_in_buckets_shared_with_unrelated_texts(spark, bucket):
+    rows = changed_copies(9, 40, 3, 60, shared=300)  # the passage weighs more than the texts: similarities around 0.8
+    rows += [(1000 + i, t) for i, t in changed_copies(10, 40, 3, 100, shared=12)]
+    want = similar_by_brute_force(rows)
+    assert 80 < len(set(want.values())) < 200
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(df, similarity="0.8", bucket=bucket).collect()}
+    assert got == want
+
+
 def test_near_duplicates_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(400))
     rows = [(5, None), (3, ""), (9, "one"), (8, "ONE"), (1, text), (2, text), (None, text), (None, "alone here now"), (4, "w0 " * 60_000), (4, "w0 " * 60_000)]
