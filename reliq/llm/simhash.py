@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reliq.llm.components import components
@@ -268,7 +268,7 @@ def similar_nodes(docs: DataFrame, shingle: int, seed: int, share: Fraction, buc
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(nodes.view(np.int64)), none, none], names)
         yield common()
 
-    keyed = docs.select("doc_id", "text", text_key("text").alias("text_key"))
+    keyed = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
     first = stored(keyed.mapInArrow(read, "doc_id long, text_key long, node long, token long, n long"), "sets")
     found = first.filter("node IS NOT NULL").select("doc_id", "text_key", "node")
     often = first.filter("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > bucket).orderBy(
@@ -299,7 +299,7 @@ def similar_nodes(docs: DataFrame, shingle: int, seed: int, share: Fraction, buc
     met = stored(tokens.join(shared.select("token", "pivot", "m"), "token").distinct(), "buckets")
     small, large = met.filter(F.col("m") <= bucket).select("token", "node", "n"), met.filter(F.col("m") > bucket)
 
-    def fits(a: str, b: str) -> F.Column:
+    def fits(a: str, b: str) -> Column:
         return F.least(a, b) * low >= F.greatest(a, b) * top
 
     x, y = (small.select("token", F.col("node").alias(k), F.col("n").alias(f"n{k}")) for k in "uv")
@@ -349,9 +349,9 @@ def _prefix_sql(n: str, share: Fraction) -> str:
     return f"{n} - CAST(({n} * {share.numerator} + {share.denominator - 1}) DIV {share.denominator} AS BIGINT) + 1"
 
 
-def text_key(text_col: str) -> F.Column:
+def text_key(text: Column) -> Column:
     """Hash of a text; null reads as empty."""
-    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def _similar_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int, similarity: str, bucket: int) -> DataFrame:
@@ -376,5 +376,5 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: str = "0.8") -> DataFrame:
     """The rows of ``docs`` with the smallest id of their component (all columns); repeated rows of that id stay together, rows without an id stay."""
     found = _similar_rows(docs, id_col, text_col, shingle, 42, similarity, BUCKET)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_text")).distinct()
+    return docs.join(gone, (docs[id_col].cast("long") == F.col("_gone")) & (text_key(docs[text_col]) == F.col("_gone_text")), "left_anti")

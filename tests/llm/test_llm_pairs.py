@@ -164,6 +164,16 @@ def test_near_copies_in_buckets_shared_with_unrelated_texts(spark, bucket):
     assert got == want
 
 
+def test_near_copies_keep_less_similar_and_unique_texts(spark):
+    start = "one two three four five six seven"
+    rows = [(i, f"{start} end{i}") for i in range(40)]  # a similarity of 0.6
+    text = " ".join(f"w{i}" for i in range(400))
+    rows += [(100, text), (101, f"{text} more"), (101, "a unique text under an id that repeats")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r.doc_id, r.text) for r in simhash.drop_near_duplicates(df).collect())
+    assert kept == sorted(r for r in rows if r != (101, f"{text} more"))
+
+
 def test_near_duplicates_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(400))
     rows = [(5, None), (3, ""), (9, "one"), (8, "ONE"), (1, text), (2, text), (None, text), (None, "alone here now"), (4, "w0 " * 60_000), (4, "w0 " * 60_000)]
