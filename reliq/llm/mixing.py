@@ -105,17 +105,23 @@ def posteriors(docs: DataFrame, prior: np.ndarray, words: np.ndarray, text_col:
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "n_tokens long, posterior array<double>")
 
 
-def _rates(posterior: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    rate = np.ones(len(posterior))
+def _least_rates(posterior: np.ndarray, whole: int | None) -> np.ndarray:
+    """1 for rows that belong most likely to the domain at place ``whole``, else 0."""
+    return np.zeros(len(posterior)) if whole is None else (posterior[:, whole] >= posterior.max(1, initial=0)).astype(np.float64)
+
+
+def _rates(posterior: np.ndarray, steps: list[np.ndarray], whole: int | None = None) -> np.ndarray:
+    rate, least = np.ones(len(posterior)), _least_rates(posterior, whole)
     for step in steps:
-        rate = np.maximum(rate - posterior @ step, 0)
+        rate = np.maximum(rate - posterior @ step, least)
     return rate
 
 
-def fit_rates(members: DataFrame, weights: list[float], rounds: int = ROUNDS, tolerance: float = 1e-4) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def fit_rates(members: DataFrame, weights: list[float], rounds: int = ROUNDS, tolerance: float = 1e-4, whole: int | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """(steps, expected totals, targets) for rows (n_tokens, posterior): the steps give every row's rate.
 
-    Ends when every domain's total is within ``tolerance`` of all tokens; the best rates found count.
+    Ends when every domain's total is within ``tolerance`` of all tokens; the best rates found count. Rows of the domain ``whole``
+    keep a rate of 1 or more; the targets may then be out of reach, and the fit also ends after three rounds without a better one.
     """
     k = len(weights)
 
@@ -125,8 +131,9 @@ def fit_rates(members: DataFrame, weights: list[float], rounds: int = ROUNDS, to
             for rows in batches:
                 if len(rows):
                     p, n = np.stack(rows["posterior"]), rows["n_tokens"].to_numpy(np.float64)
-                    rate = _rates(p, steps)
-                    out += np.concatenate([(n * rate) @ p, n @ p, ((p * (n * (rate > 0))[:, None]).T @ p).ravel()])
+                    rate = _rates(p, steps, whole)
+                    free = (rate > _least_rates(p, whole)) | (not steps)
+                    out += np.concatenate([(n * rate) @ p, n @ p, ((p * (n * free)[:, None]).T @ p).ravel()])
             yield pd.DataFrame({"at": range(len(out)), "x": out})
 
         out = np.zeros(2 * k + k * k)
@@ -136,7 +143,7 @@ def fit_rates(members: DataFrame, weights: list[float], rounds: int = ROUNDS, to
 
     now, mass, gram = totals([])
     target = np.array(weights, np.float64) / max(sum(weights), 1e-300) * mass.sum()
-    whole, steps, best = gram, [], ([], now)
+    full, steps, best, waited = gram, [], ([], now), 0
 
     def gap(x: np.ndarray) -> float:
         return float(np.abs(x - target).max())
@@ -144,29 +151,34 @@ def fit_rates(members: DataFrame, weights: list[float], rounds: int = ROUNDS, to
     for _ in range(rounds):
         if gap(best[1]) <= tolerance * max(mass.sum(), 1):
             break
-        metric = gram if gap(now) <= gap(best[1]) else whole
+        metric = gram if gap(now) <= gap(best[1]) else full
         steps = [*steps, np.linalg.pinv(metric, rcond=1e-10, hermitian=True) @ (now - target)]
         now, _, gram = totals(steps)
+        waited = 0 if gap(now) < 0.99 * gap(best[1]) else waited + 1
         if gap(now) < gap(best[1]):
             best = steps, now
+        if whole is not None and waited == 3:
+            break
     return best[0], best[1], target
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], keep: Sequence[str] = ("doc_id",), id_col: str = "doc_id", text_col: str = "text",
-        prefix: str = "", labelled_rows: int = LABELLED_ROWS, cells: int = CELLS, rounds: int = ROUNDS) -> DataFrame:
+        prefix: str = "", labelled_rows: int = LABELLED_ROWS, cells: int = CELLS, rounds: int = ROUNDS, whole: str | None = None) -> DataFrame:
     """The columns named in ``keep``, then n_tokens, posterior and rate (with ``prefix``) for every row.
 
     Posteriors are in the order of ``weights``; labels: (doc_id, domain). Texts are read for the fit, and again for the answer, so that no row is joined.
+    Rows that most likely belong to the domain ``whole`` keep a rate of 1 or more, whatever the targets.
     """
     prior, words = learn_domains(docs, labels, list(weights), id_col, text_col, labelled_rows, cells)
     members = stored(posteriors(docs, prior, words, text_col), "memberships")
-    steps, _, _ = fit_rates(members, list(weights.values()), rounds)
+    place_whole = None if whole is None else list(weights).index(whole)
+    steps, _, _ = fit_rates(members, list(weights.values()), rounds, whole=place_whole)
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, p = _memberships(utf8(batch.column(place)), prior, words)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(n), pa.array(list(p), pa.list_(pa.float64())),
-                                              pa.array(_rates(p, steps))], [f.name for f in schema.fields])
+                                              pa.array(_rates(p, steps, place_whole))], [f.name for f in schema.fields])
 
     answers = T.StructType.fromDDL("n_tokens long, posterior array<double>, rate double").fields
     schema = T.StructType(docs.select(*keep).schema.fields + [T.StructField(prefix + f.name, f.dataType) for f in answers])

@@ -182,3 +182,28 @@ def test_rates_stop_at_zero_and_copies_follow_rates(spark):
     assert rates[1] == 0 and rates.min() >= 0 and target.tolist() == [25.0, 0.0]
     n = spark.range(20_000).select(mixing.copies(F.lit(1.3), "id").alias("n")).agg(F.avg("n"), F.min("n"), F.max("n")).first()
     assert n[0] == pytest.approx(1.3, abs=0.02) and (n[1], n[2]) == (1, 2)
+
+
+@pytest.mark.parametrize("others", [1, 20])
+def test_mixture_stage_keeps_every_clean_row(spark, given, others):
+    import corpus_pipeline
+
+    labels = queries.domains(spark.read.parquet(f"{SF}/labels.parquet"))
+    known = given.join(labels, "doc_id").select(*given.columns, "domain")
+    some = known.filter("domain = 'clean'").unionByName(known.filter("domain <> 'clean'").limit(others)).drop("domain")
+    short = given.withColumn("doc_id", F.col("doc_id") + 1_000_000).withColumn("text", F.substring_index("text", " ", 2))
+    rows = some.unionByName(short).localCheckpoint()
+    p = mixing.mix(rows, labels, queries.TARGETS).toPandas()
+    clean = {i for i, x in zip(p.doc_id, p.posterior, strict=True) if x[0] == max(x)}
+    kept = {r.doc_id for r in corpus_pipeline.mix_domains(spark, rows, SF).collect()}
+    assert len(clean) > 0.5 * len(p) and clean <= kept
+
+
+def test_rates_of_a_whole_domain_rise_only(spark):
+    members = spark.createDataFrame([(95, [0.9, 0.1]), (2, [0.6, 0.4]), (3, [0.1, 0.9])], "n_tokens long, posterior array<double>")
+    p = np.array([[0.9, 0.1], [0.6, 0.4], [0.1, 0.9]])
+    for weights in ([0.8, 0.2], [0.95, 0.05], [0.885, 0.115]):
+        steps, _, _ = mixing.fit_rates(members, weights, whole=0)
+        rates = mixing._rates(p, steps, 0)
+        assert rates[:2].min() >= 1 and rates[2] >= 0
+    assert rates[2] < 1 or rates[:2].max() > 1
