@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # --- texts of similarity 0.8 and more --------------------------------------------------------------------------------
 
 #: Rows of a bucket up to which all its pairs are written out; larger buckets are searched around a pivot.
-BUCKET = 16
+BUCKET = 32
 #: Shingles counted at once for the order of rarity, and the most frequent ones that are told to all tasks.
 COUNTED, COMMON = 1 << 21, 1 << 18
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
@@ -248,8 +248,8 @@ def similar_nodes(docs: DataFrame, shingle: int, seed: int, share: Fraction, buc
 
         def common() -> pa.RecordBatch:
             found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
-            most = np.argsort(-n, kind="stable")[:COMMON >> 5]
-            most = most[n[most] > 2]
+            most = np.argsort(-n, kind="stable")[:COMMON >> 2]
+            most = most[n[most] > 1]
             none = pa.nulls(len(most), pa.int64())
             return pa.RecordBatch.from_arrays([none, none, none, pa.array(found[most].view(np.int64)), pa.array(n[most])], names)
 
@@ -271,7 +271,7 @@ def similar_nodes(docs: DataFrame, shingle: int, seed: int, share: Fraction, buc
     keyed = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
     first = stored(keyed.mapInArrow(read, "doc_id long, text_key long, node long, token long, n long"), "sets")
     found = first.filter("node IS NOT NULL").select("doc_id", "text_key", "node")
-    often = first.filter("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > bucket).orderBy(
+    often = first.filter("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n")).orderBy(
         F.desc("n"), "token").limit(COMMON).toPandas()
     known = often["token"].to_numpy(np.int64).view(np.uint64)
     known, counts = known[np.argsort(known)], often["n"].to_numpy(np.int64)[np.argsort(known)]
@@ -320,7 +320,8 @@ def similar_nodes(docs: DataFrame, shingle: int, seed: int, share: Fraction, buc
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.list_(pa.int64()))], ["node", "own"])
 
     wanted = candidates.select(F.col("u").alias("node")).unionByName(candidates.select(F.col("v").alias("node"))).distinct()
-    texts = found.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key"))
+    # stored, so that its size is known before texts are dealt
+    texts = stored(found.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key")), "whole-keys")
     sets = stored(keyed.select("text", "text_key").join(texts, "text_key").groupBy("node").agg(F.any_value("text").alias("text")).mapInArrow(
         collect, "node long, own array<long>"), "whole-sets")
     similar = F.col("both") * (top + low) >= (F.col("nu") + F.col("nv")) * top
