@@ -369,12 +369,12 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                       bucket: int = BUCKET) -> DataFrame:
     """(doc_id, component_id) per row: texts whose sets of word shingles have a Jaccard similarity of ``similarity`` or more are joined.
 
-    The default takes in what rounds to 0.80; ``drop_near_duplicates`` asks for 0.8 itself.
+    The default takes in what rounds to 0.80.
     """
     return _similar_rows(docs, id_col, text_col, shingle, seed, similarity, bucket).select("doc_id", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: str = "0.8") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: str = "0.795") -> DataFrame:
     """The rows of ``docs`` with the smallest id of their component (all columns); repeated rows of that id stay together, rows without an id stay."""
     found = _similar_rows(docs, id_col, text_col, shingle, 42, similarity, BUCKET)
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_text")).distinct()

@@ -143,7 +143,7 @@ def changed_copies(seed, texts, copies, length, shared=0):
 
 
 def kept_by_drop(spark, rows):
-    return sorted(r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    return sorted(r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), similarity="0.8").collect())
 
 
 def test_near_copies_are_exactly_those_of_brute_force(spark):
