@@ -8,12 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reliq.llm import bpe, brown, exact_dedup, langid, mixing, preferences, simhash, substrings, token_counts, topk
+from reliq.llm import bpe, brown, exact_dedup, filter_audit, langid, mixing, preferences, sentence_pieces, simhash, substrings, token_counts, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-RANKS, COUNTED = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
+RANKS, COUNTED, PIECES = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Token shares of the domains that the mixture aims at: fewer low and toxic ones than are found, so that clean texts keep a rate of 1 or more.
 TARGETS = {"clean": 0.90, "low": 0.08, "toxic": 0.02}
 
@@ -167,3 +167,47 @@ def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_join(F.transform(mask, lambda s: F.concat_ws("-", s["start"], s["end"])), ";")
 
     return made.withColumns({m: spans(m) for m in ("chosen_mask", "rejected_mask")})
+
+
+@_query("op11_filter_audit", r"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), l AS (
+  SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic, list_filter(
+    [CASE WHEN len(w) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' END,
+     CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 'C' END,
+     CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' END,
+     CASE WHEN coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY text), false) THEN 'E' END], lambda x: x IS NOT NULL) AS fails
+  FROM t LEFT JOIN l ON t.doc_id = l.doc_id
+), s AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails
+), n AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM n a JOIN n b ON b.x <> a.x JOIN n c ON c.x NOT IN (a.x, b.x)
+  JOIN n d ON d.x NOT IN (a.x, b.x, c.x) JOIN n e ON e.x NOT IN (a.x, b.x, c.x, d.x)
+), p AS (
+  SELECT filter_order, step::INTEGER AS step, string_split(left(filter_order, step - 1), '') AS before, substr(filter_order, step, 1) AS x
+  FROM o, (SELECT unnest(range(1, 6)) AS step)
+), m AS (
+  SELECT s.*, filter_order, step, x, list_has_any(fails, before) AS gone, list_contains(fails, x) AS here FROM s, p
+), r AS (
+  SELECT part, filter_order, step, x, sum(CASE WHEN NOT gone AND NOT here THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN NOT gone AND here THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN gone AND here THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN here AND len(fails) = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN NOT gone AND here THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN NOT gone AND here THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM m GROUP BY part, filter_order, step, x
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM r
+""")
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = filter_audit.text_fields(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return filter_audit.audit(fields, filter_audit.quality_filters(), F.col("part"), F.col("good"), F.col("toxic"))
+
+
+@_query("op12_sentence_pieces")
+def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = sentence_pieces.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), with_decoded=True)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
