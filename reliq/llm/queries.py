@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reliq.llm import bpe, brown, exact_dedup, filter_audit, langid, mixing, preferences, sentence_pieces, simhash, substrings, token_counts, topk
+from reliq.llm import bpe, brown, exact_dedup, filter_audit, langid, mixing, preferences, repair, sentence_pieces, simhash, substrings, token_counts, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -211,3 +211,61 @@ def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = sentence_pieces.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), with_decoded=True)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@_query("op13_structure_repair", r"""
+WITH RECURSIVE z AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS crc
+  FROM (SELECT unnest(range(256)) AS i)
+), t AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(4294967295, list_reduce(
+    list_concat([4294967295], list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT)),
+    lambda c, b: xor(c >> 8, z.crc[(xor(c, b) & 255) + 1]))) % 20 AS k
+  FROM conversations, z
+), d AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS again
+  FROM t WHERE k <> 0
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, again) > 1 AS seen, left(role, 1) AS x
+  FROM d
+), f AS (
+  SELECT *, CASE WHEN bare = '' THEN 'b' WHEN seen THEN 'd' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+    lag(x) OVER (PARTITION BY conv_id ORDER BY i) || x AS pair FROM o
+), e AS (
+  SELECT *, fault IN ('b', 'd') AS goes, (fault = 't')::INTEGER AS own, role || ':' || text || chr(10) AS line FROM f
+), r AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, {'c': 0, 'a': '', 't': ''} AS s0, {'c': 100000, 'a': '', 't': ''} AS s1, {'c': 100000, 'a': '', 't': ''} AS s2,
+    {'c': 100000, 'a': '', 't': ''} AS s3 FROM e
+  UNION ALL
+  SELECT conv_id, i,
+    list_min([{'c': s0.c + 3, 'a': s0.a || 'D', 't': s0.t}]),
+    list_min([{'c': s1.c + 3, 'a': s1.a || 'D', 't': s1.t}, {'c': CASE WHEN goes OR x <> 's' THEN 100000 ELSE s0.c + own END, 'a': s0.a || 'K', 't': s0.t || line}]),
+    list_min([{'c': s2.c + 3, 'a': s2.a || 'D', 't': s2.t}] || list_transform([s0, s1, s3], lambda s: {'c': CASE WHEN goes OR x <> 'u' THEN 100000 ELSE s.c + own END, 'a': s.a || 'K', 't': s.t || line})
+      || list_transform([s0, s1, s3], lambda s: {'c': CASE WHEN goes THEN 100000 ELSE s.c + own + 2 END, 'a': s.a || 'R', 't': s.t || 'user:' || text || chr(10)})
+      || list_transform([s2], lambda s: {'c': CASE WHEN goes OR x <> 'u' THEN 100000 ELSE s.c + own + 2 END, 'a': s.a || 'IK', 't': s.t || 'assistant:' || chr(10) || line})
+      || list_transform([s2], lambda s: {'c': CASE WHEN goes THEN 100000 ELSE s.c + own + 4 END, 'a': s.a || 'IR', 't': s.t || 'assistant:' || chr(10) || 'user:' || text || chr(10)})),
+    list_min([{'c': s3.c + 3, 'a': s3.a || 'D', 't': s3.t}, {'c': CASE WHEN goes OR x <> 'a' THEN 100000 ELSE s2.c + own END, 'a': s2.a || 'K', 't': s2.t || line},
+      {'c': CASE WHEN goes THEN 100000 ELSE s2.c + own + 2 END, 'a': s2.a || 'R', 't': s2.t || 'assistant:' || text || chr(10)}]
+      || list_transform([s0, s1, s3], lambda s: {'c': CASE WHEN goes OR x <> 'a' THEN 100000 ELSE s.c + own + 2 END, 'a': s.a || 'IK', 't': s.t || 'user:' || chr(10) || line})
+      || list_transform([s0, s1, s3], lambda s: {'c': CASE WHEN goes THEN 100000 ELSE s.c + own + 4 END, 'a': s.a || 'IR', 't': s.t || 'user:' || chr(10) || 'assistant:' || text || chr(10)}))
+  FROM (SELECT e.conv_id, e.i, s0, s1, s2, s3, goes, own, x, line, text FROM r JOIN e ON e.conv_id IS NOT DISTINCT FROM r.conv_id AND e.i = r.i + 1)
+), b AS (
+  SELECT conv_id, list_min([s0, {'c': s1.c + 4, 'a': s1.a || 'II', 't': s1.t || 'user:' || chr(10) || 'assistant:' || chr(10)},
+    {'c': s2.c + 2, 'a': s2.a || 'I', 't': s2.t || 'assistant:' || chr(10)}, s3]) AS best
+  FROM r QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1
+), g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank,
+    count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM e GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit,
+  sha256(coalesce(left(best.t, length(best.t) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+""")
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    reports, repaired = repair.repair(repair.damaged(turns))
+    return repair.with_digests(turns.select("conv_id"), reports, repaired)
