@@ -133,25 +133,29 @@ def redact_rows(rows: DataFrame, fields: tuple[str, ...], max_chars: int | None
     return named.select(*rest, *[c.alias(f) for f, c in out.items()])
 
 
-def search_incidents(queries: DataFrame, stored: DataFrame, limit: int = 5) -> DataFrame:
-    """Ranked hits per query with redacted key, summary and status."""
-    docs = stored.withColumn("doc_id", F.col("key"))
-    hits = search.search(queries, docs, SEARCH_COLUMNS, limit)
+def index_incidents(stored: DataFrame) -> search.TextIndex:
+    """A text index over the incidents, for several searches."""
+    return search.text_index.build(stored, SEARCH_COLUMNS, "key")
+
+
+def search_incidents(queries: DataFrame, stored: DataFrame, limit: int = 5, index: search.TextIndex | None = None) -> DataFrame:
+    """Ranked hits per query with redacted key, summary and status; ``index`` is the stored index of ``stored``."""
+    hits = search.search(queries, index or index_incidents(stored), SEARCH_COLUMNS, limit)
     rows = hits.select("query_id", "rank", F.col("doc_id").alias("key")).join(stored, "key")
     return redact_rows(rows.select("query_id", "rank", *COLUMNS), ("key", "summary", "status"))
 
 
-def related_lines(queries: DataFrame, stored: DataFrame, limit: int = 3) -> DataFrame:
+def related_lines(queries: DataFrame, stored: DataFrame, limit: int = 3, index: search.TextIndex | None = None) -> DataFrame:
     """A short text block of related incidents per query."""
-    hits = search_incidents(queries, stored, limit)
+    hits = search_incidents(queries, stored, limit, index)
     line = F.format_string("- %s: %s [%s]", "key", F.trim("summary"), F.trim("status"))
     listed = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("l")))).alias("_l"))
     return listed.select("query_id", F.array_join(F.transform("_l", lambda x: x["l"]), "\n").alias("lines"))
 
 
-def find_duplicates(queries: DataFrame, stored: DataFrame, limit: int = 5) -> DataFrame:
+def find_duplicates(queries: DataFrame, stored: DataFrame, limit: int = 5, index: search.TextIndex | None = None) -> DataFrame:
     docs = stored.withColumn("doc_id", F.col("key"))
-    top = search.find_duplicates(queries, docs, SEARCH_COLUMNS, limit)
+    top = search.find_duplicates(queries, docs, SEARCH_COLUMNS, limit, index=index)
     rows = top.select("query_id", "rank", "score", F.col("doc_id").alias("key")).join(stored, "key")
     return redact_rows(rows.select("query_id", "rank", "score", *COLUMNS), ("key", "summary", "status"))
 

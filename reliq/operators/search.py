@@ -2,8 +2,8 @@
 
 ``docs`` tables carry ``doc_id`` and text columns. Queries come as a table, all
 answered in one job. No join pairs every query with every document: term
-predicates join on the rarest term, and BM25 skips terms that cannot change the
-top k (an exact bound, not a cut-off).
+predicates join on the rarest term, and BM25 opens only those shares of the stored
+index that can change the top k (an exact bound, not a cut-off).
 """
 
 from __future__ import annotations
@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 
 from reliq import checks
 from reliq.functions import text as X
+from reliq.operators import text_index
+from reliq.operators.text_index import TextIndex
 from reliq.session import run_dir
 
 # The published BM25 constants and the floor for terms in over half of the documents.
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
-SEED_POSTINGS = 20_000
+SEED_POSTINGS = 2_000
 
 
 # A private-use character as a term of its own between columns, so that no phrase crosses them.
@@ -93,94 +95,58 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def postings(docs: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
-    """(postings, lengths): term counts per document, and each document's term count."""
-    tokens = X.index_tokens(F.concat_ws(" ", *columns))
-    tokenized = docs.select("doc_id", tokens.alias("_tokens"))
-    lengths = tokenized.select("doc_id", F.size("_tokens").alias("doc_len"))
-    counted = tokenized.select("doc_id", F.size("_tokens").alias("doc_len"), F.explode("_tokens").alias("token")).groupBy(
-        "token", "doc_id", "doc_len").agg(F.count("*").alias("tf"))
-    return counted, lengths
-
-
-def index_gaps(docs: DataFrame, posted: DataFrame) -> DataFrame:
-    """Documents that have text but no posting (an incomplete index)."""
-    return docs.join(posted.select("doc_id").distinct(), "doc_id", "left_anti")
-
-
 def query_terms(queries: DataFrame) -> DataFrame:
     """Terms per query with their number of uses."""
     return queries.select("query_id", F.explode(X.index_tokens(F.col("text"))).alias("token")).groupBy(
         "query_id", "token").agg(F.count("*").alias("qtf"))
 
 
-def bm25_top(queries: DataFrame, docs: DataFrame, columns: list[str], k: int) -> DataFrame:
+def index_of(docs: DataFrame | TextIndex, columns: list[str]) -> TextIndex:
+    """``docs`` itself if it is an index, else a new one over its columns."""
+    return docs if isinstance(docs, TextIndex) else text_index.build(docs, columns)
+
+
+def _impact(tf: str, doc_len: str) -> Column:
+    """What a posting adds per unit of its term's weight; grows with tf, falls with the document's length."""
+    return F.col(tf) * (K1 + 1) / (F.col(tf) + K1 * (1 - B + B * F.col(doc_len) / F.col("avg_len")))
+
+
+def bm25_top(queries: DataFrame, docs: DataFrame | TextIndex, columns: list[str], k: int) -> DataFrame:
     """The k best documents per query: ``(query_id, doc_id, score, rank)``, any term may match.
 
-    Terms are read from rare to common. A first pass over the rarest terms gives
-    each query a score its k-th document reaches for certain. Common terms whose
-    largest possible contributions together stay below that score cannot bring in
-    a new document, so they are only looked up for documents already found.
+    First the postings of each query's rarest terms give it a score that its k-th document reaches for certain. Then
+    the bounds of posting blocks add up what any document of a block share can score at most; only shares that
+    can reach the certain score are opened, and their postings of all terms are added up.
     """
+    index = index_of(docs, columns)
     terms = query_terms(queries)
-    counted, lengths = postings(docs, *columns)
-    posted = materialize(
-        counted.join(terms.select("token").distinct(), "token", "left_semi"), "postings"
-    )
-    stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len")).withColumn("_one", F.lit(1))
-    frequency = posted.groupBy("token").agg(F.count("*").alias("df"))
+    frequency = index.frequency(terms)
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(MIN_IDF))
-    weighted = (
-        terms.join(frequency, "token").withColumn("_one", F.lit(1)).join(F.broadcast(stats), "_one").drop("_one")
-        .withColumn("weight", F.col("qtf") * idf)
-        .withColumn("bound", F.col("weight") * (K1 + 1))
-    )
-    rare_first = Window.partitionBy("query_id").orderBy("df", "token")
-    seeded = weighted.withColumn("_read", F.sum("df").over(rare_first)).withColumn("_pos", F.row_number().over(rare_first))
-    seeded = materialize(
-        seeded.withColumn("seed", (F.col("_read") <= SEED_POSTINGS) | (F.col("_pos") == 1)).drop("_read", "_pos"), "terms"
-    )
-    part = F.col("weight") * F.col("tf") * (K1 + 1) / (
-        F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-
-    def scored(some_terms: DataFrame) -> DataFrame:
-        return some_terms.select("query_id", "token", "weight", "avg_len").join(posted, "token").groupBy(
-            "query_id", "doc_id").agg(F.sum(part).alias("score"))
+    weighted = terms.join(frequency, "token").join(F.broadcast(index.stats())).select(
+        "query_id", "token", "df", "avg_len", (F.col("qtf") * idf).alias("weight")).withColumn("bucket", text_index.bucket())
+    on = ["bucket", "token"]
 
     def best(df: DataFrame, n: int) -> DataFrame:
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
         return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
-    floor = best(scored(seeded.filter("seed")), k).filter(F.col("rank") == k).select(
+    def scored(met: DataFrame) -> DataFrame:
+        return met.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * _impact("tf", "doc_len")).alias("score"))
+
+    rare_first = Window.partitionBy("query_id").orderBy("df", "token")
+    seeds = weighted.withColumn("_read", F.sum("df").over(rare_first)).withColumn("_pos", F.row_number().over(rare_first)).filter(
+        (F.col("_read") <= SEED_POSTINGS) | (F.col("_pos") == 1)).select("query_id", "token", "bucket", "weight", "avg_len")
+    floor = best(scored(seeds.join(index.postings(), on)), k).filter(F.col("rank") == k).select(
         "query_id", (F.col("score") * (1 - 1e-9)).alias("floor"))
-    common_first = Window.partitionBy("query_id").orderBy(F.desc("df"), "token")
-    split = (
-        seeded.join(floor, "query_id", "left")
-        .withColumn("_reach", F.sum("bound").over(common_first))
-        .withColumn("extra", F.coalesce(F.col("_reach") < F.col("floor"), F.lit(False)))
-        .drop("_reach")
-    )
-    split = materialize(split, "split")
-    # Documents found by the needed terms, kept when the skipped terms could still lift them to the floor.
-    spare = split.groupBy("query_id").agg(
-        F.sum(F.when(F.col("extra"), F.col("bound")).otherwise(0.0)).alias("spare"), F.max("floor").alias("floor"))
-    found = (
-        scored(split.filter("NOT extra")).join(spare, "query_id")
-        .filter(F.col("floor").isNull() | (F.col("score") + F.col("spare") >= F.col("floor")))
-        .select("query_id", "doc_id", "score")
-    )
-    looked_up = (
-        found.select("query_id", "doc_id")
-        .join(split.filter("extra").select("query_id", "token", "weight", "avg_len"), "query_id")
-        .join(posted, ["token", "doc_id"])
-        .groupBy("query_id", "doc_id").agg(F.sum(part).alias("more"))
-    )
-    total = found.join(looked_up, ["query_id", "doc_id"], "left").select(
-        "query_id", "doc_id", F.round(F.col("score") + F.coalesce("more", F.lit(0.0)), 9).alias("score"))
-    return best(total, k)
+    bounds = weighted.join(index.blocks().select("bucket", "token", "batch", "block", "max_tf", "min_len"), on).groupBy("query_id", "batch", "block").agg(
+        F.sum(F.col("weight") * _impact("max_tf", "min_len")).alias("most"))
+    open_shares = bounds.join(floor, "query_id", "left").filter(F.col("floor").isNull() | (F.col("most") >= F.col("floor"))).select("query_id", "batch", "block")
+    wanted = open_shares.join(weighted.select("query_id", *on, "weight", "avg_len"), "query_id")
+    total = scored(wanted.join(index.postings(), [*on, "batch", "block"])).withColumn("score", F.round("score", 9))
+    return best(total, k).select("query_id", "doc_id", "score", "rank")
 
 
-def search(queries: DataFrame, docs: DataFrame, columns: list[str], limit: int = 5) -> DataFrame:
+def search(queries: DataFrame, docs: DataFrame | TextIndex, columns: list[str], limit: int = 5) -> DataFrame:
     return bm25_top(queries, docs, columns, checks.clamp(limit, 1, checks.MAX_SEARCH_LIMIT, 5))
 
 
@@ -196,13 +162,14 @@ def search_contains(docs: DataFrame, text: str, columns: list[str], limit: int =
 
 
 def find_duplicates(queries: DataFrame, docs: DataFrame, columns: list[str], limit: int = 5,
-                    overlap_columns: tuple[str, ...] = ("summary", "body")) -> DataFrame:
+                    overlap_columns: tuple[str, ...] = ("summary", "body"), index: TextIndex | None = None) -> DataFrame:
     """BM25 pool of three times ``limit``, re-ranked by the share of the query's words found."""
     limit = checks.clamp(limit, 1, checks.MAX_DUPLICATE_LIMIT, 5)
-    pool = bm25_top(queries, docs, columns, limit * 3)
+    pool = bm25_top(queries, index or docs, columns, limit * 3)
     words = queries.select("query_id", X.long_word_set(F.col("text")).alias("_q"))
-    bodies = docs.select("doc_id", X.long_word_set(F.concat_ws(" ", *overlap_columns)).alias("_d"))
     # Only pool documents get a word set: the pool has at most 3 * limit rows per query.
+    texts = docs.select("doc_id", F.concat_ws(" ", *overlap_columns).alias("_t")).join(pool.select("doc_id").distinct(), "doc_id", "left_semi")
+    bodies = texts.select("doc_id", X.long_word_set(F.col("_t")).alias("_d"))
     scored = pool.join(words, "query_id").join(bodies, "doc_id").select(
         "query_id", "doc_id", F.col("rank").alias("pool_rank"), F.round(X.overlap_ratio(F.col("_q"), F.col("_d")), 9).alias("_s"))
     order = Window.partitionBy("query_id").orderBy(F.desc("_s"), "pool_rank")

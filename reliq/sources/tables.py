@@ -50,14 +50,18 @@ class Store:
 
     # -- snapshot tables --------------------------------------------------
 
-    def read(self, name: str, version: int | None = None) -> DataFrame:
+    def _reader(self, schema: str | None):
+        return self.spark.read if schema is None else self.spark.read.schema(schema)
+
+    def read(self, name: str, version: int | None = None, schema: str | None = None) -> DataFrame:
+        """A table; a partitioned one whose batches may all be empty needs its schema."""
         current = self.version(name) if version is None else version
         if current:
             return self.spark.read.parquet(f"{self.root}/{name}/v_{current}")
         batches = self._committed(name, "b=")
         if not batches:
             raise FileNotFoundError(f"no table {name} in {self.root}")
-        return self.spark.read.option("basePath", f"{self.root}/{name}").parquet(*batches).drop("b")
+        return self._reader(schema).option("basePath", f"{self.root}/{name}").parquet(*batches).drop("b")
 
     def read_or_none(self, name: str) -> DataFrame | None:
         return self.read(name) if self.exists(name) else None
@@ -72,9 +76,26 @@ class Store:
 
     # -- batch tables -------------------------------------------------------
 
-    def append(self, name: str, df: DataFrame, batch_id: str | int) -> None:
+    def append(self, name: str, df: DataFrame, batch_id: str | int, partition_by: tuple[str, ...] | None = None) -> None:
         self.mark_version()
-        df.write.mode("overwrite").partitionBy(*PARTITIONED.get(name, ())).parquet(f"{self.root}/{name}/b={batch_id}")
+        parts = PARTITIONED.get(name, ()) if partition_by is None else partition_by
+        df.write.mode("overwrite").partitionBy(*parts).parquet(f"{self.root}/{name}/b={batch_id}")
+
+    def batch(self, name: str, batch_id: str | int, schema: str | None = None) -> DataFrame:
+        """One batch of a batch table."""
+        return self._reader(schema).parquet(f"{self.root}/{name}/b={batch_id}")
+
+    def batches(self, name: str) -> list[str]:
+        """Ids of the written batches, in their order."""
+        return sorted(p.rsplit("/b=", 1)[1] for p in self._committed(name, "b="))
+
+    def take_over(self, source: str, target: str) -> None:
+        """The batches of ``source`` become those of ``target``, whose own go; for tables whose writers rest."""
+        jvm = self.spark._jvm
+        old, new = (jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}") for name in (target, source))
+        fs = old.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.delete(old, True)
+        fs.rename(new, old)
 
     def has_batch(self, name: str, batch_id: str | int) -> bool:
         return any(p.rsplit("/", 1)[1] == f"b={batch_id}" for p in self._committed(name, "b="))

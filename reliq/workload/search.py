@@ -36,7 +36,7 @@ def docs(t):
 
 @query("bm25_search", f"WITH {BM25} SELECT query_id, doc_id, round(score, 4) AS score, rank FROM ranked WHERE rank <= 10")
 def _(t):
-    top = search.search(views.search_queries(t), docs(t), COLUMNS, 10)
+    top = search.search(views.search_queries(t), views.incident_index(t), COLUMNS, 10)
     return top.withColumn("score", F.round("score", 4))
 
 
@@ -48,7 +48,7 @@ s AS (SELECT query_id, doc_id, rank AS pool_rank, round(len(list_intersect(q, d)
   FROM ranked JOIN w USING (query_id) JOIN d USING (doc_id) WHERE rank <= 15)
 SELECT query_id, doc_id, round(s, 3) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, pool_rank) AS rank FROM s QUALIFY rank <= 5""")
 def _(t):
-    return search.find_duplicates(views.search_queries(t), docs(t), COLUMNS, 5)
+    return search.find_duplicates(views.search_queries(t), docs(t), COLUMNS, 5, index=views.incident_index(t))
 
 
 @query("contains_search", f"""WITH {INCIDENTS},
@@ -74,12 +74,10 @@ def _(t):
   SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+')) AS token FROM documents) GROUP BY ALL)
 GROUP BY token""")
 def _(t):
-    posted, _lens = search.postings(t.spread("documents"), "text")
-    return posted.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("uses"))
+    return views.document_index(t).uses()
 
 
 @query("index_gaps", """SELECT doc_id FROM labels WHERE doc_id NOT IN (
   SELECT doc_id FROM documents WHERE regexp_matches(text, '[\\p{L}\\p{N}]'))""")
 def _(t):
-    posted, _lens = search.postings(t.spread("documents"), "text")
-    return search.index_gaps(t("labels").select("doc_id"), posted)
+    return views.document_index(t).gaps(t("labels").select("doc_id"))
