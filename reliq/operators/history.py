@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from reliq import checks
 from reliq.functions import text as X
-from reliq.operators import search
+from reliq.operators import literals, search
 from reliq.operators.verdicts import FAILING, asked_keys, offered_keys
 
 MAX_OFFENDERS = 50
 CASE_COLUMNS = ["case_id", "run_id", "classname", "name", "file_path", "status"]
+#: Columns that a text or literal lookup reads.
+TEXT_COLUMNS = ["classname", "name", "failure_message", "stack_trace"]
 
 
 def is_failing() -> Column:
@@ -45,21 +47,39 @@ def text_matches(ids: DataFrame, cases: DataFrame) -> DataFrame:
     """Cases that hold every word of the id's name part in class, name, message or trace."""
     _, right = X.id_parts(F.col("test_id"))
     wanted = ids.select("test_id", search.phrases(right).alias("phrases"))
-    docs = cases.withColumn("_terms", search.term_text("classname", "name", "failure_message", "stack_trace"))
+    docs = cases.withColumn("_terms", search.term_text(*TEXT_COLUMNS))
     return search.all_terms_join(wanted, "test_id", docs, "_terms").drop("_terms")
 
 
-def matches(ids: DataFrame, cases: DataFrame) -> DataFrame:
-    """Exact matches, and text matches for the ids that have none.
+def is_term_query(test_id: Column) -> Column:
+    """Whether the id's name part can be read as terms: letters, digits, ``_`` and blanks, or quotes and ``*`` around these."""
+    _, right = X.id_parts(test_id)
+    return right.rlike(r'^(?U)[\w\s"*]+$')
+
+
+def literal_matches(ids: DataFrame, cases: DataFrame, index: literals.LiteralIndex | None = None) -> DataFrame:
+    """Cases that hold the id's name part literally in class, name, message or trace; ``index`` is a stored one over these columns."""
+    _, right = X.id_parts(F.col("test_id"))
+    wanted = ids.select("test_id", right.alias("needle"))
+    found = (index or literals.build(cases, TEXT_COLUMNS)).matching_rows(wanted, cases, TEXT_COLUMNS, CASE_COLUMNS)
+    return wanted.join(found, "needle").select("test_id", *CASE_COLUMNS)
+
+
+def matches(ids: DataFrame, cases: DataFrame, index: literals.LiteralIndex | None = None) -> DataFrame:
+    """(test_id, case columns) of exact matches; ids that have none are sought as terms, or literally if they cannot be terms.
 
     The resolved ids are small tables and used several times, so they are written
     once; without unmatched ids the case texts are not read at all.
     """
     asked = search.materialize(ids.select("test_id").distinct(), "ids")
     tests = search.materialize(known_tests(asked, cases), "known-tests")
-    exact = cases_of(tests, cases)
-    missing = search.materialize(asked.join(tests.select("test_id"), "test_id", "left_anti"), "unmatched-ids")
-    return exact if missing.isEmpty() else exact.unionByName(text_matches(missing, cases))
+    exact = cases_of(tests, cases).select("test_id", *CASE_COLUMNS)
+    missing = search.materialize(asked.join(tests.select("test_id"), "test_id", "left_anti").select("test_id", is_term_query(F.col("test_id")).alias("terms")), "unmatched-ids")
+    for kind, find in (("terms", text_matches), ("NOT terms", lambda rest, of: literal_matches(rest, of, index))):
+        rest = missing.filter(kind).select("test_id")
+        if not rest.isEmpty():
+            exact = exact.unionByName(find(rest, cases).select("test_id", *CASE_COLUMNS))
+    return exact
 
 
 def lookup_counts(matched: DataFrame) -> DataFrame:
@@ -84,26 +104,26 @@ def recent_failures(matched: DataFrame, runs: DataFrame, limit: int = checks.DEF
 
 
 def failure_lookup(ids: DataFrame, cases: DataFrame, runs: DataFrame, limit: int = checks.DEFAULT_LIMIT,
-                   max_trace_chars: int = 500) -> DataFrame:
-    """Counts and the latest failures (an array of at most 50) for every id."""
+                   max_trace_chars: int = 500, index: literals.LiteralIndex | None = None) -> DataFrame:
+    """Counts and the latest failures (an array of at most 50) for every id, from the cases; ``rollups.failure_lookup`` reads rollups."""
     # Kept slim and computed once: counts need no texts, and only failing rows are ranked.
-    slim = search.materialize(matches(ids, cases).select("test_id", *CASE_COLUMNS), "matches")
+    slim = search.materialize(matches(ids, cases, index), "matches")
     texts = cases.filter(is_failing()).select("case_id", "run_id", "failure_type", "failure_message", "stack_trace")
-    failures = (
-        recent_failures(slim, runs, limit).join(texts, ["case_id", "run_id"])
-        .groupBy("test_id")
-        .agg(
-            F.sort_array(F.collect_list(F.struct(
-                "rank", "run_id", F.col("effective_ts").alias("timestamp"), "status", "classname", "name",
-                "file_path", "failure_type", F.col("failure_message").alias("message"),
-                X.truncate(F.col("stack_trace"), max_trace_chars).alias("stack_trace_excerpt"),
-            ))).alias("failures")
-        )
-    )
+    latest = recent_failures(slim, runs, limit).join(texts, ["case_id", "run_id"])
+    return lookup_answers(ids.select("test_id").distinct(), lookup_counts(slim), latest, max_trace_chars)
+
+
+def lookup_answers(ids: DataFrame, counts: DataFrame, latest: DataFrame, max_trace_chars: int) -> DataFrame:
+    """One row per id from its counts and ranked failures; zeros and no failures for an id without."""
+    failures = latest.groupBy("test_id").agg(
+        F.sort_array(F.collect_list(F.struct(
+            "rank", "run_id", F.col("effective_ts").alias("timestamp"), "status", "classname", "name",
+            "file_path", "failure_type", F.col("failure_message").alias("message"),
+            X.truncate(F.col("stack_trace"), max_trace_chars).alias("stack_trace_excerpt"),
+        ))).alias("failures"))
     zero = F.lit(0)
     return (
-        ids.select("test_id").distinct()
-        .join(lookup_counts(slim), "test_id", "left")
+        ids.join(counts, "test_id", "left")
         .join(failures, "test_id", "left")
         .select(
             "test_id",

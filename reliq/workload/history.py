@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reliq.functions import times
-from reliq.operators import history, verdicts
+from reliq.operators import history, rollups, verdicts
 from reliq.workload import views
 from reliq.workload.registry import Tables, query
 from reliq.workload.views import CASES, MIN_FAILS, NOW, RUNS, WINDOW_DAYS
@@ -184,18 +184,23 @@ fuzzy AS (
   SELECT p.test_id, c.*, r.effective_ts AS et
   FROM parts p JOIN terms ON contains(hay, ' ' || trim(regexp_replace(p.r, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' ')
   JOIN v_cases c USING (case_id, run_id) JOIN v_runs r USING (run_id)
-  WHERE p.test_id NOT IN (SELECT test_id FROM matched))
+  WHERE p.test_id NOT IN (SELECT test_id FROM matched)),
+hits AS (SELECT * FROM matched UNION ALL SELECT * FROM fuzzy),
+top AS (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY et DESC NULLS LAST, case_id) AS rank FROM hits WHERE status IN ('failed','error')),
+shown AS (SELECT test_id, count(*) AS failures_returned, string_agg(concat_ws('|', rank, run_id, strftime(et, {_TS}), status, classname, name, file_path, failure_type,
+  failure_message, stack_trace), chr(10) ORDER BY rank) AS failures FROM top WHERE rank <= 10 GROUP BY test_id)
 SELECT test_id, count(DISTINCT struct_pack(c := classname, n := name)) AS matched_tests,
   count(DISTINCT run_id) AS total_runs,
   count(DISTINCT CASE WHEN status IN ('failed','error') THEN run_id END) AS failure_count,
   strftime(max(CASE WHEN status IN ('failed','error') THEN et END), {_TS}) AS last_failure_at,
-  least(10, count(*) FILTER (WHERE status IN ('failed','error'))) AS failures_returned
-FROM (SELECT * FROM matched UNION ALL SELECT * FROM fuzzy) GROUP BY test_id""")
+  coalesce(any_value(failures_returned), 0) AS failures_returned, coalesce(any_value(failures), '') AS failures
+FROM hits LEFT JOIN shown USING (test_id) GROUP BY test_id""")
 def _(t):
-    out = history.failure_lookup(all_ids(t), *base(t))
-    return _stamp(out, "last_failure_at").withColumn(
-        "failures_returned", F.when(F.col("failures").isNull(), 0).otherwise(F.size("failures"))
-    ).drop("failures")
+    out = rollups.failure_lookup(all_ids(t), views.history_rollups(t), *base(t))
+    line = F.transform("failures", lambda f: F.concat_ws(
+        "|", f["rank"], f["run_id"], times.iso(f["timestamp"]), f["status"], f["classname"], f["name"], f["file_path"], f["failure_type"], f["message"], f["stack_trace_excerpt"]))
+    return _stamp(out, "last_failure_at").withColumn("failures_returned", F.coalesce(F.size("failures"), F.lit(0)).cast("long")).withColumn(
+        "failures_returned", F.greatest("failures_returned", F.lit(0).cast("long"))).withColumn("failures", F.coalesce(F.array_join(line, "\n"), F.lit("")))
 
 
 @query("recent_failures", _LOOKUP + f"""
@@ -248,6 +253,24 @@ def _(t):
     return history.text_matches(ids, views.cases(t)).groupBy("test_id").agg(F.count("*").alias("cases"))
 
 
+#: Needles of the literal lookup: of one, two and more characters, wildcards of SQL, other case, blanks, none at all.
+_NEEDLES = ["%", "_", "e", "t_", "_9", "9 b", "step 1", " of test_4", "pected 3 but g", "TEST_4", "got 6", "mod_1", "%_", "zz", "", "  "]
+
+
+@query("substring_lookup", f"""WITH {RUNS}, {CASES},
+n AS (SELECT unnest({_NEEDLES}) AS needle UNION SELECT 'step ' || (l_suppkey % 50) || ' of test_' || (l_partkey % 10) FROM lineitem),
+m AS (SELECT needle, c.* FROM n JOIN v_cases c ON needle <> '' AND (contains(classname, needle) OR contains(name, needle) OR contains(failure_message, needle) OR contains(stack_trace, needle)))
+SELECT needle, count(*) AS cases, count(DISTINCT run_id) AS total_runs, count(DISTINCT CASE WHEN status IN ('failed','error') THEN run_id END) AS failure_count,
+  count(DISTINCT struct_pack(c := classname, n := name)) AS matched_tests FROM m GROUP BY needle""")
+def _(t):
+    spark, cases = t.spark, views.cases(t)
+    step = F.concat(F.lit("step "), (F.col("l_suppkey") % 50).cast("string"), F.lit(" of test_"), (F.col("l_partkey") % 10).cast("string"))
+    needles = spark.createDataFrame([(n,) for n in _NEEDLES], "test_id string").union(t("lineitem").select(step)).distinct()
+    found = history.literal_matches(needles, cases, views.literal_index(t))
+    counts = history.lookup_counts(found).join(found.groupBy("test_id").agg(F.count("*").alias("cases")), "test_id")
+    return counts.select(F.col("test_id").alias("needle"), "cases", "total_runs", "failure_count", "matched_tests")
+
+
 @query("store_status", f"""WITH {RUNS}
 SELECT count(*) AS runs, strftime(min(effective_ts), {_TS}) AS earliest, strftime(max(effective_ts), {_TS}) AS latest,
   (SELECT count(*) FROM lineitem) AS cases FROM v_runs""")

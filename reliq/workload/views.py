@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reliq.operators import incidents as I
-from reliq.operators import lines, text_index
+from reliq.operators import history as H
+from reliq.operators import lines, literals, rollups, text_index
 from reliq.workload.registry import Tables
 
 NOW = datetime(2001, 8, 1)
@@ -152,10 +153,10 @@ v_incidents AS (
   FROM documents)"""
 
 
-_INDEXES: dict[tuple, text_index.TextIndex] = {}
+_INDEXES: dict[tuple, object] = {}
 
 
-def _index(t: Tables, name: str, build) -> text_index.TextIndex:
+def _index(t: Tables, name: str, build):
     """The stored index over a view: made by the first query of an application that needs it, read by all others."""
     key = (t.spark.sparkContext.applicationId, t.path, name)
     if key not in _INDEXES:
@@ -171,6 +172,14 @@ def document_index(t: Tables) -> text_index.TextIndex:
     return _index(t, "documents", lambda: text_index.build(t.spread("documents"), ["text"]))
 
 
+def literal_index(t: Tables) -> literals.LiteralIndex:
+    return _index(t, "literals", lambda: literals.build(cases(t), H.TEXT_COLUMNS))
+
+
+def history_rollups(t: Tables) -> rollups.Rollups:
+    return _index(t, "rollups", lambda: rollups.build(cases(t), runs(t)))
+
+
 def search_queries(t: Tables) -> DataFrame:
     return t("benchmark").select(F.col("item_id").alias("query_id"), "text")
 
