@@ -94,6 +94,14 @@ def lookup_counts(matched: DataFrame) -> DataFrame:
     return by_run.join(per_test, "test_id").select("test_id", "total_runs", "failure_count", "matched_tests")
 
 
+def failure_totals(ids: DataFrame, cases: DataFrame, runs: DataFrame) -> DataFrame:
+    """(test_id, total_runs, failure_count, last_failure_at) of exactly matching cases, in one pass over them."""
+    timed = exact_matches(ids, cases).select("test_id", "run_id", is_failing().alias("_bad")).groupBy("test_id", "run_id").agg(F.max("_bad").alias("_bad")).join(
+        runs.select("run_id", "effective_ts"), "run_id")
+    return timed.groupBy("test_id").agg(F.count("*").alias("total_runs"), F.count_if("_bad").alias("failure_count"),
+                                        F.max(F.when(F.col("_bad"), F.col("effective_ts"))).alias("last_failure_at"))
+
+
 def recent_failures(matched: DataFrame, runs: DataFrame, limit: int = checks.DEFAULT_LIMIT) -> DataFrame:
     """The latest failing cases per id, ranked by effective time then case id."""
     limit = checks.clamp(limit, checks.MIN_LIMIT, checks.MAX_LIMIT, checks.DEFAULT_LIMIT)

@@ -143,18 +143,14 @@ def list_verdicts(verdicts: DataFrame, statuses=None) -> DataFrame:
     return verdicts.orderBy(F.desc("fails"), F.desc("runs"), "test_key")
 
 
-def resolve_verdicts(ids: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Verdicts per ``test_id``: exact key, else class/file + name, else bare name.
+def verdict_hits(ids: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Verdicts that a ``test_id`` can mean, with the tier: 1 exact key, 2 class or file + name, 3 bare name.
 
-    Both sides list the keys they can meet on, each with its tier, and meet in one
-    equi-join; per id only the lowest tier that found anything counts.
+    Both sides list the keys they can meet on, each with its tier, and meet in one equi-join.
     """
-    asked = ids.select("test_id").distinct()
-    wanted = asked.select("test_id", F.explode(asked_keys(F.col("test_id"), F.col("test_id"))).alias("_k"))
+    wanted = ids.select("test_id").distinct().select("test_id", F.explode(asked_keys(F.col("test_id"), F.col("test_id"))).alias("_k"))
     offered = verdicts.withColumn("_k", F.explode(offered_keys(F.col("test_key"))))
-    hits = wanted.join(offered, "_k").withColumn("_tier", F.col("_k.tier")).drop("_k")
-    best = hits.groupBy("test_id").agg(F.min("_tier").alias("_tier"))
-    return hits.join(best, ["test_id", "_tier"], "left_semi").drop("_tier")
+    return wanted.join(offered, "_k").withColumn("_tier", F.col("_k.tier")).drop("_k")
 
 
 def _key(tier: int, *parts: Column) -> Column:
@@ -179,21 +175,19 @@ def offered_keys(exact: Column | None = None) -> Column:
 
 
 def is_flaky(ids: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The worst matching verdict per id, ``unknown`` when there is none."""
-    found = resolve_verdicts(ids, verdicts)
-    # Aggregates, not a window: an ambiguous name with very many matches combines map-side.
-    rank = F.struct((-F.col("fails")).alias("f"), (-F.col("runs")).alias("r"), F.col("test_key").alias("k"))
+    """The worst matching verdict of the lowest tier that found any, per id; ``unknown`` when there is none."""
+    # One aggregate, no window: an ambiguous name with very many matches combines map-side, and verdicts are read once.
+    rank = F.struct("_tier", (-F.col("fails")).alias("f"), (-F.col("runs")).alias("r"), F.col("test_key").alias("k"))
     fields = ["test_key", "status", "fails", "passes", "runs", "window_days", "last_failure"]
-    best = found.groupBy("test_id").agg(
-        F.count("*").alias("matched"), F.min_by(F.struct(*fields), rank).alias("_best")
-    )
+    best = verdict_hits(ids, verdicts).groupBy("test_id").agg(
+        F.min("_tier").alias("_tier"), *(F.count_if(F.col("_tier") == n).alias(f"_n{n}") for n in (1, 2, 3)), F.min_by(F.struct(*fields), rank).alias("_best"))
     out = ids.select("test_id").distinct().join(best, "test_id", "left")
     return out.select(
         "test_id",
         F.coalesce(F.col("_best.status"), F.lit(UNKNOWN)).alias("status"),
         (F.coalesce(F.col("_best.status"), F.lit(UNKNOWN)) == FLAKY).alias("is_flaky"),
         *[F.col(f"_best.{f}").alias(f) for f in fields if f != "status"],
-        F.coalesce("matched", F.lit(0)).alias("matched"),
+        F.coalesce(F.get(F.array("_n1", "_n2", "_n3"), F.col("_tier") - 1), F.lit(0)).alias("matched"),
     )
 
 

@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reliq.functions import loglines as L
 from reliq.operators import history, incidents, stability, verdicts
 
 
-def join_known(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
-    """Left join on a key that many rows lack: those are set aside, so that nulls do not meet in one task."""
-    known = rows.filter(F.col(key).isNotNull()).join(facts, key, "left")
-    return known.unionByName(rows.filter(F.col(key).isNull()), allowMissingColumns=True)
+#: Leads a stand-in key that meets no other key.
+_NOTHING = "\0"
 
 
-def incident_context(failures: DataFrame, triaged: DataFrame, stored: DataFrame, limit: int = 3) -> DataFrame:
-    """Related incidents per failure, sought by the log's signal line, else by the test id."""
+def join_known(rows: DataFrame, facts: DataFrame, key: str, row_id: str = "failure_id") -> DataFrame:
+    """Left join on a key that many rows lack, read once: rows without it get a key of their own, so that nulls do not meet in one task."""
+    own = F.coalesce(key, F.concat(F.lit(_NOTHING), F.col(row_id).cast("string")))
+    return rows.withColumn("_key", own).join(facts.withColumnRenamed(key, "_key"), "_key", "left").drop("_key")
+
+
+def incident_context(failures: DataFrame, triaged: DataFrame, stored: DataFrame, limit: int = 3, index=None) -> DataFrame:
+    """Related incidents per failure, sought by the log's signal line, else by the test id; every distinct text is sought once."""
     signal = triaged.select("log_id", F.nullif(L.top_signal_line(F.col("excerpt")), F.lit("")).alias("_s"))
-    asked = join_known(failures, signal, "log_id").select(
-        F.col("failure_id").alias("query_id"), F.coalesce("_s", "test_id").alias("text")).filter(F.col("text").isNotNull())
-    return incidents.related_lines(asked, stored, limit).select(F.col("query_id").alias("failure_id"), F.col("lines").alias("incident_lines"))
+    asked = join_known(failures.select("failure_id", "test_id", "log_id"), signal, "log_id").select(
+        "failure_id", F.coalesce("_s", "test_id").alias("_text")).filter(F.col("_text").isNotNull())
+    found = incidents.related_lines(asked.select(F.col("_text").alias("query_id"), F.col("_text").alias("text")).distinct(), stored, limit, index)
+    return asked.join(found.select(F.col("query_id").alias("_text"), F.col("lines").alias("incident_lines")), "_text").select("failure_id", "incident_lines")
 
 
 def history_enrichment(triaged: DataFrame, cases: DataFrame) -> DataFrame:
@@ -30,37 +35,47 @@ def history_enrichment(triaged: DataFrame, cases: DataFrame) -> DataFrame:
     return asked.join(counts, "test_id").select("log_id", F.col("test_id").alias("signal"), "matched_tests", "total_runs", "failure_count")
 
 
+def test_facts(ids: DataFrame, cases: DataFrame, runs: DataFrame, verdict_table: DataFrame, burnin: DataFrame | None = None) -> DataFrame:
+    """What is known of every test id: flaky answer, runs, failures, last failure, burn-in."""
+    flaky = verdicts.is_flaky(ids, verdict_table).select("test_id", "is_flaky", F.col("status").alias("verdict"))
+    facts = flaky.join(history.failure_totals(ids, cases, runs), "test_id", "left")
+    if burnin is not None:
+        facts = facts.join(stability.stability_report(burnin, "test_id").select("test_id", "all_green", "passed"), "test_id", "left")
+    return facts
+
+
 def stabilize(failures: DataFrame, cases: DataFrame, runs: DataFrame, verdict_table: DataFrame, triaged: DataFrame,
-              burnin: DataFrame | None = None, gates: DataFrame | None = None, reports: DataFrame | None = None, write_enabled: bool = False,
-              heal_categories=stability.HEAL_CATEGORIES) -> DataFrame:
+              burnin: DataFrame | None = None, gates: DataFrame | None = None, reports: DataFrame | None = None, write_enabled: bool | Column = False,
+              heal_categories=stability.HEAL_CATEGORIES, pulls: DataFrame | None = None, tickets: DataFrame | None = None,
+              context: DataFrame | None = None) -> DataFrame:
     """One ledger row per failure ``(failure_id, test_id, log_id, project)``.
 
-    Stage results come in as tables: ``triaged`` per log, ``burnin`` runs per test,
-    ``gates`` per failure (ticket_id), ``reports`` per failure (report_id).
+    Stage results come in as tables: ``triaged`` per log, ``burnin`` runs per test, ``gates`` per failure (ticket_id),
+    ``reports`` per failure (report_id), ``pulls`` and ``tickets`` that were opened per failure (failure_id), and ``context`` with the
+    related incidents of a failure (``incident_context``). Every stage meets the failures in one join.
     """
     failures = failures.select("failure_id", "test_id", "log_id", "project")
     ids = failures.filter("test_id IS NOT NULL").select("test_id").distinct()
-    flaky = verdicts.is_flaky(ids, verdict_table).select("test_id", "is_flaky", F.col("status").alias("verdict"))
-    past = history.lookup_counts(history.exact_matches(ids, cases))
-    last = (
-        history.recent_failures(history.exact_matches(ids, cases), runs, 1).select("test_id", F.col("effective_ts").alias("last_failure_at"))
-    )
     category = triaged.select("log_id", F.col("category").alias("triage_category"), "classification_method", "confidence", "evidence")
-    joined = failures
-    for facts, key in ((flaky, "test_id"), (past, "test_id"), (last, "test_id"), (category, "log_id")):
-        joined = join_known(joined, facts, key)
+    joined = join_known(join_known(failures, test_facts(ids, cases, runs, verdict_table, burnin), "test_id"), category, "log_id")
     routed = stability.route(joined.withColumn("category", F.col("triage_category")), heal_categories)
-    if burnin is not None:
-        green = stability.stability_report(burnin, "test_id").select("test_id", "all_green", "passed")
-        routed = join_known(routed, green, "test_id")
-    if gates is not None:
-        routed = routed.join(gates.select(F.col("ticket_id").alias("failure_id"), F.col("ok").alias("gate_ok")), "failure_id", "left")
-    if reports is not None:
-        routed = routed.join(reports.select(F.col("report_id").alias("failure_id"), F.lit(True).alias("has_report")), "failure_id", "left")
-    decided = stability.outcome(routed.withColumn("write_enabled", F.lit(write_enabled)))
+    done = F.lit(True)
+    stages = (
+        None if gates is None else gates.select(F.col("ticket_id").alias("failure_id"), F.col("ok").alias("gate_ok")),
+        None if reports is None else reports.select(F.col("report_id").alias("failure_id"), done.alias("has_report")),
+        None if pulls is None else pulls.select("failure_id", done.alias("has_pr")).distinct(),
+        None if tickets is None else tickets.select("failure_id", done.alias("created")).distinct(),
+        None if context is None else context.select("failure_id", "incident_lines"),
+    )
+    for stage in stages:
+        if stage is not None:
+            routed = routed.join(stage, "failure_id", "left")
+    if context is None:
+        routed = routed.withColumn("incident_lines", F.lit(None).cast("string"))
+    decided = stability.outcome(routed.withColumn("write_enabled", write_enabled if isinstance(write_enabled, Column) else F.lit(write_enabled)))
     return decided.withColumn("evidence_text", stability.evidence_text(decided)).select(
         "failure_id", "test_id", "project", "verdict", F.coalesce("total_runs", F.lit(0)).alias("total_runs"),
-        F.coalesce("failure_count", F.lit(0)).alias("failure_count"), "category", "branch", "outcome", "evidence_text")
+        F.coalesce("failure_count", F.lit(0)).alias("failure_count"), "category", "branch", "outcome", "evidence_text", "incident_lines")
 
 
 def ledger(decided: DataFrame) -> DataFrame:

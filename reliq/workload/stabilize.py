@@ -15,6 +15,7 @@ from reliq.workload import history as H
 from reliq.workload import views
 from reliq.workload.evidence import redact_sql
 from reliq.workload.registry import query
+from reliq.workload.search import BM25
 from reliq.workload.views import BURNIN, CASES, NOW, RUNS
 
 _REPORT = """SELECT test_id, phase, count(*) AS runs, count(*) FILTER (WHERE exit_code = 0) AS passed, count(*) FILTER (WHERE exit_code <> 0) AS failed,
@@ -320,14 +321,52 @@ def _(t):
     return stability.route(f.join(users, "log_id", "left").join(v, "test_id", "left")).select("failure_id", "test_id", "category", "branch")
 
 
+# The stages' results by the failure's number and the test's number: burn-ins that are all green, pull requests, gates, reports, tickets.
 @query("stabilize_ledger", f"""{_LEDGER},
-res AS (SELECT *, CASE WHEN branch = 'bug' AND u % 2 = 0 THEN 'ticket_ready' ELSE 'needs_attention' END AS outcome FROM d)
-SELECT COALESCE(branch, 'none') AS branch, outcome, count(*) AS n FROM res GROUP BY ALL""")
+past AS (SELECT i.test_id, count(DISTINCT run_id) AS total_runs, count(DISTINCT CASE WHEN status IN ('failed', 'error') THEN run_id END) AS failure_count
+  FROM (SELECT DISTINCT test_id, split_part(test_id, '::', 1) AS l, split_part(test_id, '::', 2) AS r FROM fl) i
+  JOIN v_cases c ON c.name = i.r AND (c.classname = i.l OR c.file_path = i.l) GROUP BY i.test_id),
+tiers AS (
+  SELECT test_id, v.*, CASE WHEN v.test_key = test_id THEN 1 ELSE 2 END AS tier
+  FROM (SELECT DISTINCT test_id, split_part(test_id, '::', 1) AS l, split_part(test_id, '::', 2) AS r FROM fl) i
+  JOIN v_verdicts v ON v.test_key = test_id OR (v.name = r AND (v.classname = l OR v.file_path = l))),
+best AS (SELECT test_id, status AS answer FROM tiers QUALIFY row_number() OVER (PARTITION BY test_id ORDER BY tier, fails DESC, runs DESC, test_key) = 1),
+num AS (SELECT *, CAST(failure_id AS BIGINT) AS n, CAST(split_part(test_id, '::test_', 2) AS INTEGER) AS k, COALESCE(answer, 'unknown') AS verdict,
+  CASE category WHEN 'flaky' THEN 'heal' WHEN 'data' THEN 'bug' END AS branch
+  FROM (SELECT failure_id, fl.test_id, u, answer, COALESCE(ev.category, CASE WHEN answer = 'flaky' THEN 'flaky' END) AS category
+    FROM fl LEFT JOIN ev USING (u) LEFT JOIN best ON best.test_id = fl.test_id))
+SELECT failure_id, test_id, verdict, COALESCE(total_runs, 0) AS total_runs, COALESCE(failure_count, 0) AS failure_count, category, branch,
+  CASE WHEN branch = 'heal' AND k % 4 = 0 THEN CASE WHEN n % 3 = 0 THEN 'pr_opened' ELSE 'healed' END
+    WHEN branch = 'bug' AND n % 7 <> 0 AND u % 2 = 0 THEN CASE WHEN n % 2 <> 0 THEN 'ticket_ready' WHEN n % 5 = 0 THEN 'ticket_created' ELSE 'needs_attention' END
+    ELSE 'needs_attention' END AS outcome
+FROM num LEFT JOIN past USING (test_id)""")
 def _(t):
     f = _failures(t)
+    number = F.col("failure_id").cast("bigint")
     triaged = t("events").select(F.concat(F.lit("log"), F.col("user_id").cast("string")).alias("log_id"), F.when(F.col("user_id") % 3 == 0, "flaky").otherwise("data").alias("category"),
                                  F.lit("heuristic").alias("classification_method"), F.lit(0.3).alias("confidence"), F.lit("x").alias("evidence")).distinct()
+    tests = views.cases(t)
+    burnin = tests.select(F.concat(F.coalesce("classname", "file_path", F.lit("")), F.lit("::"), F.col("name")).alias("test_id"), F.col("duration_ms").alias("duration_s"),
+                          F.when(F.substring("name", 6, 9).cast("int") % 4 == 0, 0).otherwise(1).alias("exit_code"))
     gates = f.select(F.col("failure_id").alias("ticket_id"), (F.regexp_extract("log_id", r"(\d+)", 1).try_cast("int") % 2 == 0).alias("ok"))
-    reports = f.select(F.col("failure_id").alias("report_id"))
-    led = plan.stabilize(f, *H.base(t), H.scanned(t), triaged, views.burnin(t), gates, reports)
-    return led.groupBy(F.coalesce("branch", F.lit("none")).alias("branch"), "outcome").agg(F.count("*").alias("n"))
+    reports = f.filter(number % 7 != 0).select(F.col("failure_id").alias("report_id"))
+    pulls, tickets = f.filter(number % 3 == 0), f.filter(number % 5 == 0)
+    led = plan.stabilize(f, *H.base(t), H.scanned(t), triaged, burnin, gates, reports, number % 2 == 0, pulls=pulls, tickets=tickets)
+    return led.select("failure_id", "test_id", "verdict", "total_runs", "failure_count", "category", "branch", "outcome")
+
+
+_CONTEXT = BM25.replace("item_id AS query_id", "text AS query_id").replace("FROM benchmark", "FROM asked")
+
+
+@query("incident_context", f"""{_LEDGER},
+logs AS (SELECT DISTINCT user_id AS u, 'ERROR: token src' || (user_id % 5) || ' step ' || (user_id % 7) || ' failed' AS s FROM events),
+fa AS (SELECT failure_id, COALESCE(s, test_id) AS text FROM fl LEFT JOIN logs USING (u)),
+asked AS (SELECT DISTINCT text FROM fa), {_CONTEXT},
+h AS (SELECT query_id, string_agg('- ' || key || ': ' || trim({redact_sql('summary')}) || ' [[redacted-name]]', chr(10) ORDER BY rank) AS lines
+  FROM ranked JOIN v_incidents ON key = ranked.doc_id WHERE rank <= 3 GROUP BY query_id)
+SELECT failure_id, lines AS incident_lines FROM fa JOIN h ON h.query_id = fa.text""")
+def _(t):
+    user = F.col("user_id").cast("string")
+    triaged = t("events").select(F.concat(F.lit("log"), user).alias("log_id"), F.format_string(
+        "ERROR: token src%d step %d failed", F.col("user_id") % 5, F.col("user_id") % 7).alias("excerpt")).distinct()
+    return plan.incident_context(_failures(t), triaged, views.incidents(t), 3, views.incident_index(t))
