@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,11 +46,16 @@ def exact_matches(ids: DataFrame, cases: DataFrame) -> DataFrame:
 
 
 def text_matches(ids: DataFrame, cases: DataFrame) -> DataFrame:
-    """Cases that hold every word of the id's name part in class, name, message or trace."""
+    """Cases that hold every word of the id's name part in class, name, message or trace.
+
+    Cases with the same four texts are read as one; what is found meets the cases by the texts' hash.
+    """
     _, right = X.id_parts(F.col("test_id"))
     wanted = ids.select("test_id", search.phrases(right).alias("phrases"))
-    docs = cases.withColumn("_terms", search.term_text(*TEXT_COLUMNS))
-    return search.all_terms_join(wanted, "test_id", docs, "_terms").drop("_terms")
+    texts = F.md5(F.concat_ws("\0", *(F.coalesce(F.concat(F.lit("+"), F.col(c)), F.lit("-")) for c in TEXT_COLUMNS)).cast("binary"))
+    keyed = cases.withColumn("_texts", texts)
+    docs = keyed.select("_texts", *TEXT_COLUMNS).distinct().select("_texts", search.term_text(*TEXT_COLUMNS).alias("_terms"))
+    return keyed.join(search.all_terms_join(wanted, "test_id", docs, "_texts", "_terms"), "_texts").select("test_id", *cases.columns)
 
 
 def is_term_query(test_id: Column) -> Column:
@@ -74,12 +81,20 @@ def matches(ids: DataFrame, cases: DataFrame, index: literals.LiteralIndex | Non
     asked = search.materialize(ids.select("test_id").distinct(), "ids")
     tests = search.materialize(known_tests(asked, cases), "known-tests")
     exact = cases_of(tests, cases).select("test_id", *CASE_COLUMNS)
-    missing = search.materialize(asked.join(tests.select("test_id"), "test_id", "left_anti").select("test_id", is_term_query(F.col("test_id")).alias("terms")), "unmatched-ids")
-    for kind, find in (("terms", text_matches), ("NOT terms", lambda rest, of: literal_matches(rest, of, index))):
-        rest = missing.filter(kind).select("test_id")
-        if not rest.isEmpty():
-            exact = exact.unionByName(find(rest, cases).select("test_id", *CASE_COLUMNS))
-    return exact
+    missing = search.materialize(asked.join(tests.select("test_id"), "test_id", "left_anti"), "unmatched-ids")
+    found = fallback_matches(missing, cases, index)
+    return exact if found is None else exact.unionByName(found)
+
+
+def fallback_matches(missing: DataFrame, cases: DataFrame, index: literals.LiteralIndex | None = None) -> DataFrame | None:
+    """Matches of ids that name no test; None, and no case read, if there is no such id. ``missing`` is a written table."""
+    kinds = {r.terms for r in missing.select(is_term_query(F.col("test_id")).alias("terms")).distinct().collect()}
+    found = []
+    if True in kinds:
+        found.append(text_matches(missing.filter(is_term_query(F.col("test_id"))), cases))
+    if False in kinds:
+        found.append(literal_matches(missing.filter(~is_term_query(F.col("test_id"))), cases, index))
+    return reduce(DataFrame.unionByName, [f.select("test_id", *CASE_COLUMNS) for f in found]) if found else None
 
 
 def lookup_counts(matched: DataFrame) -> DataFrame:
@@ -115,7 +130,17 @@ def failure_lookup(ids: DataFrame, cases: DataFrame, runs: DataFrame, limit: int
                    max_trace_chars: int = 500, index: literals.LiteralIndex | None = None) -> DataFrame:
     """Counts and the latest failures (an array of at most 50) for every id, from the cases; ``rollups.failure_lookup`` reads rollups."""
     # Kept slim and computed once: counts need no texts, and only failing rows are ranked.
-    slim = search.materialize(matches(ids, cases, index), "matches")
+    return _answers_of(ids, search.materialize(matches(ids, cases, index), "matches"), cases, runs, limit, max_trace_chars)
+
+
+def fallback_lookup(missing: DataFrame, cases: DataFrame, runs: DataFrame, limit: int, max_trace_chars: int,
+                    index: literals.LiteralIndex | None = None) -> DataFrame | None:
+    """``failure_lookup`` for ids that are known to name no test; None if there are none."""
+    found = fallback_matches(missing, cases, index)
+    return None if found is None else _answers_of(missing, search.materialize(found, "matches"), cases, runs, limit, max_trace_chars)
+
+
+def _answers_of(ids: DataFrame, slim: DataFrame, cases: DataFrame, runs: DataFrame, limit: int, max_trace_chars: int) -> DataFrame:
     texts = cases.filter(is_failing()).select("case_id", "run_id", "failure_type", "failure_message", "stack_trace")
     latest = recent_failures(slim, runs, limit).join(texts, ["case_id", "run_id"])
     return lookup_answers(ids.select("test_id").distinct(), lookup_counts(slim), latest, max_trace_chars)

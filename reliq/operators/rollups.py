@@ -110,10 +110,8 @@ def failure_lookup(ids: DataFrame, rollups: Rollups, cases: DataFrame, runs: Dat
     resolved = resolve(ids, rollups)
     answers = history.lookup_answers(resolved.select("test_id").distinct(), counts(resolved, rollups), failures(resolved, rollups, limit), max_trace_chars)
     rest = resolved.filter("name IS NULL").select("test_id")
-    if rest.isEmpty():
-        return answers
-    found = history.failure_lookup(rest, cases, runs, limit, max_trace_chars, index)
-    return answers.join(rest, "test_id", "left_anti").unionByName(found)
+    found = history.fallback_lookup(rest, cases, runs, limit, max_trace_chars, index)
+    return answers if found is None else answers.join(rest, "test_id", "left_anti").unionByName(found)
 
 
 def build(cases: DataFrame, runs: DataFrame) -> Rollups:

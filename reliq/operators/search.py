@@ -65,26 +65,26 @@ def phrases(text: Column) -> Column:
     return F.array_distinct(F.filter(spaced, lambda w: w != ""))
 
 
-def all_terms_join(queries: DataFrame, query_id: str, docs: DataFrame, terms: str) -> DataFrame:
-    """Documents whose ``terms`` text holds every phrase of ``queries.phrases``.
+def all_terms_join(queries: DataFrame, query_id: str, docs: DataFrame, key: str, terms: str) -> DataFrame:
+    """(query_id, key) of documents whose ``terms`` text holds every phrase of ``queries.phrases``.
 
-    Each query joins on its rarest term only and checks its phrases on the
-    document row, so a term that is everywhere does not pair everything.
+    Only keys travel with the tokens. Each query joins on its rarest term and checks its phrases
+    on the texts it found, so a term that is everywhere does not pair everything.
     """
     tokens = F.array_distinct(F.split(F.trim(F.col(terms)), " "))
     wanted = queries.filter(F.size("phrases") > 0).select(
         query_id, "phrases", F.explode(F.array_distinct(F.flatten(F.transform("phrases", lambda p: F.split(p, " "))))).alias("_token")
     )
     vocabulary = wanted.select("_token").distinct()
-    posted = docs.withColumn("_token", F.explode(tokens)).join(vocabulary, "_token", "left_semi")
+    posted = docs.select(key, F.explode(tokens).alias("_token")).join(vocabulary, "_token", "left_semi")
     frequency = posted.groupBy("_token").agg(F.count("*").alias("_df"))
     anchors = wanted.join(frequency, "_token", "left").groupBy(query_id).agg(
         F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("n"), "_token")).alias("_rarest"), F.first("phrases").alias("phrases")
     ).withColumn("_token", F.col("_rarest._token")).drop("_rarest")
-    joined = anchors.join(posted, "_token").drop("_token")
-    return joined.filter(
+    found = anchors.join(posted, "_token").join(docs.select(key, terms), key)
+    return found.filter(
         F.forall("phrases", lambda p: F.contains(F.col(terms), F.concat(F.lit(" "), p, F.lit(" "))))
-    ).drop("phrases")
+    ).select(query_id, key)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
