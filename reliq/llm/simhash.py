@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reliq.llm.components import components
-from reliq.llm.store import id_text, stored, utf8, words_of
+from reliq.llm.store import free_name, id_text, stored, utf8, words_of
 
 #: Fingerprints per trie node at the depth where Spark's joins end; smaller nodes meet more others.
 NODE_SIZE = 1 << 16
@@ -377,5 +377,6 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: str = "0.795") -> DataFrame:
     """The rows of ``docs`` with the smallest id of their component (all columns); repeated rows of that id stay together, rows without an id stay."""
     found = _similar_rows(docs, id_col, text_col, shingle, 42, similarity, BUCKET)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_text")).distinct()
-    return docs.join(gone, (docs[id_col].cast("long") == F.col("_gone")) & (text_key(docs[text_col]) == F.col("_gone_text")), "left_anti")
+    which, text = free_name(docs, "_gone"), free_name(docs, "_gone_text")
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(which), F.col("text_key").alias(text)).distinct()
+    return docs.join(gone, (docs[id_col].cast("long") == gone[which]) & (text_key(docs[text_col]) == gone[text]), "left_anti")
