@@ -236,9 +236,14 @@ def similar_nodes(docs: DataFrame, shingle: int, seed: int, share: Fraction, buc
     common shingles (any one order gives the same answer). Two similar sets share one of their first n - ceil(share * n) + 1, so
     they meet in that shingle's bucket, whatever the table's size.
 
-    Small buckets give all pairs, counted: prefixes that share too little cannot reach the similarity. In a large bucket every
-    node is measured against the least, its pivot. 1 - similarity is a metric, so two nodes can only be similar if their distances
-    from the pivot differ by 1 - share at most; those pairs are measured unless the two are connected already. Every pair
+    In the first shingle that two sets share, they share at most what either has from there on: whose bound stays too low is no
+    candidate there. The lesser set of a similar pair must have that shingle among its first n - ceil(2 share / (1 + share) n) + 1.
+    A bucket without such a set gives no pairs at all, so lines of one template cost one row per line and shingle.
+
+    Small buckets give all other pairs, counted: prefixes that share too little cannot reach the similarity. In a large bucket every
+    node is measured against a pivot, the node with the fewest rarer shingles of its own. 1 - similarity is a metric, so two nodes can
+    only be similar if their distances from the pivot differ by 1 - share at most; those pairs meet if one of them can be the lesser
+    and enough is left from the shingle on, and are measured unless the two are connected already. Every pair
     that becomes an edge was measured on the whole sets.
     """
     top, low = share.numerator, share.denominator
@@ -278,7 +283,7 @@ def similar_nodes(docs: DataFrame, shingle: int, seed: int, share: Fraction, buc
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, nodes, sizes = [], [], []
+            tokens, nodes, sizes, places = [], [], [], []
             for text in utf8(batch.column("text")):
                 own = shingles(text, shingle, seed)
                 if not len(own):
@@ -291,19 +296,28 @@ def similar_nodes(docs: DataFrame, shingle: int, seed: int, share: Fraction, buc
                 tokens.append(rare)
                 nodes.append(np.full(len(rare), xxhash.xxh3_64_intdigest(own.tobytes()), np.uint64))
                 sizes.append(np.full(len(rare), len(own)))
+                places.append(np.arange(len(rare)))
             token, node = (np.concatenate([np.zeros(0, np.uint64), *x]).view(np.int64) for x in (tokens, nodes))
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(node), pa.array(np.concatenate([np.zeros(0, np.int64), *sizes]))], ["token", "node", "n"])
-
-    tokens = docs.select("text").mapInArrow(deal, "token long, node long, n long")
-    shared = tokens.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("m")).filter("pivot < last")
-    met = stored(tokens.join(shared.select("token", "pivot", "m"), "token").distinct(), "buckets")
-    small, large = met.filter(F.col("m") <= bucket).select("token", "node", "n"), met.filter(F.col("m") > bucket)
+            size, place = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (sizes, places))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token, node, size, place)], ["token", "node", "n", "place"])
 
     def fits(a: str, b: str) -> Column:
         return F.least(a, b) * low >= F.greatest(a, b) * top
 
-    x, y = (small.select("token", F.col("node").alias(k), F.col("n").alias(f"n{k}")) for k in "uv")
-    pairs = x.join(y, "token").filter((F.col("u") < F.col("v")) & fits("nu", "nv")).groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("c"))
+    # Enough is left from the first shared shingle on, whatever its number among the rarest of the two.
+    left_over = F.least(F.expr("nu - iu"), F.expr("nv - iv")) * (top + low) >= F.expr("nu + nv") * top
+
+    tokens = docs.select("text").mapInArrow(deal, "token long, node long, n long, place long").withColumn(
+        "lesser", (F.col("n") - F.col("place")) * (top + low) >= F.col("n") * 2 * top)
+    lesser = F.when(F.col("lesser"), F.col("n"))
+    shared = tokens.groupBy("token").agg(
+        F.min("node").alias("least"), F.max("node").alias("last"), F.count("*").alias("m"), F.min(lesser).alias("lo"), F.max(lesser).alias("hi"),
+        F.min(F.when(F.col("lesser"), F.struct("place", "node")))["node"].alias("pivot")).filter("least < last").drop("least", "last")
+    met = stored(tokens.join(shared, "token").distinct(), "buckets")
+    small, large = met.filter(F.col("m") <= bucket), met.filter(F.col("m") > bucket)
+    x, y = (small.select("token", F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("place").alias(f"i{k}")) for k in "uv")
+    pairs = x.join(y, "token").filter((F.col("u") < F.col("v")) & fits("nu", "nv")).groupBy("u", "v", "nu", "nv").agg(
+        F.count("*").alias("c"), F.max(left_over).alias("ok")).filter("ok")
     # Shingles shared in large buckets are not counted here: as many as both have.
     crowd = stored(large.groupBy("node").agg(F.count("*").alias("large")), "crowded")
     for k in "uv":
@@ -311,7 +325,9 @@ def similar_nodes(docs: DataFrame, shingle: int, seed: int, share: Fraction, buc
     rest = F.greatest(*(F.expr(f"n{k} - ({_prefix_sql(f'n{k}', share)})") for k in "uv"))
     reach = F.col("c") + F.least(F.coalesce("lu", F.lit(0)), F.coalesce("lv", F.lit(0))) + rest
     pairs = pairs.filter(reach * (top + low) >= (F.col("nu") + F.col("nv")) * top).select("u", "v")
-    spokes = large.filter("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v"))
+    # Of a pair, the lesser set has the shared shingle early enough; others of a bucket without such a partner can be left out.
+    useful = large.filter(F.expr("lo IS NOT NULL") & (F.col("lesser") | F.expr("n >= lo") & (F.col("hi") * low >= F.col("n") * top)))
+    spokes = useful.filter("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v"))
     candidates = stored(pairs.unionByName(spokes).distinct(), "candidates")
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,14 +350,16 @@ def similar_nodes(docs: DataFrame, shingle: int, seed: int, share: Fraction, buc
     parts = components(edges)
     # bands are a little wider than the distance, so that rounding never parts neighbours
     band = F.floor((1 - F.col("both") / (F.col("nu") + F.col("nv") - F.col("both"))) * (low / (low - top) * 0.999) if top < low else F.lit(0)).cast("int")
-    placed = large.filter("node <> pivot").join(scored.select(F.col("u").alias("node"), F.col("v").alias("pivot"), band.alias("band")), ["node", "pivot"])
+    placed = useful.filter("node <> pivot").join(scored.select(F.col("u").alias("node"), F.col("v").alias("pivot"), band.alias("band")), ["node", "pivot"])
     for k, p in (("node", "part"), ("pivot", "pivot_part")):
         placed = placed.join(parts.select(F.col("node").alias(k), F.col("component").alias(p)), k, "left").withColumn(p, F.coalesce(p, k))
-    placed = stored(placed.select("token", "node", "n", "band", "part", "pivot_part"), "around-pivots")
-    apart = placed.filter("part <> pivot_part").select("token", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("part").alias("pu"), F.explode(
-        F.array(*(F.col("band") + i for i in (-1, 0, 1)))).alias("band"))
-    around = placed.select("token", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("part").alias("pv"), "band")
-    more = stored(apart.join(around, ["token", "band"]).filter((F.col("pu") != F.col("pv")) & fits("nu", "nv")).select(
+    placed = stored(placed.select("token", "node", "n", "place", "lesser", "band", "part", "pivot_part"), "around-pivots")
+    # Every node looks for lesser partners; only those that can be the lesser one look for greater ones.
+    roles = {k: F.explode(F.when(F.col("lesser"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(k == "u")))).alias("role") for k in "uv"}
+    apart, around = (rows.select("token", F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("place").alias(f"i{k}"), F.col("part").alias(f"p{k}"), "band", roles[k])
+                     for k, rows in (("u", placed.filter("part <> pivot_part")), ("v", placed)))
+    apart = apart.withColumn("band", F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1)))))
+    more = stored(apart.join(around, ["token", "band", "role"]).filter((F.col("pu") != F.col("pv")) & fits("nu", "nv") & left_over).select(
         F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "more-candidates")
     return found, stored(edges.unionByName(_scored(more, sets).filter(similar).select("u", "v")), "similar")
 

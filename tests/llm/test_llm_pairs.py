@@ -164,6 +164,41 @@ def test_near_copies_in_buckets_shared_with_unrelated_texts(spark, bucket):
     assert got == want
 
 
+def test_lines_of_one_template_give_no_pairs(spark, monkeypatch):
+    """Work grows with the rows: neither equal nor unequal lengths nor two different ends write the pairs of a bucket."""
+    made = {}
+    keep = simhash.stored
+
+    def counted(df, name):
+        out = keep(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    start = "one two three four five six seven eight"
+    rows = [(i, f"{start} end{i}") for i in range(1500)]
+    rows += [(2000 + i, f"{start} nine{i % 7} end{i}") for i in range(1500)]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), similarity="0.8")
+    assert kept.count() == 3000
+    assert made["candidates"] <= 6000 and made.get("more-candidates", 0) <= 6000
+
+
+@pytest.mark.parametrize("bucket", [1, 4, 32])
+def test_near_copies_around_a_missing_original_are_all_found(spark, bucket):
+    """Copies of a few texts, similar to each other or only in chains, some shorter, with the originals left out."""
+    rng = np.random.default_rng(bucket)
+    rows = []
+    for i, text in changed_copies(11, 6, 40, 90, shared=20):
+        if i % 40:
+            words = text.split()
+            rows.append((i, " ".join(words[:len(words) - int(rng.integers(0, 14))])))
+    want = similar_by_brute_force(rows)
+    assert 6 < len(set(want.values())) < 200
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(
+        spark.createDataFrame(rows, "doc_id long, text string"), similarity="0.8", bucket=bucket).collect()}
+    assert got == want
+
+
 def test_near_copies_keep_less_similar_and_unique_texts(spark):
     start = "one two three four five six seven"
     rows = [(i, f"{start} end{i}") for i in range(40)]  # a similarity of 0.6
