@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reliq.llm.store import free_name
+from reliq.llm.store import free_name, worker_keeps
 
 ORDER, DISCOUNT = 4, 0.75
 #: Labelled rows per language that the models, and the calibration, learn from at most: those with the smallest hashed ids.
@@ -177,7 +177,6 @@ class _Memory:
         return out
 
 
-_MEMORY: dict[str, _Memory] = {}
 #: Characters of text scored at once.
 _PART = 2 << 20
 
@@ -196,10 +195,7 @@ def _parts(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 def predict(model: Model, docs: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text", prefix: str = "") -> DataFrame:
     """The columns named in ``keep``, then lang_pred, score, cross_entropy, n_signs and rejected (with ``prefix``) for every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model.key not in _MEMORY:
-            _MEMORY.clear()
-            _MEMORY[model.key] = _Memory(model)
-        memory = _MEMORY[model.key]
+        memory = worker_keeps(("language", model.key), lambda: _Memory(model))
         for batch in batches:
             texts = [t or "" for t in batch.column(place).to_pylist()]
             totals = np.concatenate([memory.totals(part) for _, part in _parts(texts)]) if texts else np.zeros((0, len(model.langs) + 1))

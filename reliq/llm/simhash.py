@@ -312,7 +312,7 @@ def similar_nodes(docs: DataFrame, shingle: int, seed: int, share: Fraction, buc
     lesser = F.when(F.col("lesser"), F.col("n"))
     shared = tokens.groupBy("token").agg(
         F.min("node").alias("least"), F.max("node").alias("last"), F.count("*").alias("m"), F.min(lesser).alias("lo"), F.max(lesser).alias("hi"),
-        F.min(F.when(F.col("lesser"), F.struct("place", "node")))["node"].alias("pivot")).filter("least < last").drop("least", "last")
+        F.min_by("node", F.when(F.col("lesser"), F.shiftleft("place", 32).bitwiseOR(F.shiftrightunsigned("node", 32)))).alias("pivot")).filter("least < last").drop("least", "last")
     met = stored(tokens.join(shared, "token").distinct(), "buckets")
     small, large = met.filter(F.col("m") <= bucket), met.filter(F.col("m") > bucket)
     x, y = (small.select("token", F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("place").alias(f"i{k}")) for k in "uv")

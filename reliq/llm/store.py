@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from reliq.session import run_dir
 
+T = TypeVar("T")
+
 #: Text bytes after which a block of documents is closed.
 BLOCK_BYTES = 8 << 20
 
@@ -93,6 +96,17 @@ def utf8(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+_HELD: dict = {}
+
+
+def worker_keeps(key, make: Callable[[], T]) -> T:
+    """What a Python worker keeps between tasks: ``make()`` under ``key``; only the last key is kept, whichever operator it is of."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def words_of(text: bytes) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text in UTF-8; ``bytes.split`` cuts at exactly these bytes."""
     return text.split()
