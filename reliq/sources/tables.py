@@ -9,6 +9,7 @@ batch only, which makes a retried streaming batch harmless.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -152,10 +153,12 @@ def import_rows(source: DataFrame, target: DataFrame | None, key: list[str]) ->
     return fresh.dropDuplicates(key)
 
 
-def import_tables(source: Store, target: Store, table_map: dict[str, tuple[str, list[str]]], label: str, dry_run: bool = False) -> DataFrame:
+def import_tables(source: Store, target: Store, table_map: dict[str, tuple[str, list[str]]], label: str, dry_run: bool = False,
+                  transforms: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
     """Copy tables once: ``(table, rows)`` per target; a provenance entry stops a second run.
 
     ``table_map``: source table to (target table, key). An empty key appends all rows.
+    ``transforms``: by source table, what its rows pass through first (such as ``recipes.backfill_relaxed_keys``), in a dry run too.
     """
     marker = f"migrated_from_{label}"
     spark = target.spark
@@ -165,7 +168,7 @@ def import_tables(source: Store, target: Store, table_map: dict[str, tuple[str,
     for name, (into, key) in table_map.items():
         if not source.exists(name):
             continue
-        rows = source.read(name)
+        rows = (transforms or {}).get(name, lambda table: table)(source.read(name))
         if dry_run:
             reports.append(rows.agg(F.count("*").alias("rows")).select(F.lit(into).alias("table"), "rows"))
             continue

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from reliq.functions import issues
-from reliq.operators import incidents, stability, traces, verdicts
+from reliq.functions import signatures as S
+from reliq.operators import incidents, recipes, stability, traces, verdicts
 from reliq.plans import scan
 from reliq.sources import files, junit
 from reliq.sources.tables import Store, import_tables
@@ -85,6 +86,32 @@ def test_stream_then_scan_then_feedback(spark, reports, tmp_path):
     assert (v.passes, v.fails) == (4, 3)
 
 
+def test_import_fills_in_relaxed_keys(spark, tmp_path):
+    def parts(selector):
+        return {"framework": "playwright", "error_class": "TimeoutError", "failing_action": "click", "selector_shape": selector, "message_shape": "m"}
+
+    old = [("s1", json.dumps({"diagnosis": {"rule": "x"}, "signature_parts": parts("#a")})), ("s2", json.dumps({"rule": "no parts"})), ("s3", "not json"), ("s4", None)]
+    body = "signature string, diagnosis_json string, strategy string, successes bigint, failures bigint, created_ts timestamp_ntz"
+    a, b = Store(spark, str(tmp_path / "a")), Store(spark, str(tmp_path / "b"))
+    a.replace("heal", spark.createDataFrame([(s, d, f"by {s}", 1, 0, NOW) for s, d in old], body))
+    plan, hooks = {"heal": ("recipes", ["signature"])}, {"heal": recipes.backfill_relaxed_keys}
+    assert [tuple(r) for r in import_tables(a, b, plan, "old", dry_run=True, transforms=hooks).collect()] == [("recipes", 4)]
+    assert not b.exists("recipes")
+    assert [tuple(r) for r in import_tables(a, b, plan, "old", transforms=hooks).collect()] == [("recipes", 4)]
+    key = S.relaxed_key({k: F.lit(v) for k, v in parts("#other").items()})  # another selector: no exact match
+    want = spark.createDataFrame([("q", "new", False), ("r", "s2", False)], "id string, signature string, degenerate boolean").withColumn("relaxed_key", key)
+    got = {r.id: (r.recipe, r.kind) for r in recipes.match(want, b.read("recipes"), "id").collect()}
+    assert got == {"q": ("s1", "relaxed"), "r": ("s2", "exact")}
+    assert {r.signature for r in b.read("recipes").filter("relaxed_key IS NULL").collect()} == {"s2", "s3", "s4"}
+
+    def broken(table):
+        return table.withColumn("x", F.raise_error(F.lit("unreadable recipe")))
+
+    with pytest.raises(Exception, match="unreadable recipe"):
+        import_tables(a, Store(spark, str(tmp_path / "c")), plan, "old", transforms={"heal": broken})
+    assert Store(spark, str(tmp_path / "c")).get_meta("migrated_from_old") is None
+
+
 def test_store_versions_import_and_newer_schema(spark, tmp_path):
     a, b = Store(spark, str(tmp_path / "a")), Store(spark, str(tmp_path / "b"))
     a.replace("patterns", spark.createDataFrame([("k1", 1), ("k2", 2)], "key string, n int"))
