@@ -61,7 +61,7 @@ def observations(triaged: DataFrame) -> DataFrame:
     return triaged.filter(F.col("signature").isNotNull() & ~(F.col("low_signal") & (F.col("method") == "heuristic")))
 
 
-def record_patterns(stored: DataFrame | None, observed: DataFrame) -> DataFrame:
+def record_patterns(stored: DataFrame | None, observed: DataFrame, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
     """The pattern table after a batch of ``(project, signature, category, excerpt, seen_at, log_id)``.
 
     The batch combines map-side into one row per (project, signature); the last
@@ -70,16 +70,21 @@ def record_patterns(stored: DataFrame | None, observed: DataFrame) -> DataFrame:
     last = F.struct("seen_at", "log_id")
     batch = observed.groupBy("project", "signature").agg(
         F.count("*").alias("n"), F.min("seen_at").alias("lo"), F.max("seen_at").alias("hi"),
-        F.max(F.struct(last.alias("o"), "category", F.substring("excerpt", 1, SAMPLE_CHARS).alias("sample"))).alias("b"))
+        F.max(F.struct(last.alias("o"), "category", F.substring("excerpt", 1, sample_chars).alias("sample"))).alias("b"))
+    return merge_patterns(stored, batch.select(
+        "project", "signature", "b.category", F.col("n").alias("occurrences"), F.col("lo").alias("first_seen"), F.col("hi").alias("last_seen"), "b.sample"))
+
+
+def merge_patterns(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """The pattern table after a batch in the same form; the batch's category, sample and last time count, if they are not null."""
     if stored is None:
-        return batch.select("project", "signature", "b.category", F.col("n").alias("occurrences"),
-                            F.col("lo").alias("first_seen"), F.col("hi").alias("last_seen"), "b.sample")
-    return stored.alias("s").join(batch, ["project", "signature"], "full_outer").select(
+        return batch
+    return stored.alias("s").join(batch.alias("b"), ["project", "signature"], "full_outer").select(
         "project", "signature",
         F.coalesce("b.category", "s.category").alias("category"),
-        (F.coalesce("s.occurrences", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("occurrences"),
-        F.coalesce("s.first_seen", "lo").alias("first_seen"),
-        F.coalesce("hi", "s.last_seen").alias("last_seen"),
+        (F.coalesce("s.occurrences", F.lit(0)) + F.coalesce("b.occurrences", F.lit(0))).alias("occurrences"),
+        F.coalesce("s.first_seen", "b.first_seen").alias("first_seen"),
+        F.coalesce("b.last_seen", "s.last_seen").alias("last_seen"),
         F.coalesce("b.sample", "s.sample").alias("sample"),
     )
 

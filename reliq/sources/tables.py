@@ -4,7 +4,9 @@ Two kinds. A *snapshot* table is replaced whole: each write goes to a new
 ``v_<n>`` folder and counts once Spark has put its ``_SUCCESS`` mark there, so a
 reader sees the old or the new version and never reads a path being written. A
 *batch* table grows by ``b_<id>`` folders; writing a batch id again replaces that
-batch only, which makes a retried streaming batch harmless.
+batch only, which makes a retried streaming batch harmless. Tables in ``KEYED``
+are upserted by key: ``keyed`` gives their bucketed form, and ``read`` and
+``replace`` use it too.
 """
 
 from __future__ import annotations
@@ -15,7 +17,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reliq.sources.keyed import KeyedTable
+
 SCHEMA_VERSION = 1
+#: Tables that are upserted by key.
+KEYED = {"incidents": ("key",), "failure_patterns": ("project", "signature")}
 #: Batch tables whose batches are partitioned, always by the same columns.
 PARTITIONED = {"test_cases": ("run_date",), "test_runs": ("run_date",)}
 
@@ -42,10 +48,13 @@ class Store:
                 folders.append(folder.toString())
         return folders
 
-    def version(self, name: str) -> int:
+    def _snapshot(self, name: str) -> int:
         versions = [int(p.rsplit("v_", 1)[1]) for p in self._committed(name, "v_")]
         return max(versions, default=0)
 
+    def version(self, name: str) -> int:
+        return self.keyed(name).version() if name in KEYED else self._snapshot(name)
+
     def exists(self, name: str) -> bool:
         return self.version(name) > 0 or bool(self._committed(name, "b="))
 
@@ -56,7 +65,11 @@ class Store:
 
     def read(self, name: str, version: int | None = None, schema: str | None = None) -> DataFrame:
         """A table; a partitioned one whose batches may all be empty needs its schema."""
-        current = self.version(name) if version is None else version
+        if name in KEYED:
+            table = self.keyed(name)
+            if (manifest := table.manifest(version)) is not None:
+                return table._rows(manifest)
+        current = self._snapshot(name) if version is None else version
         if current:
             return self.spark.read.parquet(f"{self.root}/{name}/v_{current}")
         batches = self._committed(name, "b=")
@@ -70,11 +83,27 @@ class Store:
     def replace(self, name: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> int:
         if name != "meta":
             self.mark_version()
+        if name in KEYED:
+            return self.keyed(name).replace(df)
         new = self.version(name) + 1
         # Left-overs of a failed write of the same number are overwritten.
         df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{self.root}/{name}/v_{new}")
         return new
 
+    # -- keyed tables -------------------------------------------------------
+
+    def keyed(self, name: str) -> KeyedTable:
+        """The bucketed form of a table in ``KEYED``; its commits are numbered on from the snapshots an older store has."""
+        return KeyedTable(self.spark, f"{self.root}/{name}", KEYED[name], base=self._snapshot(name))
+
+    def merge(self, name: str, batch: DataFrame, merged: Callable[[DataFrame | None, DataFrame], DataFrame], writer: str | None = None,
+              batch_id: int | None = None) -> int | None:
+        """``KeyedTable.merge`` of a table in ``KEYED``; the first one takes over an older store's snapshot."""
+        self.mark_version()
+        table = self.keyed(name)
+        start = self.spark.read.parquet(f"{self.root}/{name}/v_{table.base}") if table.base and not table.exists() else None
+        return table.merge(batch, merged, writer, batch_id, start)
+
     # -- batch tables -------------------------------------------------------
 
     def append(self, name: str, df: DataFrame, batch_id: str | int, partition_by: tuple[str, ...] | None = None) -> None:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from reliq.functions import loglines as L
 from reliq.functions import signatures as S
+from reliq.functions import times
 from reliq.operators import logs, triage
 from reliq.plans import triage as plan
+from reliq.session import run_dir
+from reliq.sources.tables import Store
+from reliq.streaming import ingest
 from reliq.workload import views
 from reliq.workload.registry import query
 from reliq.workload.views import LOG_LINES, NOW
@@ -176,7 +182,6 @@ obs AS (SELECT *, sha1({_norm_sql('excerpt')}) AS signature FROM e0)"""
 SELECT project, signature, 'broken_test' AS category, count(*) AS occurrences, strftime(min(ts), '%Y-%m-%dT%H:%M:%S') AS first_seen,
   strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS last_seen, arg_max(excerpt, struct_pack(t := ts, l := log_id)) AS sample FROM obs GROUP BY ALL""")
 def _(t):
-    from reliq.functions import times
     p = triage.record_patterns(None, _observed(t))
     return p.withColumn("first_seen", times.iso(F.col("first_seen"))).withColumn("last_seen", times.iso(F.col("last_seen")))
 
@@ -188,7 +193,6 @@ _CUT = "TIMESTAMP '2024-01-15'"
 s AS (SELECT project, signature, count(*) AS n0 FROM obs WHERE ts < {_CUT} GROUP BY ALL)
 SELECT project, signature, count(*) AS occurrences, strftime(min(ts), '%Y-%m-%dT%H:%M:%S') AS first_seen, strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS last_seen FROM obs GROUP BY ALL""")
 def _(t):
-    from reliq.functions import times
     o = _observed(t)
     cut = F.expr(f"timestamp_ntz'2024-01-15'")
     stored = triage.record_patterns(None, o.filter(F.col("seen_at") < cut))
@@ -196,6 +200,24 @@ def _(t):
     return p.select("project", "signature", "occurrences", times.iso(F.col("first_seen")).alias("first_seen"), times.iso(F.col("last_seen")).alias("last_seen"))
 
 
+@query("pattern_stream", f"""WITH {_OBS}
+SELECT project, signature, 'broken_test' AS category, count(*) AS occurrences, strftime(min(ts), '%Y-%m-%dT%H:%M:%S') AS first_seen,
+  strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS last_seen, arg_max(excerpt, struct_pack(t := ts, l := log_id)) AS sample FROM obs GROUP BY ALL""")
+def _(t):
+    """Observations land in two lots; the stream counts each into the stored table, and a replay of the first changes nothing."""
+    o = _observed(t).select(F.col("project"), "signature", "category", "excerpt", F.col("seen_at").cast("timestamp_ntz").alias("seen_at"), "log_id")
+    root = f"{run_dir(t.spark)}/patterns-{uuid.uuid4().hex}"
+    store, schema = Store(t.spark, f"{root}/store"), "project string, signature string, category string, excerpt string, seen_at timestamp_ntz, log_id string"
+    cut = F.expr(_CUT.replace("TIMESTAMP ", "timestamp_ntz"))
+    for lot in (F.col("seen_at") < cut, F.col("seen_at") >= cut):
+        o.filter(lot).write.mode("append").parquet(f"{root}/landed")
+        ingest.stream_patterns(t.spark, f"{root}/landed", schema, store, f"{root}/checkpoint").awaitTermination()
+    writer = next(iter(store.keyed("failure_patterns").manifest()["writers"]))
+    ingest.count_patterns(store, o.filter(F.col("seen_at") < cut), writer, 0)
+    p = store.read("failure_patterns")
+    return p.withColumn("first_seen", times.iso(F.col("first_seen"))).withColumn("last_seen", times.iso(F.col("last_seen")))
+
+
 @query("pattern_retention", f"""WITH {_OBS},
 p AS (SELECT project, signature, max(ts) AS last_seen FROM obs GROUP BY ALL)
 SELECT project, signature FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY last_seen DESC, signature) AS k FROM p
