@@ -151,7 +151,7 @@ _EMAILS = _spans_sql(
     r"@[\p{L}\p{N}_.\-]+\.[A-Za-z]{2}", r"[\p{L}\p{N}_.%+\-]", r"[\p{L}\p{N}_.%+\-]", "range(6, 41)", r"[\p{L}\p{N}_.%+\-]{1,64}@[\p{L}\p{N}_.\-]{1,255}\.[A-Za-z]{2,24}", "^$", "true",
     "left(raw, 1) || '***@' || left(split_part(raw, '@', 2), 1) || '****.' || regexp_extract(raw, '[^.]*$')")
 # All findings: the kinds the given documents hold (the others find nothing there; tests cover them).
-_ALL = f"""found AS (SELECT *, 'credit_card' AS type FROM ({_CARDS}) UNION ALL SELECT *, 'phone' FROM ({_PHONES}) UNION ALL SELECT *, 'email' FROM ({_EMAILS}))"""
+FOUND = f"""found AS (SELECT *, 'credit_card' AS type FROM ({_CARDS}) UNION ALL SELECT *, 'phone' FROM ({_PHONES}) UNION ALL SELECT *, 'email' FROM ({_EMAILS}))"""
 
 
 @query("pii_phones", _PHONES)
@@ -159,13 +159,13 @@ def _(t):
     return _positions(t, "phone")
 
 
-@query("pii_findings", f"""WITH {_ALL} SELECT source || '/' || doc_id AS path, type, start, "end", preview,
+@query("pii_findings", f"""WITH {FOUND} SELECT source || '/' || doc_id AS path, type, start, "end", preview,
  1 + length(left(text, start)) - length(replace(left(text, start), chr(10), '')) AS line FROM found JOIN documents USING (doc_id)""")
 def _(t):
     return evidence.findings(views.evidence(t).select("path", "text")).drop("raw")
 
 
-@query("pii_summary", f"""WITH {_ALL}, n AS (SELECT doc_id, count(*) AS n FROM found GROUP BY doc_id)
+@query("pii_summary", f"""WITH {FOUND}, n AS (SELECT doc_id, count(*) AS n FROM found GROUP BY doc_id)
 SELECT source, count(*) AS scanned_files, 0 AS skipped_files, CAST(COALESCE(sum(n), 0) AS BIGINT) AS findings, COALESCE(sum(n), 0) = 0 AS clean, true AS complete
 FROM documents LEFT JOIN n USING (doc_id) GROUP BY source""")
 def _(t):
@@ -173,15 +173,18 @@ def _(t):
     return evidence.scan_summary(docs, evidence.findings(docs), "source")
 
 
-@query("pii_by_type", f"WITH {_ALL} SELECT source, type, count(*) AS n FROM found JOIN documents USING (doc_id) GROUP BY ALL")
+@query("pii_by_type", f"WITH {FOUND} SELECT source, type, count(*) AS n FROM found JOIN documents USING (doc_id) GROUP BY ALL")
 def _(t):
     docs = views.evidence(t)
     return evidence.findings_by_type(docs, evidence.findings(docs), "source")
 
 
-@query("pii_masked_documents", f"""WITH {_ALL}, o AS (SELECT *, lag("end", 1, 0) OVER (PARTITION BY doc_id ORDER BY start) AS f FROM found),
+MASKED = f"""WITH {FOUND}, o AS (SELECT *, lag("end", 1, 0) OVER (PARTITION BY doc_id ORDER BY start) AS f FROM found),
 m AS (SELECT doc_id, string_agg(substring(text, f + 1, start - f) || preview, '' ORDER BY start) || substring(any_value(text), max("end") + 1) AS x
   FROM o JOIN documents USING (doc_id) GROUP BY doc_id)
-SELECT doc_id, COALESCE(x, text) AS text, x IS NOT NULL AS masked FROM documents LEFT JOIN m USING (doc_id)""")
+SELECT doc_id, COALESCE(x, text) AS text, x IS NOT NULL AS masked FROM documents LEFT JOIN m USING (doc_id)"""
+
+
+@query("pii_masked_documents", MASKED)
 def _(t):
     return evidence.mask_pii(views.evidence(t).select("doc_id", "text"), "doc_id")

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from reliq.functions import secrets
 from reliq.operators import evidence, incidents, stability
+from reliq.operators.search import materialize
 from reliq.plans import scan, stabilize
 from reliq.session import run_dir
 from reliq.sources import tables
 from reliq.workload import history as H
-from reliq.workload.evidence import redact_sql
+from reliq.workload.evidence import FOUND, MASKED, redact_sql
 from reliq.workload.registry import query
 
 
@@ -66,12 +67,14 @@ def _(t):
     return rows.select("failure_id", stability.evidence_text(rows).alias("evidence_text"))
 
 
-@query("egress_flags", "SELECT doc_id, doc_id % 4 = 1 AS egress_fired, md5(CASE WHEN doc_id % 4 = 1 THEN text || ' mail a***@e****.com' ELSE text END) AS note FROM documents WHERE text NOT LIKE '%@%' AND NOT regexp_matches(text, '[0-9]')")
+@query("egress_flags", f"""SELECT doc_id, doc_id % 4 = 1 AS egress_fired, md5(CASE WHEN doc_id % 4 = 1 THEN text || ' mail a***@e****.com' ELSE text END) AS note FROM ({MASKED})""")
 def _(t):
-    plain = t("documents").filter(~F.col("text").contains("@") & ~F.col("text").rlike("[0-9]"))
-    rows = plain.select("doc_id", F.when(F.col("doc_id") % 4 == 1, F.concat("text", F.lit(" mail ann@ex.com"))).otherwise(F.col("text")).alias("note"))
-    again = evidence.mask_pii(rows, "doc_id", "note")
-    return incidents.egress_check(rows, again, "doc_id", "note").select("doc_id", "egress_fired", F.md5("note").alias("note"))
+    """All documents are masked, an address slips into some of them, and the second pass finds what is left."""
+    once = evidence.mask_pii(t.spread("documents").select("doc_id", "text"), "doc_id")
+    slipped = F.when(F.col("doc_id") % 4 == 1, F.concat("text", F.lit(" mail ann@ex.com"))).otherwise(F.col("text"))
+    sent = materialize(once.select("doc_id", slipped.alias("note")), "sent")
+    again = evidence.mask_pii(sent, "doc_id", "note")
+    return incidents.egress_check(sent, again, "doc_id", "note").select("doc_id", "egress_fired", F.md5("note").alias("note"))
 
 
 @query("masked_maps", """SELECT doc_id, '***' AS secret, CASE WHEN doc_id % 2 = 0 THEN '***' ELSE lang END AS odd, source AS plain FROM documents""")
@@ -90,9 +93,11 @@ _KINDS = "[" + ", ".join(f"'{k}'" for k in _VALUES) + "][doc_id % 8 + 1]"
 _RAWS = "[" + ", ".join(f"'{v}'" for v in _VALUES.values()) + "][doc_id % 8 + 1]"
 
 
-@query("pii_all_types", f"""SELECT doc_id, {_KINDS} AS type, 10 + quality * 2 AS start, 10 + quality * 2 + length({_RAWS}) AS "end" FROM labels
-UNION ALL SELECT doc_id, 'email', 11 + quality * 2 + length({_RAWS}), 18 + quality * 2 + length({_RAWS}) FROM labels WHERE toxic = 1""")
+@query("pii_all_types", f"""WITH {FOUND}
+SELECT doc_id, type, start, "end" FROM found
+UNION ALL SELECT doc_id, {_KINDS}, length(COALESCE(text, '')) + 11, length(COALESCE(text, '')) + 11 + length({_RAWS}) FROM documents""")
 def _(t):
+    """Whole documents, each with a value of one of the eight kinds at its end."""
     raw = F.element_at(F.array(*[F.lit(v) for v in _VALUES.values()]), (F.col("doc_id") % 8 + 1).cast("int"))
-    text = F.concat(F.lit("passport: "), F.repeat(F.lit("q "), F.col("quality")), raw, F.when(F.col("toxic") == 1, " x@yz.eu").otherwise(""))
-    return evidence.findings(t("labels").select("doc_id", text.alias("text")), key="doc_id").select("doc_id", "type", "start", "end")
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\npassport: "), raw)
+    return evidence.findings(t.spread("documents").select("doc_id", text.alias("text")), key="doc_id").select("doc_id", "type", "start", "end")
