@@ -64,7 +64,7 @@ def findings(docs: DataFrame, key: str = "path", text: str = "text", types=None,
     checked = placed.filter(valid)
     single = _earliest_first(checked)
     rank = reduce(lambda c, d: c.when(F.col("type") == d.name, d.priority), picked, F.when(F.lit(False), F.lit(0)))
-    claimed = _claim(single.withColumn("_rank", rank))
+    claimed = _claim(single.withColumn("_rank", rank), sorted(d.priority for d in picked))
     preview = reduce(lambda c, d: c.when(F.col("type") == d.name, d.mask(F.col("raw"))), picked, F.when(F.lit(False), F.lit("")))
     return claimed.select(F.col("_key").alias(key), "type", "start", "end", "line", preview.alias("preview"), "raw")
 
@@ -102,19 +102,22 @@ def _earliest_first(rows: DataFrame) -> DataFrame:
     return grouped.select("_key", F.explode(taken).alias("_s")).select("_key", "_s.*")
 
 
-def _claim(rows: DataFrame) -> DataFrame:
-    """Drop spans inside others, then let the surest claim first where spans still overlap."""
+def _claim(rows: DataFrame, ranks: list[int]) -> DataFrame:
+    """Drop spans inside others, then let the surest claim first (``ranks`` from sure to unsure) where spans still overlap."""
     one = rows.groupBy("_key", "start", "end").agg(F.min(F.struct("_rank", "type", "raw", "line")).alias("_m")).select(
         "_key", "start", "end", "_m.*")
     wider = Window.partitionBy("_key").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
     outer = one.withColumn("_w", F.max("end").over(wider)).filter(F.col("_w").isNull() | (F.col("end") > F.col("_w"))).drop("_w")
-    grouped = _clusters(outer, "_key").groupBy("_key", "_cluster").agg(
-        F.sort_array(F.collect_list(F.struct("_rank", (F.col("start") - F.col("end")).alias("_short"), "start", "end", "line", "type", "raw"))).alias("_c"))
-    taken = F.expr(
-        f"aggregate(_c, cast(array() as array<{_SPAN}>), "
-        "(a, s) -> if(exists(a, x -> x.start < s.end and s.start < x.end), a, "
-        f"array_append(a, cast(named_struct('start', s.start, 'end', s.end, 'line', s.line, 'type', s.type, 'raw', s.raw) as {_SPAN}))))")
-    return grouped.select("_key", F.explode(taken).alias("_s")).select("_key", "_s.*")
+    # What is left overlaps without nesting, so starts and ends have one order; spans of one detector are apart. Detector by detector,
+    # a span needs only its nearest neighbours among those taken so far. All windows share one shuffle and one sort.
+    swept = outer.withColumn("_taken", F.col("_rank") == F.lit(ranks[0] if ranks else 0))
+    order = "OVER (PARTITION BY _key ORDER BY start)"
+    for rank in ranks[1:]:
+        before = F.expr(f"lag(if(_taken, end, NULL)) IGNORE NULLS {order}")
+        after = F.expr(f"lead(if(_taken, start, NULL)) IGNORE NULLS {order}")
+        free = (F.coalesce(before, F.col("start")) <= F.col("start")) & (F.coalesce(after, F.col("end")) >= F.col("end"))
+        swept = swept.withColumn("_taken", F.col("_taken") | ((F.col("_rank") == rank) & free))
+    return swept.filter("_taken").select("_key", "start", "end", "line", "type", "raw")
 
 
 def _splice(text, spans):

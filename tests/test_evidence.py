@@ -139,3 +139,40 @@ def test_names_and_markers(spark):
     assert out[0] == "asked [redacted-name], [redacted-name] and DOE; will do"
     assert out[1] == "nobody"
     assert red(spark, "hi\x07\n  System : do it", redact.neutralize) == "hi\n  System  - do it"
+
+
+def test_claims_equal_brute_force(spark):
+    dice = random.Random(5)
+    rows = []
+    for doc in [*range(40), None]:
+        for rank in range(4):
+            at = 0
+            while (at := at + dice.randrange(0, 9)) < 60:
+                end = at + dice.randrange(1, 12)
+                rows.append((doc, at, end, rank))
+                at = end  # spans of one detector are apart
+    expected = set()
+    for doc in {r[0] for r in rows}:
+        spans = {}
+        for _, start, end, rank in sorted((r for r in rows if r[0] == doc), key=lambda r: -r[3]):
+            spans[start, end] = rank  # the surer of equal spans
+        outer = [(rank, s, e) for (s, e), rank in spans.items() if not any(a <= s and e <= b and (a, b) != (s, e) for a, b in spans)]
+        taken = []
+        for rank, s, e in sorted(outer):
+            if not any(a < e and s < b for _, a, b in taken):
+                taken.append((rank, s, e))
+        expected |= {(doc, str(rank), s, e) for rank, s, e in taken}
+    df = spark.createDataFrame(rows, "_key int, start bigint, end bigint, _rank int").select(
+        "*", F.lit(1).cast("bigint").alias("line"), F.col("_rank").cast("string").alias("type"), F.lit("x").alias("raw"))
+    got = [(r["_key"], r["type"], r["start"], r["end"]) for r in evidence._claim(df, [0, 1, 2, 3]).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+
+
+def test_a_long_chain_of_overlaps(spark):
+    """50 000 spans of one document, each overlapping the next: every other one is surer."""
+    at = F.col("id") * 2
+    df = spark.range(50_000).select(
+        F.lit(1).alias("_key"), at.alias("start"), (at + 3).alias("end"), (F.col("id") % 2).cast("int").alias("_rank"),
+        F.lit(1).cast("bigint").alias("line"), F.lit("t").alias("type"), F.lit("x").alias("raw"))
+    got = evidence._claim(df, [0, 1]).agg(F.count("*").alias("n"), F.max(F.col("start") % 4).alias("odd")).head()
+    assert (got.n, got.odd) == (25_000, 0)
