@@ -118,9 +118,12 @@ def bm25_top(queries: DataFrame, docs: DataFrame | TextIndex, columns: list[str]
     the bounds of posting blocks add up what any document of a block share can score at most; only shares that
     can reach the certain score are opened, and their postings of all terms are added up.
     """
-    index = index_of(docs, columns)
-    terms = query_terms(queries)
-    frequency = index.frequency(terms)
+    return best_by_terms(query_terms(queries), index_of(docs, columns), k)
+
+
+def best_by_terms(terms: DataFrame, index: TextIndex, k: int, frequency: DataFrame | None = None) -> DataFrame:
+    """``bm25_top`` for terms (query_id, token, qtf); ``frequency`` (token, df) stands in for the index's own."""
+    frequency = index.frequency(terms) if frequency is None else frequency
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(MIN_IDF))
     weighted = terms.join(frequency, "token").join(F.broadcast(index.stats())).select(
         "query_id", "token", "df", "avg_len", (F.col("qtf") * idf).alias("weight")).withColumn("bucket", text_index.bucket())

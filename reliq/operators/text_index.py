@@ -49,8 +49,11 @@ class TextIndex:
 
     def add(self, docs: DataFrame, columns: list[str], batch: int, id_col: str = "doc_id") -> None:
         """New and changed documents, one row per id; their texts are the columns, joined by blanks."""
-        tokens = F.array_sort(X.index_tokens(F.concat_ws(" ", *columns)))
-        rows = docs.select(F.col(id_col).alias("doc_id"), tokens.alias("tokens"))
+        self.add_tokens(docs.select(F.col(id_col).alias("doc_id"), X.index_tokens(F.concat_ws(" ", *columns)).alias("tokens")), batch)
+
+    def add_tokens(self, docs: DataFrame, batch: int) -> None:
+        """``add`` for documents (doc_id, tokens) that were tokenised before; an id may be a struct."""
+        rows = docs.select("doc_id", F.array_sort("tokens").alias("tokens"))
         self._add(rows.select("doc_id", F.size("tokens").alias("doc_len"), counted("tokens").alias("terms")), batch)
 
     def _add(self, rows: DataFrame, batch: int) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import timedelta
 
@@ -11,7 +12,10 @@ from pyspark.sql import functions as F
 from reliq.checks import require_iso
 from reliq.functions import signatures as S
 from reliq.functions import taxonomy as T
-from reliq.operators import search
+from reliq.functions import text as X
+from reliq.operators import search, text_index
+from reliq.session import run_dir
+from reliq.sources.tables import Store
 
 SAMPLE_CHARS = 4000
 RETENTION_DAYS = 180
@@ -103,9 +107,9 @@ def prior_patterns(signed: DataFrame, patterns: DataFrame) -> DataFrame:
     """Each log's known pattern: same signature, else a similar one of its project.
 
     ``signed`` has log_id, project, signature, tokens. The similar match is sought
-    once per distinct (project, signature), among at most 500 stored patterns per
-    project (the retention cap), by BM25 over shared words; the first of the ten
-    best with two shared words (one, if the query has only one) is taken.
+    once per distinct (project, signature), among all stored patterns of the
+    project, by BM25 over shared words; the first of the ten best with two
+    shared words (one, if the query has only one) is taken.
     """
     known = patterns.select("project", "signature", "category", "occurrences")
     exact = signed.join(known, ["project", "signature"]).select(
@@ -125,29 +129,43 @@ def prior_patterns(signed: DataFrame, patterns: DataFrame) -> DataFrame:
     return exact.unionByName(fuzzy)
 
 
-def similar_patterns(wanted: DataFrame, patterns: DataFrame) -> DataFrame:
-    """``(project, wanted, signature, category, occurrences)``: the similar pattern per wanted signature."""
-    from reliq.functions import text as X
+#: Between a project and a token in the index of patterns; no token holds it.
+_IN_PROJECT = "\x01"
 
-    index = patterns.select("project", "signature", "category", "occurrences", X.index_tokens(F.col("sample")).alias("_t"),
-                            S.sample_tokens(S.normalize_failure(F.col("sample"))).alias("_words"))
-    stats = index.agg(F.count("*").alias("n"), F.avg(F.size("_t")).alias("avg_len")).withColumn("_one", F.lit(1))
-    tf = index.select("project", "signature", F.size("_t").alias("len"), F.explode("_t").alias("token")).groupBy(
-        "project", "signature", "len", "token").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
+
+def _project_token(token):
+    return F.concat(F.coalesce("project", F.lit("")), F.lit(_IN_PROJECT), token)
+
+
+def pattern_index(patterns: DataFrame) -> text_index.TextIndex:
+    """The samples of patterns as an inverted index whose tokens name their project: a search meets its own project only."""
+    tokens = F.transform(X.index_tokens(F.coalesce("sample", F.lit(""))), _project_token)
+    index = text_index.TextIndex(Store(patterns.sparkSession, f"{run_dir(patterns.sparkSession)}/patterns-{uuid.uuid4().hex}"), "patterns")
+    index.add_tokens(patterns.select(F.struct("project", "signature").alias("doc_id"), tokens.alias("tokens")), 1)
+    return index
+
+
+def similar_patterns(wanted: DataFrame, patterns: DataFrame, pool: int = FUZZY_POOL, index: text_index.TextIndex | None = None) -> DataFrame:
+    """``(project, wanted, signature, category, occurrences)``: the similar pattern per wanted signature.
+
+    The ``pool`` best by BM25 come from an index search that starts at the rarest words and opens only shares of postings whose
+    bounds reach the pool, so a word of every pattern costs no pairs. Word frequencies count over all projects.
+    """
+    index = index or pattern_index(patterns)
+    asked = F.struct("project", "wanted")
     # A query word may hold several index terms (snake_case); each counts as a term.
-    terms = wanted.select("project", "wanted", F.explode(F.array_distinct(F.flatten(F.transform("tokens", lambda w: F.split(w, "_"))))).alias("token")).filter("token <> ''")
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(search.MIN_IDF))
-    weight = idf * F.col("tf") * (search.K1 + 1) / (F.col("tf") + search.K1 * (1 - search.B + search.B * F.col("len") / F.col("avg_len")))
-    ranked = (
-        terms.join(tf, ["project", "token"]).join(df, "token").withColumn("_one", F.lit(1)).join(F.broadcast(stats), "_one")
-        .groupBy("project", "wanted", "signature").agg(F.round(F.sum(weight), 9).alias("score"))
-    )
-    order = Window.partitionBy("project", "wanted").orderBy(F.desc("score"), "signature")
-    pool = ranked.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= FUZZY_POOL)
+    split = F.array_distinct(F.flatten(F.transform("tokens", lambda w: F.split(w, "_"))))
+    terms = wanted.filter(F.col("project").isNotNull()).select(asked.alias("query_id"), F.explode(F.filter(split, lambda w: w != "")).alias("_w"), "project").select(
+        "query_id", _project_token(F.col("_w")).alias("token"), F.lit(1).alias("qtf"))
+    terms = search.materialize(terms, "terms")
+    word = F.substring_index("token", _IN_PROJECT, -1)
+    overall = index.frequency().groupBy(word.alias("_w")).agg(F.sum("df").alias("df"))
+    frequency = terms.select("token").distinct().withColumn("_w", word).join(overall, "_w").select("token", "df")
+    ranked = search.best_by_terms(terms, index, pool, frequency).select("query_id.*", "doc_id.signature", "rank")
+    words = patterns.select("project", "signature", "category", "occurrences", S.sample_tokens(S.normalize_failure(F.col("sample"))).alias("_words"))
     close = (
-        pool.join(wanted, ["project", "wanted"]).join(index.drop("_t"), ["project", "signature"])
+        ranked.join(wanted, ["project", "wanted"]).join(words, ["project", "signature"])
         .filter(F.size(F.array_intersect("tokens", "_words")) >= F.least(F.lit(2), F.size("tokens")))
     )
-    return close.groupBy("project", "wanted").agg(F.min_by(F.struct("signature", "category", "occurrences"), "_k").alias("m")).select(
+    return close.groupBy("project", "wanted").agg(F.min_by(F.struct("signature", "category", "occurrences"), "rank").alias("m")).select(
         "project", "wanted", "m.*")

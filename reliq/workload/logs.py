@@ -239,6 +239,32 @@ def _(t):
     return out.filter(~F.col("fuzzy")).select(F.col("log_id").alias("event_id"), "prior_occurrences")
 
 
+_TELLING = "list_filter(list_transform(regexp_extract_all(%s, '[A-Za-z][A-Za-z0-9_]{2,}'), lambda x: lower(x)), lambda x: NOT list_contains(" + str(list(S.COMMON_FAILURE_WORDS)) + ", x))"
+
+
+@query("prior_fuzzy", rf"""WITH p AS (SELECT lang AS project, 'd' || doc_id AS signature, source AS category, doc_id % 7 AS occurrences,
+  regexp_extract_all(lower(strip_accents(COALESCE(text, ''))), '[\p{{L}}\p{{N}}]+') AS toks,
+  list_distinct(list_transform(regexp_extract_all({_norm_sql('text')}, '[A-Za-z][A-Za-z0-9_]{{2,}}'), lambda x: lower(x))) AS words FROM documents WHERE doc_id % 3 <> 1),
+w0 AS (SELECT lang AS project, 'd' || doc_id AS wanted, {_TELLING % "text"} AS l FROM documents WHERE doc_id % 3 = 1),
+w AS (SELECT project, wanted, list_filter(l, lambda x, i: list_position(l, x) = i)[1:12] AS tokens FROM w0),
+stats AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM p),
+post AS (SELECT project, signature, len(toks) AS dl, token, count(*) AS tf FROM (SELECT *, unnest(toks) AS token FROM p) GROUP BY ALL),
+dfs AS (SELECT token, count(*) AS df FROM post GROUP BY token),
+terms AS (SELECT DISTINCT project, wanted, unnest(string_split(t, '_')) AS token FROM (SELECT *, unnest(tokens) AS t FROM w)),
+scores AS (SELECT project, wanted, signature, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
+  FROM terms JOIN post USING (project, token) JOIN dfs USING (token), stats GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY project, wanted ORDER BY score DESC, signature) AS k FROM scores),
+near AS (SELECT r.project, r.wanted, r.signature, p.category, p.occurrences, k FROM ranked r JOIN w USING (project, wanted) JOIN p ON p.project = r.project AND p.signature = r.signature
+  WHERE k <= 10 AND len(list_intersect(w.tokens, p.words)) >= least(2, len(w.tokens)))
+SELECT project, wanted, arg_min(signature, k) AS signature, arg_min(category, k) AS category, arg_min(occurrences, k) AS occurrences FROM near GROUP BY project, wanted""")
+def _(t):
+    """Two thirds of the documents stand for stored patterns, the others for failures that ask for a similar one of their language."""
+    docs = t.spread("documents").withColumn("signature", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    stored = docs.filter("doc_id % 3 <> 1").select(F.col("lang").alias("project"), "signature", F.col("source").alias("category"), (F.col("doc_id") % 7).alias("occurrences"), F.col("text").alias("sample"))
+    asked = docs.filter("doc_id % 3 = 1").select(F.col("lang").alias("project"), F.col("signature").alias("wanted"), S.fuzzy_tokens(F.col("text")).alias("tokens"))
+    return triage.similar_patterns(asked, stored)
+
+
 @query("triage_logs")
 def _(t):
     o = _observed(t)

@@ -84,3 +84,38 @@ def test_an_index_of_nothing(spark, tmp_path):
     assert found(spark, index, {1: "the"}, 5) == {1: []}
     index.add(spark.createDataFrame([("a", None, None), ("b", "Émile", None)], DOCS), ["title", "body"], 2)
     assert [d for d, _ in found(spark, index, {1: "emile"}, 5)[1]] == ["b"]
+
+
+def test_similar_patterns_equal_brute_force(spark):
+    """One word is everywhere; the pool of ten is ranked over all words, and only a pattern that shares two of them is taken."""
+    import math
+    import random
+
+    from reliq.operators import search, triage
+
+    dice = random.Random(3)
+    vocabulary = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(6)]
+    stored = [(f"p{i % 2}", f"s{i:03d}", "data", i, " ".join(["common", *dice.sample(vocabulary, dice.randrange(0, 6))])) for i in range(300)]
+    stored += [(None, "nowhere", "data", 1, "common wordaa"), ("p0", "silent", "data", 1, None)]
+    asked = [(f"p{i % 3}", f"w{i}", ["common", *dice.sample(vocabulary, dice.randrange(0, 4)), "snake_" + dice.choice(vocabulary)][: dice.randrange(1, 5)]) for i in range(60)]
+    asked += [("p0", "empty", []), (None, "lost", ["common"])]
+    patterns = spark.createDataFrame(stored, "project string, signature string, category string, occurrences int, sample string")
+    got = triage.similar_patterns(spark.createDataFrame(asked, "project string, wanted string, tokens array<string>"), patterns)
+
+    texts = {(p, s): (t or "").split() for p, s, _, _, t in stored}
+    average = sum(map(len, texts.values())) / len(texts)
+    df = {w: sum(w in t for t in texts.values()) for w in {*vocabulary, "common"}}
+    expected = set()
+    for project, wanted, tokens in asked:
+        terms = {w for t in tokens for w in t.split("_")}
+        scores = []
+        for (p, signature), text in texts.items():
+            shared = terms & set(text)
+            if p == project and p is not None and shared:
+                score = sum(max(math.log((len(texts) - df[w] + 0.5) / (df[w] + 0.5)), search.MIN_IDF) * text.count(w) * 2.2
+                            / (text.count(w) + 1.2 * (0.25 + 0.75 * len(text) / average)) for w in shared)
+                scores.append((-round(score, 9), signature))
+        near = [s for _, s in sorted(scores)[:10] if len(set(tokens) & set(texts[project, s])) >= min(2, len(tokens))]
+        if near:
+            expected.add((project, wanted, near[0]))
+    assert {(r.project, r.wanted, r.signature) for r in got.collect()} == expected and len(expected) > 20
