@@ -118,7 +118,7 @@ class KeyedTable:
     def _write(self, rows: DataFrame, count: int) -> dict[str, str]:
         """Folder by bucket of the buckets that hold rows."""
         write = f"data/{uuid.uuid4().hex}"
-        rows.withColumn("key_bucket", self._bucket(count)).repartition(count, "key_bucket").write.partitionBy("key_bucket").parquet(f"{self.path}/{write}")
+        rows.withColumn("key_bucket", self._bucket(count)).repartition("key_bucket").write.partitionBy("key_bucket").parquet(f"{self.path}/{write}")
         found = self._fs().listStatus(self._path(write))
         names = [status.getPath().getName() for status in found]
         return {name.split("=")[1]: f"{write}/{name}" for name in names if name.startswith("key_bucket=")}
