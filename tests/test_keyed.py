@@ -117,3 +117,37 @@ def test_patterns_are_counted_once_per_batch(spark, tmp_path):
     assert counted() == expected
     whole = triage.record_patterns(None, spark.createDataFrame(first + second, OBSERVED).filter(F.col("signature").isNotNull()))
     assert {(r.project, r.occurrences) for r in whole.collect()} == {(p, n) for p, _, n, *_ in expected}
+
+
+def test_layers_replace_and_remove_without_rewriting(spark, table, tmp_path):
+    files = set((tmp_path / "t").rglob("*.parquet"))
+
+    def put(*found):
+        return table.put(spark.createDataFrame([(*r, True) for r in found], ROW + ", changed boolean"), ["k", "n", "bucket"], "changed")
+
+    put(("k5", 500, 1), ("new", 1, 1))
+    put(("k5", 501, 1))
+    table.remove(spark.createDataFrame([("k6",), ("unknown",)], "k string"))
+    put(("k7", 700, 1))
+    expected = {f"k{i}": i for i in range(100) if i != 6} | {"k5": 501, "k7": 700, "new": 1, None: -1}
+    assert rows(table) == expected and table.read().count() == len(expected)
+    new = set((tmp_path / "t").rglob("*.parquet")) - files
+    assert files <= set((tmp_path / "t").rglob("*.parquet"))
+    assert sum(spark.read.parquet(str(f)).count() for f in new) == 6
+    found = table.find(spark.createDataFrame([("k5",), ("k6",), ("k8",), ("none",)], "k string"), ["n"])
+    assert {tuple(r) for r in found.collect()} == {("k5", 501), ("k8", 8)}
+    version = table.compact()
+    assert not table.manifest()["layers"] and rows(table) == expected and rows(table, version - 1) == expected
+    put(("k1", 100, 1))
+    table.merge(spark.createDataFrame([("k2", 200, 1)], ROW), upsert)  # folds first
+    assert rows(table) == expected | {"k1": 100, "k2": 200}
+    table.vacuum(keep=1)
+    assert rows(table) == expected | {"k1": 100, "k2": 200}
+
+
+def test_layers_fold_after_some(spark, table, monkeypatch):
+    monkeypatch.setattr("reliq.sources.keyed.LAYERS", 2)
+    for n in range(6):
+        table.put(spark.createDataFrame([("k5", n, 1, True)], ROW + ", changed boolean"), ["k", "n", "bucket"], "changed")
+    assert rows(table)["k5"] == 5 and table.read().count() == 101
+    assert len(table.manifest()["layers"]) == 2 and table.manifest()["folded"] == 4

@@ -117,3 +117,18 @@ def test_a_newer_store_is_refused(spark, tmp_path):
     store.set_meta(schema_version="99")
     with pytest.raises(ValueError, match="schema version 99"):
         Store(spark, str(tmp_path / "db"))
+
+
+def test_a_sync_writes_changed_rows_only(landed, spark, tmp_path):
+    store, page, sync = landed
+    page("1.json", *[f"K{i}" for i in range(300)])
+    sync()
+    ingest.finish_sync(store, full=True)
+    before = set((tmp_path / "db" / "incidents").rglob("*.parquet"))
+    page("1.again.json", *[f"K{i}" for i in range(0, 300, 2)])  # other summaries, half of the keys
+    (tmp_path / "pages" / "1.json").unlink()
+    sync()
+    ingest.finish_sync(store, full=True)
+    assert index(store) == {f"K{i}": "1.again.json" for i in range(0, 300, 2)}
+    new = set((tmp_path / "db" / "incidents").rglob("*.parquet")) - before
+    assert sum(spark.read.parquet(str(f)).count() for f in new) == 300  # 150 changed rows, 150 removed keys
