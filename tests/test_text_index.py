@@ -119,3 +119,20 @@ def test_similar_patterns_equal_brute_force(spark):
         if near:
             expected.add((project, wanted, near[0]))
     assert {(r.project, r.wanted, r.signature) for r in got.collect()} == expected and len(expected) > 20
+
+
+def test_terms_that_cannot_reach_the_best_are_not_opened(spark, tmp_path, monkeypatch):
+    index = text_index.TextIndex(Store(spark, str(tmp_path)), "docs")
+    docs = {f"d{i}": "the of " + "x1 " * (i % 50 == 0) + f"w{i}" for i in range(400)}
+    index.add(spark.createDataFrame([(d, t, "") for d, t in docs.items()], DOCS), ["title", "body"], 1)
+    assert index.blocks().filter("token = 'the'").count() == 1  # by token, whatever the number of documents
+    seen = {}
+    keep = search.materialize
+
+    def watched(df, name):
+        seen[name] = keep(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(search, "materialize", watched)
+    assert found(spark, index, {1: "the of x1"}, 3) == brute({1: "the of x1"}, {d: t + " " for d, t in docs.items()}, 3)
+    assert seen["candidates"].count() == 8  # those with x1, not all 400
