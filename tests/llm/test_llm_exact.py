@@ -117,6 +117,13 @@ def test_bpe_round_trip(spark, library, frequent):
     assert bpe.encode(docs(spark, []), RANKS, public.PATTERN).count() == 0
 
 
+def test_ids_do_not_depend_on_the_sampled_words(spark, library, monkeypatch):
+    for rows in (1, 10 ** 9):  # nearly no text sampled, all texts counted
+        monkeypatch.setattr(bpe, "SAMPLE_ROWS", rows)
+        got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in bpe.encode(docs(spark, ODD), RANKS, public.PATTERN, frequent=50).collect()}
+        assert got == {i: library.encode_ordinary(t or "") for i, t in enumerate(ODD)}
+
+
 def test_frequent_words_are_counted_over_all_texts(spark):
     import regex
 
