@@ -1,13 +1,16 @@
 """Language-model scoring with Brown class-based bigrams.
 
 Words belong to classes; a text's probability is the product of class transitions and of each word's emission from its class,
-mixed with a little of the unigram base. Classes come from exchange clustering: a unit moves to the class that raises the
-likelihood of the class bigrams most. Units are the most frequent words, and for all other words, known or not, groups by their
-last letters, so that every word has a class that was clustered on all the training text.
+mixed with a little of the unigram base. Classes come from exchange clustering in two steps. First the most frequent words, and
+groups of all others by their last letters, move in rounds, each unit to the class that raises the likelihood of the class bigrams
+most. Then every other word of the training text leaves its group: by its own neighbours it takes the class in which its bigrams
+are most likely. Only words that were never learned from have the class of their group.
 
-Documents are packed into blocks. A block sends each distinct word once, with its training count, to the word's range; the
-range answers with the corpus count. Unit bigrams add up per unit. Exchange runs in rounds: Spark recomputes the units' class
-profiles, a table of fixed size, and the moves of a third of the units are settled on that.
+Documents are packed into blocks that hold each distinct word once, in the order of its CRC-32. A block sends its words, with their
+training counts, to the words' ranges of that order; the ranges find the frequent ones. Unit bigrams add up per unit. Exchange
+runs in rounds: Spark recomputes the units' class profiles, a table of fixed size, and the moves of a third of the units are settled
+on that. Then blocks send the words with their neighbours' classes, the ranges add these up and answer with count and class, and
+the class bigrams are counted anew from the words' own classes.
 
 Defined cases: a null text reads as empty (one end token); a null id counts as the empty text when rows are split into training
 and held out; nothing to learn from gives the uniform smoothing alone; ids may be repeated (each row is a document); an empty
@@ -19,7 +22,7 @@ from __future__ import annotations
 import itertools
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reliq.llm.store import BLOCK_BYTES, pack, stored, unpack, utf8, words_of
+from reliq.llm.store import BLOCK_BYTES, packing, stored, unpack, utf8, words_of
 
-#: Frequent words that are units by themselves, groups of the other words, classes, rounds of exchange.
+#: Frequent words that move in all rounds, groups that stand for the other words meanwhile, classes, rounds of exchange.
 FREQUENT, GROUPS, CLASSES, ROUNDS = 2048, 511, 48, 6
 #: Weight of the class model beside the unigram base, and of the class frequencies in its transitions.
 CLASS_WEIGHT, PRIOR = 0.95, 2.0
@@ -42,26 +45,76 @@ def _tokens(text: bytes) -> list[bytes]:
     return words_of(text.lower())
 
 
-def _dealt(words: list[bytes], ranges: int) -> dict[int, list[bytes]]:
-    """Distinct words by range, in order of first appearance."""
-    out: dict[int, list[bytes]] = {}
-    for w in words:
-        out.setdefault(zlib.crc32(w) % ranges, []).append(w)
-    return out
+def _shut(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
 
 
-class _Units(dict):
-    """Word to unit: a place among the frequent words, or a group by the last letters."""
+def _open(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
 
-    def __init__(self, frequent: list[bytes], groups: int):
-        super().__init__((w, i) for i, w in enumerate(frequent))
-        self.frequent, self.groups = frequent, groups
 
-    def __missing__(self, word: bytes) -> int:
-        unit = len(self.frequent) + group_of(word, self.groups)
-        if len(self) < 400_000:
-            self[word] = unit
-        return unit
+def _joined(words: list[bytes]) -> bytes:
+    return _shut(b" ".join(words))
+
+
+def _split(data: bytes) -> list[bytes]:
+    return _open(data).split()
+
+
+class _Block:
+    """Whole documents as numbers of the block's distinct words; an end follows every document."""
+
+    def __init__(self, docs: bytes, line: bytes):
+        table = unpack(docs)
+        self.ids, self.learned = table.column("doc_id").combine_chunks(), table.column("learn").to_numpy(zero_copy_only=False).astype(bool)
+        self.line, self.lengths = np.frombuffer(_open(line), "<i4"), table.column("n").to_numpy() + 1
+        self.stops = np.cumsum(self.lengths)
+        self.learns = np.repeat(self.learned, self.lengths)
+
+    def spelled(self, of: np.ndarray, end: int) -> np.ndarray:
+        """Every token's value by its word's, ``end`` for the ends; an end stands before every text."""
+        out = np.full(int(self.lengths.sum()), end)
+        is_word = np.ones(len(out), bool)
+        is_word[self.stops - 1] = False
+        out[is_word] = of[self.line]
+        return out
+
+    def counts(self, words: int) -> np.ndarray:
+        own = self.spelled(np.arange(words), words)
+        return np.bincount(own[self.learns], minlength=words + 1)[:words]
+
+
+def tokenized(rows: DataFrame, block_bytes: int) -> DataFrame:
+    """(block, docs, words, line) for rows (doc_id, text, learn): blocks of whole documents, their distinct words, and the texts as numbers of these."""
+    packed = packing(block_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in packed(batches):
+            table = unpack(batch.column("data")[0].as_py())
+            number: defaultdict[bytes, int] = defaultdict()
+            number.default_factory = number.__len__
+            lines = [np.zeros(0, "<i4")]
+            for text in utf8(table.column("text")):
+                own = _tokens(text)
+                lines.append(np.fromiter(map(number.__getitem__, own), "<i4", len(own)))
+            words = sorted(number, key=zlib.crc32)
+            place = np.zeros(len(words), "<i4")
+            place[np.fromiter(map(number.__getitem__, words), np.int64, len(words))] = np.arange(len(words))
+            docs = pa.table({"doc_id": table.column("doc_id"), "n": pa.array([len(x) for x in lines[1:]], pa.int64()), "learn": table.column("learn")})
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(docs)
+            yield pa.RecordBatch.from_pydict({"block": batch.column("block"), "docs": [sink.getvalue().to_pybytes()], "words": [_joined(words)],
+                                              "line": [_shut(place[np.concatenate(lines)].tobytes())]})
+
+    return rows.mapInArrow(run, "block long, docs binary, words binary, line binary")
+
+
+def _ranges(words: list[bytes], ranges: int) -> list[tuple[int, slice]]:
+    """Ranges of CRC-32 that hold some of the words, which are in its order, and their places."""
+    part = (np.fromiter(map(zlib.crc32, words), np.uint64, len(words)) * np.uint64(ranges)) >> np.uint64(32)
+    starts = np.flatnonzero(np.diff(part, prepend=np.uint64(ranges)))
+    return [(int(part[i]), slice(i, j)) for i, j in itertools.pairwise([*starts.tolist(), len(words)])]
 
 
 def group_of(word: bytes, groups: int) -> int:
@@ -108,6 +161,16 @@ def exchange(forward: np.ndarray, backward: np.ndarray, own: np.ndarray, classes
     return classes
 
 
+def best_classes(left: np.ndarray, right: np.ndarray, transitions: np.ndarray, fixed: int, prior: float = PRIOR) -> np.ndarray:
+    """Of each word (rows; its neighbours' classes counted) the class in which its bigrams are most likely, all others' classes as they are."""
+    tokens = transitions.sum(0)
+    share = (tokens + 1e-9) / (tokens.sum() + 1e-9 * len(tokens))
+    step = np.log((transitions + prior * share[None, :]) / (transitions.sum(1)[:, None] + prior))
+    gain = left @ step + right @ step.T - left.sum(1)[:, None] * np.log(tokens + 0.5)[None, :]
+    gain[:, fixed] = -np.inf
+    return gain.argmax(1)
+
+
 class ClassModel:
     """Everything a task needs to score, except the words' counts."""
 
@@ -133,66 +196,49 @@ def brown_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_co
     ``learn`` reads ``doc_id`` and says which rows are learned from; every row is scored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    blocks = stored(pack(rows.withColumn("learn", F.coalesce(learn, F.lit(False))), block_bytes), "blocks")
+    blocks = stored(tokenized(rows.withColumn("learn", F.coalesce(learn, F.lit(False))), block_bytes), "blocks")
     ranges = max(1, math.ceil(blocks.count() * block_bytes * WORDS_PER_BYTE / RANGE_WORDS))
     units, end = frequent + groups + 1, frequent + groups
 
-    def opened(data: bytes) -> tuple[pa.Array, list[list[bytes]], list[bool]]:
-        table = unpack(data)
-        return table.column("doc_id").combine_chunks(), [_tokens(t) for t in utf8(table.column("text"))], table.column("learn").to_pylist()
-
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for block, data in zip(batch["block"], batch["data"], strict=True):
-                _, texts, learned = opened(data)
-                counts = Counter(itertools.chain.from_iterable(itertools.compress(texts, learned)))
-                own = _dealt(list(dict.fromkeys(itertools.chain.from_iterable(texts))), ranges)
-                yield pd.DataFrame({"part": own.keys(), "block": block, "words": [b" ".join(w) for w in own.values()],
-                                    "counts": [np.array([counts[x] for x in w], "<i8").tobytes() for w in own.values()], "docs": 0})
-                yield pd.DataFrame({"part": [0], "block": [-1], "words": [b""], "counts": [b""], "docs": [sum(learned)]})
+            for row in batch.itertuples():
+                block, words = _Block(row.docs, row.line), _split(row.words)
+                counts = block.counts(len(words))
+                words = [words[i] for i in np.flatnonzero(counts)]
+                counts = counts[counts > 0]
+                own = _ranges(words, ranges)
+                yield pd.DataFrame({"part": [p for p, _ in own], "words": [_joined(words[at]) for _, at in own],
+                                    "counts": [_shut(counts[at].astype("<i8").tobytes()) for _, at in own], "docs": 0})
+                yield pd.DataFrame({"part": [0], "words": [_joined([])], "counts": [_shut(b"")], "docs": [int(block.learned.sum())]})
 
     def add_up(asked: pd.DataFrame) -> pd.DataFrame:
-        total: Counter = Counter()
-        lists = [w.split(b" ") if w else [] for w in asked["words"]]
-        for words, raw in zip(lists, asked["counts"], strict=True):
-            for w, n in zip(words, np.frombuffer(raw, "<i8").tolist(), strict=True):
-                total[w] += n
-        seen = {w: n for w, n in total.items() if n}
-        kinds = np.bincount([group_of(w, groups) for w in seen] or [0], minlength=groups) if seen else np.zeros(groups, np.int64)
+        seen: Counter = Counter()
+        for words, raw in zip(asked["words"], asked["counts"], strict=True):
+            for w, n in zip(_split(words), np.frombuffer(_open(raw), "<i8").tolist(), strict=True):
+                seen[w] += n
         top = sorted(seen, key=lambda w: (-seen[w], w))[:frequent]
-        out = pd.DataFrame({"block": asked["block"], "part": asked["part"], "counts": [np.array([total[w] for w in words], "<i8").tobytes() for words in lists]})
-        out = out[asked["block"] >= 0]
-        facts = pd.DataFrame({"block": [-1], "part": asked["part"].iloc[:1].to_numpy(), "counts": [b""], "tokens": [sum(seen.values())], "docs": [int(asked["docs"].sum())],
-                              "kinds": [kinds.tolist()], "top": [top], "top_counts": [[seen[w] for w in top]]})
-        return pd.concat([out.assign(tokens=0, docs=0, kinds=None, top=None, top_counts=None), facts]) if len(out) else facts
-
-    questions = blocks.mapInPandas(ask, "part int, block long, words binary, counts binary, docs long")
-    answers = stored(questions.groupBy("part").applyInPandas(
-        add_up, "block long, part int, counts binary, tokens long, docs long, kinds array<long>, top array<binary>, top_counts array<long>"), "word-counts")
-    facts = answers.filter("block < 0")
-    words_total, n_docs = (x or 0 for x in facts.agg(F.sum("tokens"), F.sum("docs")).first())
-    kinds = np.zeros(groups, np.int64)
-    for r in facts.select(F.posexplode("kinds").alias("g", "n")).groupBy("g").agg(F.sum("n").alias("n")).collect():
-        kinds[r.g] = r.n
+        return pd.DataFrame({"tokens": [sum(seen.values())], "docs": [int(asked["docs"].sum())], "kinds": [len(seen)], "top": [top], "top_counts": [[seen[w] for w in top]]})
+
+    facts = stored(blocks.select("docs", "words", "line").mapInPandas(ask, "part int, words binary, counts binary, docs long").groupBy("part").applyInPandas(
+        add_up, "tokens long, docs long, kinds long, top array<binary>, top_counts array<long>"), "word-counts")
+    words_total, n_docs, n_kinds = (x or 0 for x in facts.agg(F.sum("tokens"), F.sum("docs"), F.sum("kinds")).first())
     best = facts.select(F.explode(F.arrays_zip("top", "top_counts")).alias("x")).select("x.top", "x.top_counts").orderBy(F.desc("top_counts"), "top").limit(frequent)
     common = [bytes(r.top) for r in best.collect()]
-    n_kinds = int(kinds.sum()) + (n_docs > 0)
+    n_kinds += n_docs > 0
 
-    def place(word_units: np.ndarray) -> np.ndarray:
-        """Units of fewer frequent words than asked for keep the layout: groups start at ``frequent``."""
-        return np.where(word_units >= len(common), word_units - len(common) + frequent, word_units)
+    def units_of(words: list[bytes]) -> np.ndarray:
+        known = dict(zip(common, range(len(common)), strict=True))
+        return np.array([known[w] if w in known else frequent + group_of(w, groups) for w in words], np.int64)
 
     def bigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _Units(common, groups)
         seen = np.zeros(units * units, np.int64)
         for batch in batches:
-            for data in batch["data"]:
-                _, texts, learned = opened(data)
-                line = [np.array([end])]
-                for words in itertools.compress(texts, learned):
-                    line += [place(np.fromiter(map(known.__getitem__, words), np.int64, len(words))), [end]]
-                line = np.concatenate(line)
-                seen += np.bincount(line[:-1] * units + line[1:], minlength=units * units)
+            for row in batch.itertuples():
+                block = _Block(row.docs, row.line)
+                line = block.spelled(units_of(_split(row.words)), end)
+                before = np.concatenate(([end], line[:-1]))
+                seen += np.bincount((before * units + line)[block.learns], minlength=units * units)
         table = seen.reshape(units, units)
         for at in range(0, units, 256):
             hit = [u for u in range(at, min(at + 256, units)) if table[u].any() or table[:, u].any()]
@@ -203,7 +249,7 @@ def brown_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_co
         both = [sum(np.frombuffer(zlib.decompress(x), "<i8") for x in own[c]) for c in ("after", "before")]
         return pd.DataFrame({"unit": own["unit"].iloc[:1], "after": [zlib.compress(both[0].tobytes(), 1)], "before": [zlib.compress(both[1].tobytes(), 1)]})
 
-    pairs = stored(blocks.mapInPandas(bigrams, "unit int, after binary, before binary").groupBy("unit").applyInPandas(
+    pairs = stored(blocks.select("docs", "words", "line").mapInPandas(bigrams, "unit int, after binary, before binary").groupBy("unit").applyInPandas(
         summed, "unit int, after binary, before binary"), "bigrams")
 
     def profiles(of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,41 +271,92 @@ def brown_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_co
     member[end] = classes
     for r in range(rounds):
         member = exchange(*profiles(member), member, np.arange(r % 3, units, 3), classes)
-    transitions = np.zeros((classes + 1, classes + 1))
-    np.add.at(transitions, member, profiles(member)[0])
-    types = np.zeros(classes + 1)
-    own_kinds = np.concatenate([np.zeros(frequent), kinds, [n_docs > 0]])
-    for i, w in enumerate(common):
-        own_kinds[i] = 1
-        own_kinds[frequent + group_of(w, groups)] -= 1
-    np.add.at(types, member, own_kinds)
-    model = ClassModel(common, groups, member, transitions, types, words_total + n_docs, n_kinds, CLASS_WEIGHT, PRIOR)
-
-    def score(block_rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
+    of_units = np.zeros((classes + 1, classes + 1))
+    np.add.at(of_units, member, profiles(member)[0])
+
+    # Every other word of the training text gets a class of its own.
+    sides = 2 * (classes + 1)
+
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                block, words = _Block(row.docs, row.line), _split(row.words)
+                own_units = units_of(words)
+                line, number = block.spelled(member[own_units], classes), block.spelled(np.arange(len(words)), len(words))
+                rest = np.flatnonzero(block.learns & (np.append(own_units, 0) >= frequent)[number])
+                # the token before, and the one after: an end ends every text
+                cells = np.concatenate([number[rest] * sides + np.where(rest > 0, line[rest - 1], classes), number[rest] * sides + classes + 1 + line[rest + 1]])
+                cells, n = np.unique(cells, return_counts=True)
+                counts, borders = block.counts(len(words)), np.searchsorted(cells, np.arange(len(words) + 1) * sides)
+                own = _ranges(words, ranges)
+                inside = [slice(borders[at.start], borders[at.stop]) for _, at in own]
+                yield pd.DataFrame({
+                    "part": [p for p, _ in own], "block": row.block, "words": [_joined(words[at]) for _, at in own], "counts": [_shut(counts[at].astype("<i8").tobytes()) for _, at in own],
+                    "cells": [_shut((cells[x] - at.start * sides).astype("<i8").tobytes()) for x, (_, at) in zip(inside, own, strict=True)],
+                    "times": [_shut(n[x].astype("<i8").tobytes()) for x in inside]})
+
+    def settle(asked: pd.DataFrame) -> pd.DataFrame:
+        number: dict[bytes, int] = {}
+        places, cells, times = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for words, own_cells, own_times in zip(asked["words"], asked["cells"], asked["times"], strict=True):
+            at = np.array([number.setdefault(w, len(number)) for w in _split(words)], np.int64)
+            own = np.frombuffer(_open(own_cells), "<i8")
+            places.append(at)
+            cells.append(at[own // sides] * sides + own % sides)
+            times.append(np.frombuffer(_open(own_times), "<i8"))
+        counts = [np.frombuffer(_open(x), "<i8") for x in asked["counts"]]
+        total = np.bincount(np.concatenate(places), np.concatenate(counts), len(number)).astype("<i8")
+        own_units = units_of(list(number))
+        of = member[own_units].astype("<i2")
+        cells, times = np.concatenate(cells), np.concatenate(times)
+        order = np.argsort(cells, kind="stable")
+        cells, times = cells[order], times[order]
+        for start in range(0, len(number), 20_000):
+            stop = min(start + 20_000, len(number))
+            x = slice(*np.searchsorted(cells, (start * sides, stop * sides)))
+            around = np.bincount(cells[x] - start * sides, times[x], (stop - start) * sides).reshape(stop - start, sides)
+            moved = (own_units[start:stop] >= frequent) & (total[start:stop] > 0)
+            of[start:stop][moved] = best_classes(around[moved, :classes + 1], around[moved, classes + 1:], of_units, classes)
+        answers = pd.DataFrame({"block": asked["block"], "part": asked["part"], "counts": [_shut(total[at].tobytes()) for at in places], "classes": [_shut(of[at].tobytes()) for at in places]})
+        types = pd.DataFrame({"block": [-1], "part": asked["part"].iloc[:1].to_numpy(), "types": [np.bincount(of[total > 0], minlength=classes + 1).tolist()]})
+        return pd.concat([answers.assign(types=None), types.assign(counts=b"", classes=b"")])[["block", "part", "counts", "classes", "types"]]
+
+    answers = stored(blocks.select("block", "docs", "words", "line").mapInPandas(describe, "part int, block long, words binary, counts binary, cells binary, times binary").groupBy(
+        "part").applyInPandas(settle, "block long, part int, counts binary, classes binary, types array<long>"), "word-classes")
+
+    def place(block_rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         if block_rows.empty:
-            return pd.DataFrame([], columns=columns)
-        ids, texts, learned = opened(block_rows["data"].iloc[0])
-        own = _dealt(list(dict.fromkeys(itertools.chain.from_iterable(texts))), ranges)
-        by_part = dict(zip(told["part"], told["counts"], strict=True))
-        words = [w for part in own.values() for w in part]
-        counts = np.concatenate([np.zeros(0, "<i8"), *(np.frombuffer(by_part[p], "<i8") for p in own), [n_docs]]).astype(np.float64)
-        known = _Units(model.frequent, groups)
-        of = np.append(member[place(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))] if words else np.zeros(0, np.int64), classes)
-        number = {w: i for i, w in enumerate(words)}
-        lengths = np.array([len(t) + 1 for t in texts])
-        line = np.full(int(lengths.sum()), len(words))
-        ends = np.cumsum(lengths)
-        for stop, n, text in zip(ends.tolist(), lengths.tolist(), texts, strict=True):
-            line[stop - n:stop - 1] = np.fromiter(map(number.__getitem__, text), np.int64, n - 1)
-        previous = np.concatenate(([classes], of[line[:-1]]))  # an end stands before every text
-        c = counts[line]
-        starts = ends - lengths
-        score10 = np.add.reduceat(np.log10(model.chances(previous, of[line], c)), starts)
-        return pd.DataFrame({
-            "doc_id": ids.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get), "held_out": [not x for x in learned], "n_tokens": lengths,
-            "n_known": np.add.reduceat((c > 0).astype(np.int64), starts), "train_tokens": int(model.tokens), "base_score": np.add.reduceat(np.log10(model.base(c)), starts),
-            "score": score10, "perplexity": 10 ** np.minimum(-score10 / lengths, 300)})
-
-    return blocks.groupBy("block").cogroup(answers.filter("block >= 0").select("block", "part", "counts").groupBy("block")).applyInPandas(
+            return pd.DataFrame([], columns=["docs", "line", "counts", "classes", "bigrams"])
+        told = told.sort_values("part")
+        block = _Block(block_rows["docs"].iloc[0], block_rows["line"].iloc[0])
+        counts, of = (b"".join(map(_open, told[c])) for c in ("counts", "classes"))
+        line = block.spelled(np.frombuffer(of, "<i2"), classes)
+        before = np.concatenate(([classes], line[:-1]))
+        seen = np.bincount((before * (classes + 1) + line)[block.learns], minlength=(classes + 1) ** 2)
+        return pd.DataFrame({"docs": block_rows["docs"], "line": block_rows["line"], "counts": [_shut(counts)], "classes": [_shut(of)], "bigrams": [seen.tolist()]})
+
+    placed = stored(blocks.select("block", "docs", "line").groupBy("block").cogroup(answers.filter("block >= 0").select("block", "part", "counts", "classes").groupBy("block")).applyInPandas(
+        place, "docs binary, line binary, counts binary, classes binary, bigrams array<long>"), "placed")
+    transitions, types = np.zeros((classes + 1) ** 2), np.zeros(classes + 1)
+    for out, found in ((transitions, placed.select(F.posexplode("bigrams").alias("g", "n"))), (types, answers.filter("block < 0").select(F.posexplode("types").alias("g", "n")))):
+        for r in found.groupBy("g").agg(F.sum("n").alias("n")).collect():
+            out[r.g] = r.n
+    types[classes] = n_docs > 0
+    model = ClassModel(common, groups, member, transitions.reshape(classes + 1, classes + 1), types, words_total + n_docs, n_kinds, CLASS_WEIGHT, PRIOR)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                block = _Block(row.docs, row.line)
+                c = block.spelled(np.frombuffer(_open(row.counts), "<i8"), n_docs).astype(np.float64)
+                of = block.spelled(np.frombuffer(_open(row.classes), "<i2"), classes)
+                previous = np.concatenate(([classes], of[:-1]))
+                lengths, starts = block.lengths, block.stops - block.lengths
+                score10 = np.add.reduceat(np.log10(model.chances(previous, of, c)), starts)
+                yield pd.DataFrame({
+                    "doc_id": block.ids.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get), "held_out": ~block.learned, "n_tokens": lengths,
+                    "n_known": np.add.reduceat((c > 0).astype(np.int64), starts), "train_tokens": int(model.tokens), "base_score": np.add.reduceat(np.log10(model.base(c)), starts),
+                    "score": score10, "perplexity": 10 ** np.minimum(-score10 / lengths, 300)})
+
+    return placed.select("docs", "line", "counts", "classes").mapInPandas(
         score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")

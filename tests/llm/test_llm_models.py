@@ -118,6 +118,17 @@ def test_brown_odd_rows(spark):
     assert (alone.train_tokens == 0).all() and (alone.n_known == 0).all()
 
 
+def test_words_beyond_the_frequent_ones_have_classes_of_their_own(spark):
+    """Two words of one group (equal last letters, equally often) that stand in different places: each is likelier in its own."""
+    rows = [f"the {w} runs home" for w in ("miliaaa", "moriaaa") for _ in range(30)] + [f"of {w} fell apart" for w in ("naviaaa", "neriaaa") for _ in range(30)]
+    rows += ["the cat runs home"] * 100 + ["of tin fell apart"] * 100
+    asked = ["the miliaaa runs home", "the naviaaa runs home", "of naviaaa fell apart", "of miliaaa fell apart"]
+    df = docs(spark, [(i, t, "a") for i, t in enumerate(rows * 3)] + [(1000 + i, t, "a") for i, t in enumerate(asked)])
+    got = brown.brown_scores(df, F.col("doc_id") < 1000, frequent=8, groups=1, classes=8, rounds=6, block_bytes=2000)
+    score = {r.doc_id - 1000: r.score for r in got.filter("held_out").collect()}
+    assert score[0] > score[1] + 0.5 and score[2] > score[3] + 0.5
+
+
 def test_class_model_sums_to_one():
     counts = np.array([5.0, 3.0, 1.0, 4.0])  # the last is the end
     classes = np.array([0, 1, 1, 2])
