@@ -25,15 +25,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reliq.llm.store import free_name, worker_keeps
+from reliq.llm.store import free_name, slices, worker_keeps
 
 ORDER, DISCOUNT = 4, 0.75
 #: Labelled rows per language that the models, and the calibration, learn from at most: those with the smallest hashed ids.
 FIT_ROWS, CALIBRATION_ROWS = 500, 400
 #: Sampled ids that are broadcast at most; beyond it the sample is joined by shuffle.
 BROADCAST_ROWS = 200_000
-#: Distinct letter runs a worker remembers; beyond it forgets all and goes on.
-REMEMBERED = 200_000
+#: Distinct letter runs a worker remembers; beyond it forgets all and goes on. New ones scored at once.
+REMEMBERED, _WORDS = 100_000, 8192
 #: Rejection: this quantile of the calibration rows' cross-entropy, times the slack.
 QUANTILE, SLACK = 0.999, 1.15
 
@@ -169,7 +169,7 @@ class _Memory:
         if new:
             base = len(self.rows)
             self.place.update(zip(new, range(base, base + len(new)), strict=True))
-            self.rows = np.concatenate([self.rows, score_words(self.model, new)])
+            self.rows = np.concatenate([self.rows, *(score_words(self.model, new[i:i + _WORDS]) for i in range(0, len(new), _WORDS))])
         out = np.zeros((len(texts), self.rows.shape[1]))
         for i, rs in enumerate(runs):
             if rs:
@@ -177,8 +177,8 @@ class _Memory:
         return out
 
 
-#: Characters of text scored at once.
-_PART = 2 << 20
+#: Bytes of text that a worker holds, and characters that it scores, at once.
+_PART = 1 << 20
 
 
 def _parts(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
@@ -196,7 +196,7 @@ def predict(model: Model, docs: DataFrame, keep: Sequence[str] = ("doc_id",), te
     """The columns named in ``keep``, then lang_pred, score, cross_entropy, n_signs and rejected (with ``prefix``) for every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = worker_keeps(("language", model.key), lambda: _Memory(model))
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, whole.schema.field(place).name, _PART)):
             texts = [t or "" for t in batch.column(place).to_pylist()]
             totals = np.concatenate([memory.totals(part) for _, part in _parts(texts)]) if texts else np.zeros((0, len(model.langs) + 1))
             signs = totals[:, -1]

@@ -26,13 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reliq.llm.components import components
-from reliq.llm.store import free_name, id_text, stored, utf8, words_of
+from reliq.llm.store import free_name, id_text, slices, stored, utf8, words_of
 
 #: Fingerprints per trie node at the depth where Spark's joins end; smaller nodes meet more others.
 NODE_SIZE = 1 << 16
 #: Fingerprints of one slice of a node, and node pairs walked at once.
 SLICE_SIZE, WALK = 1 << 16, 1 << 18
 _MANY = 1 << 15
+#: Bytes of text that a worker holds at once.
+_TEXT_BYTES = 4 << 20
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -229,10 +231,34 @@ def _scored(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("u", "v", F.size("u_own").alias("nu"), F.size("v_own").alias("nv"), F.size(F.array_intersect("u_own", "v_own")).alias("both"))
 
 
-def similar_nodes(docs: DataFrame, shingle: int, seed: int, share: Fraction, bucket: int) -> tuple[DataFrame, DataFrame]:
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (part for batch in batches for part in slices(batch, "text", _TEXT_BYTES))
+
+
+def voted(hashes: np.ndarray) -> int:
+    """SimHash of a set of shingle hashes: a bit is 1 if set in over half of them."""
+    votes = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), _MANY):
+        votes += np.unpackbits(hashes[i:i + _MANY].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(hashes)).view(">u8")[0])
+
+
+def _trie_pairs(nodes: DataFrame, budget: int) -> DataFrame:
+    """Pairs (u, v) that connect the nodes (node, print) whose fingerprints the trie join links, as few as connect them; not compared yet."""
+    nodes = stored(nodes, "node-prints")
+    shown = stored(nodes.groupBy("print").agg(F.min("node").alias("shown")), "distinct-prints")
+    within = nodes.join(shown, "print").select(F.col("shown").alias("a"), F.col("node").alias("b"))
+    links = stored(linked_prints(shown.select("print"), budget).filter("print <> root").select("print", "root"), "linked-prints")
+    across = links.join(shown.withColumnRenamed("shown", "a"), "print").join(shown.select(F.col("print").alias("root"), F.col("shown").alias("b")), "root").select("a", "b")
+    return within.unionByName(across).filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+
+
+def similar_nodes(docs: DataFrame, shingle: int, seed: int, share: Fraction, bucket: int, budget: int = 2) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, text_key, node) and edges (u, v) for rows (doc_id, text); a node is a distinct set of shingles.
 
-    The edges connect exactly what pairs with a Jaccard similarity of ``share`` or more connect. Sets are ordered from rare to
+    The edges connect exactly what pairs with a Jaccard similarity of ``share`` or more connect. First the sets vote for fingerprints, and
+    the trie join links those within ``budget`` bits; its links are compared on the whole sets like all other candidates. What differs in more
+    bits, as most pairs of a similarity near ``share`` do, is found by a search that misses none: sets are ordered from rare to
     common shingles (any one order gives the same answer). Two similar sets share one of their first n - ceil(share * n) + 1, so
     they meet in that shingle's bucket, whatever the table's size.
 
@@ -256,25 +282,25 @@ def similar_nodes(docs: DataFrame, shingle: int, seed: int, share: Fraction, buc
             most = np.argsort(-n, kind="stable")[:COMMON >> 2]
             most = most[n[most] > 1]
             none = pa.nulls(len(most), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(found[most].view(np.int64)), pa.array(n[most])], names)
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(found[most].view(np.int64)), pa.array(n[most])], names)
 
-        names = ["doc_id", "text_key", "node", "token", "n"]
-        for batch in batches:
-            nodes = np.zeros(batch.num_rows, np.uint64)
+        names = ["doc_id", "text_key", "node", "print", "token", "n"]
+        for batch in _small(batches):
+            nodes, prints = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.uint64)
             for i, text in enumerate(utf8(batch.column("text"))):
                 own = shingles(text, shingle, seed)
-                nodes[i] = xxhash.xxh3_64_intdigest(own.tobytes())
+                nodes[i], prints[i] = xxhash.xxh3_64_intdigest(own.tobytes()), voted(own)
                 held.append(own)
                 size += len(own)
                 if size >= COUNTED:
                     yield common()
                     held, size = [], 0
             none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(nodes.view(np.int64)), none, none], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(nodes.view(np.int64)), pa.array(prints.view(np.int64)), none, none], names)
         yield common()
 
     keyed = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
-    first = stored(keyed.mapInArrow(read, "doc_id long, text_key long, node long, token long, n long"), "sets")
+    first = stored(keyed.mapInArrow(read, "doc_id long, text_key long, node long, print long, token long, n long"), "sets")
     found = first.filter("node IS NOT NULL").select("doc_id", "text_key", "node")
     often = first.filter("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n")).orderBy(
         F.desc("n"), "token").limit(COMMON).toPandas()
@@ -282,7 +308,7 @@ def similar_nodes(docs: DataFrame, shingle: int, seed: int, share: Fraction, buc
     known, counts = known[np.argsort(known)], often["n"].to_numpy(np.int64)[np.argsort(known)]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             tokens, nodes, sizes, places = [], [], [], []
             for text in utf8(batch.column("text")):
                 own = shingles(text, shingle, seed)
@@ -328,10 +354,11 @@ def similar_nodes(docs: DataFrame, shingle: int, seed: int, share: Fraction, buc
     # Of a pair, the lesser set has the shared shingle early enough; others of a bucket without such a partner can be left out.
     useful = large.filter(F.expr("lo IS NOT NULL") & (F.col("lesser") | F.expr("n >= lo") & (F.col("hi") * low >= F.col("n") * top)))
     spokes = useful.filter("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v"))
-    candidates = stored(pairs.unionByName(spokes).distinct(), "candidates")
+    trie = _trie_pairs(first.filter("node IS NOT NULL").groupBy("node").agg(F.first("print").alias("print")), budget)
+    candidates = stored(trie.unionByName(pairs).unionByName(spokes).distinct(), "candidates")
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             own = [shingles(t, shingle, seed).view(np.int64) for t in utf8(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.list_(pa.int64()))], ["node", "own"])
 

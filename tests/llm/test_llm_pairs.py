@@ -1,5 +1,6 @@
 """Top-k search, SimHash components, preferences and the pipeline against brute force."""
 
+import itertools
 import math
 
 import numpy as np
@@ -199,6 +200,25 @@ def test_near_copies_around_a_missing_original_are_all_found(spark, bucket):
     assert got == want
 
 
+def test_near_copies_meet_by_the_trie_first(spark, monkeypatch):
+    """The stage links fingerprints by the trie join; its links become candidates, and only similar texts are joined."""
+    import corpus_pipeline
+
+    rows = changed_copies(13, 30, 4, 900)
+    prints = {i: simhash.voted(simhash.shingles(t.encode())) for i, t in rows}
+    near = [(a, b) for a, b in itertools.combinations(sorted(prints), 2) if (prints[a] ^ prints[b]).bit_count() <= 2]
+    assert near
+    seen, keep = [], simhash._trie_pairs
+    monkeypatch.setattr(simhash, "_trie_pairs", lambda nodes, budget: seen.append((nodes, budget, keep(nodes, budget))) or seen[-1][2])
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(similar_by_brute_force(rows, (159, 200)).values()))
+    (nodes, budget, pairs), = seen
+    told = nodes.collect()
+    of = {r.print & (2**64 - 1): r.node for r in told}
+    linked = joined([(r.u, r.v) for r in pairs.collect()], [r.node for r in told])
+    assert budget == 2 and all(linked[of[prints[a]]] == linked[of[prints[b]]] for a, b in near)
+
+
 def test_near_copies_keep_less_similar_and_unique_texts(spark):
     start = "one two three four five six seven"
     rows = [(i, f"{start} end{i}") for i in range(40)]  # a similarity of 0.6
