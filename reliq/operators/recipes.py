@@ -90,17 +90,18 @@ def match(wanted: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     One recipe per relaxed key is chosen first (most successes, fewest failures,
     oldest), by an aggregate, so the second join cannot multiply rows.
     """
-    ask = wanted.select(key, "signature", "relaxed_key", "degenerate")
+    ask = wanted.select(key, "signature", "relaxed_key", F.coalesce("degenerate", F.lit(True)).alias("degenerate"))
     # Degenerate parts hash to one constant: they never match and never join.
-    told = ask.filter(~F.col("degenerate"))
-    exact = told.join(stored.select("signature", "strategy"), "signature").select(
-        key, F.col("signature").alias("recipe"), "strategy", F.lit("exact").alias("kind"))
+    told, none = ask.filter(~F.col("degenerate")), ask.filter("degenerate")
+    body = F.struct("signature", "strategy")
     order = F.struct((-F.col("successes")).alias("a"), F.col("failures").alias("b"), F.col("created_ts").alias("c"), F.col("signature").alias("d"))
-    best = stored.filter(F.col("relaxed_key").isNotNull()).groupBy("relaxed_key").agg(F.min_by(F.struct("signature", "strategy"), order).alias("_r"))
-    rest = told.join(stored.select("signature"), "signature", "left_anti")
-    relaxed = rest.join(best, "relaxed_key").select(key, F.col("_r.signature").alias("recipe"), F.col("_r.strategy").alias("strategy"), F.lit("relaxed").alias("kind"))
-    found = exact.unionByName(relaxed)
-    return ask.select(key).join(found, key, "left").withColumn("kind", F.coalesce("kind", F.lit("miss")))
+    best = stored.filter(F.col("relaxed_key").isNotNull()).groupBy("relaxed_key").agg(F.min_by(body, order).alias("_r"))
+    exact = stored.select("signature", body.alias("_e"))
+    kind = F.when(F.col("_e").isNotNull(), "exact").when(F.col("_r").isNotNull(), "relaxed").otherwise("miss")
+    found = told.join(exact, "signature", "left").join(best, "relaxed_key", "left").withColumn("kind", kind).withColumn("_e", F.coalesce("_e", "_r"))
+    nothing = F.lit(None).cast("string")
+    return found.select(key, F.col("_e.signature").alias("recipe"), F.col("_e.strategy").alias("strategy"), "kind").unionByName(
+        none.select(key, nothing.alias("recipe"), nothing.alias("strategy"), F.lit("miss").alias("kind")))
 
 
 def export(stored: DataFrame) -> DataFrame:

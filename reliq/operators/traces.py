@@ -50,7 +50,9 @@ def events(lines: DataFrame) -> DataFrame:
     ``.network`` entries come after ``.trace`` ones. Lines that are no JSON object are left out.
     """
     pos = F.struct(F.endswith("entry", F.lit(".network")).alias("n"), F.col("entry").alias("e"), F.col("line_no").alias("l"))
-    parsed = lines.select("trace_id", pos.alias("pos"), F.try_parse_json("line").alias("_v"))
+    # other lines cost an exception each in the parser
+    objects = lines.filter(F.col("line").rlike(r"^[ \t\r\n]*+\{"))
+    parsed = objects.select("trace_id", pos.alias("pos"), F.try_parse_json("line").alias("_v"))
 
     def get(path: str, t: str = "string") -> Column:
         return F.try_variant_get("_v", path, t)
@@ -95,6 +97,7 @@ def actions(ev: DataFrame) -> DataFrame:
         F.when(is_before, F.struct("pos", api.alias("api_name"), "selector", "timeout_ms")).alias("_b"),
         F.when(F.col("error").isNotNull(), F.struct("pos", "error", "timed_out")).alias("_a"),
     )
+    rows = rows.filter(F.col("_b").isNotNull() | F.col("_a").isNotNull())
     per_call = rows.groupBy("trace_id", "call_id").agg(F.min("_b").alias("_b"), F.max("_a").alias("_a")).filter(F.col("_b").isNotNull())
     name, message, late = F.col("_a.error.name"), F.col("_a.error.message"), F.col("_a.timed_out")
     found = [F.nullif(F.regexp_extract(F.substring_index(x, "\n", 1), ERROR_NAME, 1), F.lit("")) for x in (F.col("_a.error.stack"), message)]

@@ -130,7 +130,8 @@ def _recipes(t):
     a = _failed_actions(t).withColumn("event_id", F.substring("call_id", 2, 20).cast("bigint"))
     base = a.withColumn("created_ts", F.col("event_id").cast("timestamp").cast("timestamp_ntz")).withColumn("strategy", F.concat(F.lit("s"), (F.col("event_id") % 3).cast("string"))).withColumn(
         "patch_ops_json", F.lit("[]")).withColumn("diagnosis_json", F.lit("{}"))
-    return base
+    # read several times; the traces are parsed once
+    return materialize(base.select("call_id", "event_id", "signature", "relaxed_key", "degenerate", "created_ts", "strategy", "patch_ops_json", "diagnosis_json"), "failed-actions")
 
 
 @query("recipe_upsert_and_outcomes", f"""WITH {_ACT_SQL},

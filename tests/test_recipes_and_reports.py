@@ -4,7 +4,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from reliq.operators import incidents, recipes, search, stability
+from reliq.operators import incidents, recipes, search, stability, traces
 from reliq.operators import evidence
 
 T0 = datetime(2026, 1, 1)
@@ -156,3 +156,29 @@ def test_egress_check(spark):
     rows = spark.createDataFrame([("1", "fine"), ("2", "IBAN GB82 WEST 1234 5698 7654 32")], "k string, t string")
     out = {r.k: r for r in incidents.egress_check(rows, evidence.mask_pii(rows, "k", "t"), "k", "t").collect()}
     assert not out["1"].egress_fired and out["2"].egress_fired and "WEST" not in out["2"].t
+
+
+def test_match_gives_one_row_per_failure_and_reads_it_once(spark):
+    schema = "call_id string, signature string, relaxed_key string, degenerate boolean"
+    wanted = spark.createDataFrame([("a", "s1", "k1", False), ("a", "s1", "k1", False), ("b", "s9", "k1", False), ("c", "s9", "k9", False), ("d", "s1", "k1", True), ("e", "s1", "k1", None)], schema)
+    stored = spark.createDataFrame([("s1", "k1", "x", 1, 0), ("s2", "k1", "y", 2, 0)], "signature string, relaxed_key string, strategy string, successes long, failures long").withColumn(
+        "created_ts", F.lit("2024-01-01").cast("timestamp_ntz"))
+    got = sorted(tuple(r) for r in recipes.match(wanted, stored, "call_id").select("call_id", "recipe", "kind").collect())
+    assert got == [("a", "s1", "exact"), ("a", "s1", "exact"), ("b", "s2", "relaxed"), ("c", None, "miss"), ("d", None, "miss"), ("e", None, "miss")]
+
+
+def test_lines_that_are_no_objects_never_reach_the_parser(spark):
+    lines = [' \t{"type":"log"}', "{", "[1]", "not json", "\ufeff{}", '"{}"', "", None, '\r\n{"a":1}']
+    df = spark.createDataFrame([("t", "0.trace", i, x) for i, x in enumerate(lines)], "trace_id string, entry string, line_no long, line string")
+    ev = traces.events(df)
+    assert sorted(r.pos.l for r in ev.collect()) == [0, 8]
+    assert sorted(r.line_no for r in df.filter(F.schema_of_variant(F.try_parse_json("line")).startswith("OBJECT")).collect()) == [0, 8]
+    assert "RLIKE" in ev._jdf.queryExecution().analyzed().toString()
+
+
+def test_few_files_are_spread_by_rows(spark, monkeypatch):
+    from reliq.workload import registry
+
+    monkeypatch.setattr(registry, "TASK_ROWS", 1000)
+    events = registry.Tables(spark, "/root/testdata/sf0.01").spread("events")
+    assert events.rdd.getNumPartitions() >= -(-events.count() // 1000)
