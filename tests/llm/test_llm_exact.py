@@ -151,6 +151,15 @@ def test_bpe_expressions(spark, ranks, library):
     assert all(bytes(r.b) == r.w.encode() for r in ids.select("w", bpe.joined_pieces(F.col("ids"), ranks).alias("b")).collect())
 
 
+def test_rank_map_is_a_few_strings(spark, ranks):
+    """The driver serializes the literal with every stage: one string per cell, not objects per token."""
+    row = spark.range(1).select(bpe.rank_map(ranks).alias("m"))
+    assert row.schema["m"].dataType.simpleString() == "array<string>"
+    cells = row.first().m
+    assert len(cells) == bpe.CELLS < len(ranks) / 8
+    assert sum(c.count(";") for c in cells) == len(ranks)
+
+
 def brute_windows(texts, window):
     words = [(t or "").encode().split() for t in texts]
     starts = Counter(tuple(w[i:i + window]) for w in words for i in range(len(w) - window + 1))
