@@ -52,10 +52,11 @@ def text_matches(ids: DataFrame, cases: DataFrame) -> DataFrame:
     """
     _, right = X.id_parts(F.col("test_id"))
     wanted = ids.select("test_id", search.phrases(right).alias("phrases"))
-    texts = F.md5(F.concat_ws("\0", *(F.coalesce(F.concat(F.lit("+"), F.col(c)), F.lit("-")) for c in TEXT_COLUMNS)).cast("binary"))
-    keyed = cases.withColumn("_texts", texts)
-    docs = keyed.select("_texts", *TEXT_COLUMNS).distinct().select("_texts", search.term_text(*TEXT_COLUMNS).alias("_terms"))
-    return keyed.join(search.all_terms_join(wanted, "test_id", docs, "_texts", "_terms"), "_texts").select("test_id", *cases.columns)
+    keyed = cases.withColumn("_texts", literals.combination(TEXT_COLUMNS))
+    # Written once: the search reads the terms several times, and what reads the matches in several ways joins the found keys only.
+    docs = search.materialize(keyed.select("_texts", *TEXT_COLUMNS).distinct().select("_texts", search.term_text(*TEXT_COLUMNS).alias("_terms")), "case-terms")
+    found = search.materialize(search.all_terms_join(wanted, "test_id", docs, "_texts", "_terms"), "text-hits")
+    return keyed.join(found, "_texts").select("test_id", *cases.columns)
 
 
 def is_term_query(test_id: Column) -> Column:
@@ -97,16 +98,16 @@ def fallback_matches(missing: DataFrame, cases: DataFrame, index: literals.Liter
     return reduce(DataFrame.unionByName, [f.select("test_id", *CASE_COLUMNS) for f in found]) if found else None
 
 
-def lookup_counts(matched: DataFrame) -> DataFrame:
-    """Distinct runs, distinct failing runs, distinct tests per id.
+def lookup_counts(matched: DataFrame, with_cases: bool = False) -> DataFrame:
+    """Distinct runs, distinct failing runs, distinct tests per id; on request also the cases.
 
     Rows first collapse per (id, run) and per (id, test), spread over both
     columns, so one popular id does not load one task.
     """
-    per_run = matched.groupBy("test_id", "run_id").agg(F.max(is_failing()).alias("_bad"))
-    by_run = per_run.groupBy("test_id").agg(F.count("*").alias("total_runs"), F.count_if("_bad").alias("failure_count"))
+    per_run = matched.groupBy("test_id", "run_id").agg(F.max(is_failing()).alias("_bad"), F.count("*").alias("_n"))
+    by_run = per_run.groupBy("test_id").agg(F.count("*").alias("total_runs"), F.count_if("_bad").alias("failure_count"), F.sum("_n").alias("cases"))
     per_test = matched.select("test_id", "classname", "name").distinct().groupBy("test_id").agg(F.count("*").alias("matched_tests"))
-    return by_run.join(per_test, "test_id").select("test_id", "total_runs", "failure_count", "matched_tests")
+    return by_run.join(per_test, "test_id").select("test_id", "total_runs", "failure_count", "matched_tests", *["cases"] * with_cases)
 
 
 def failure_totals(ids: DataFrame, cases: DataFrame, runs: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 """Literal substrings over text columns: an index of the pieces of the distinct texts.
 
-Names, messages and traces repeat over runs, so the index holds every distinct text once, and for it the distinct pieces of one, two
-and three characters. A needle meets the postings of its rarest piece only (of three characters, or the needle itself if it is
-shorter); what is found is verified by ``contains``. Hits on texts then meet the rows by the texts' hashes. Nothing has a special
-meaning in a needle, ``%`` and ``_`` included; case counts.
+Names, messages and traces repeat over runs, so the index holds every distinct text once, and for it the distinct pieces of three
+characters. A needle meets the postings of its rarest piece only; what is found is verified by ``contains``. Shorter needles are pieces
+of one or two characters, which the distinct texts give as they are read: stored, they would be more than half of the postings. Hits on
+texts then meet the distinct combinations of a row's texts, and these the rows, by hashes. Nothing has a special meaning in a needle,
+``%`` and ``_`` included; case counts.
 
 Two batch tables in a ``Store``: ``<name>_texts`` (text_key, text, batch) and ``<name>_pieces`` (piece, text_key), partitioned by a hash
 of the piece. A batch brings only texts that no earlier batch holds; a repeated batch replaces itself.
@@ -12,12 +13,11 @@ of the piece. A batch brings only texts that no earlier batch holds; a repeated
 from __future__ import annotations
 
 import uuid
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reliq.functions.text import bind
+from reliq.operators.search import materialize
 from reliq.session import run_dir
 from reliq.sources.tables import Store
 
@@ -41,8 +41,14 @@ def pieces(text: Column, length: int) -> Column:
     return bind(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), runs)
 
 
-def all_pieces(text: Column) -> Column:
-    return F.flatten(F.array(*(pieces(text, n) for n in range(1, LENGTH + 1))))
+def short_pieces(text: Column) -> Column:
+    return F.flatten(F.array(*(pieces(text, n) for n in range(1, LENGTH))))
+
+
+def combination(columns: list[str]) -> Column:
+    """128 bits that stand for the texts of all columns of a row, nulls included; each text is led by its length, so none runs into the next."""
+    texts = [F.col(c).cast("string") for c in columns]
+    return text_key(F.concat(*(F.coalesce(F.concat(F.char_length(x).cast("string"), F.lit(":"), x), F.lit("-")) for x in texts)))
 
 
 def _bucket(piece: str) -> Column:
@@ -68,7 +74,7 @@ class LiteralIndex:
             fresh = fresh.join(known, "text_key", "left_anti")
         self.store.append(texts, fresh.withColumn("batch", F.lit(batch).cast("long")), number)
         written = self.store.batch(texts, number)
-        posted = written.select("text_key", F.explode(all_pieces(F.col("text"))).alias("piece")).withColumn("bucket", _bucket("piece"))
+        posted = written.select("text_key", F.explode(pieces(F.col("text"), LENGTH)).alias("piece")).withColumn("bucket", _bucket("piece"))
         dealt = posted.repartition("bucket", F.crc32("text_key") % 8).sortWithinPartitions("bucket", "piece")
         self.store.append(f"{self.name}_pieces", dealt, number, partition_by=("bucket",))
 
@@ -81,9 +87,9 @@ class LiteralIndex:
     def matching_texts(self, needles: DataFrame, needle: str = "needle") -> DataFrame:
         """(needle, text_key) for every text that holds the needle; empty and null needles match nothing."""
         asked = needles.select(F.col(needle).alias("needle")).filter("needle <> ''").distinct()
-        size = F.least(F.char_length("needle"), F.lit(LENGTH))
-        own = reduce(lambda found, n: F.when(size == n, pieces(F.col("needle"), n)).otherwise(found), range(1, LENGTH), pieces(F.col("needle"), LENGTH))
-        wanted = asked.select("needle", F.explode(own).alias("piece")).withColumn("bucket", _bucket("piece"))
+        short = asked.filter(F.char_length("needle") < LENGTH)
+        contained = self.texts().select("text_key", F.explode(short_pieces(F.col("text"))).alias("needle")).join(short, "needle").select("needle", "text_key")
+        wanted = asked.filter(F.char_length("needle") >= LENGTH).select("needle", F.explode(pieces(F.col("needle"), LENGTH)).alias("piece")).withColumn("bucket", _bucket("piece"))
         vocabulary = wanted.select("bucket", "piece").distinct()
         posted = self.postings().join(vocabulary, ["bucket", "piece"], "left_semi")
         often = posted.groupBy("piece").agg(F.count("*").alias("n"))
@@ -91,13 +97,17 @@ class LiteralIndex:
         rarest = wanted.join(often, "piece", "left").groupBy("needle").agg(
             F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "bucket", "piece")).alias("r")).filter("r.n > 0").select("needle", "r.bucket", "r.piece")
         candidates = rarest.join(posted, ["bucket", "piece"]).select("needle", "text_key")
-        return candidates.join(self.texts(), "text_key").filter(F.contains("text", "needle")).select("needle", "text_key")
+        verified = candidates.join(self.texts(), "text_key").filter(F.contains("text", "needle")).select("needle", "text_key")
+        return verified.unionByName(contained)
 
     def matching_rows(self, needles: DataFrame, rows: DataFrame, columns: list[str], key: list[str], needle: str = "needle") -> DataFrame:
-        """(needle, key columns) for every row that holds the needle in one of ``columns``, once per key."""
-        hits = self.matching_texts(needles, needle)
+        """(needle, key columns) for every row that holds the needle in one of ``columns``, once per row."""
+        keyed = rows.withColumn("_texts", combination(columns))
         keys = F.array_distinct(F.array_compact(F.array(*(text_key(F.col(c).cast("string")) for c in columns))))
-        return rows.select(*key, F.explode(keys).alias("text_key")).join(hits, "text_key").select("needle", *key).distinct()
+        distinct = keyed.select("_texts", *columns).distinct().select("_texts", F.explode(keys).alias("text_key"))
+        # Written once: what reads the matches in several ways joins it to the rows' keys only.
+        hits = materialize(distinct.join(self.matching_texts(needles, needle), "text_key").groupBy("_texts").agg(F.collect_set("needle").alias("_needles")), "literal-hits")
+        return keyed.select("_texts", *key).join(hits, "_texts").select(F.explode("_needles").alias("needle"), *key)
 
 
 def build(rows: DataFrame, columns: list[str]) -> LiteralIndex:

@@ -267,8 +267,7 @@ def _(t):
     step = F.concat(F.lit("step "), (F.col("l_suppkey") % 50).cast("string"), F.lit(" of test_"), (F.col("l_partkey") % 10).cast("string"))
     needles = spark.createDataFrame([(n,) for n in _NEEDLES], "test_id string").union(t("lineitem").select(step)).distinct()
     found = history.literal_matches(needles, cases, views.literal_index(t))
-    counts = history.lookup_counts(found).join(found.groupBy("test_id").agg(F.count("*").alias("cases")), "test_id")
-    return counts.select(F.col("test_id").alias("needle"), "cases", "total_runs", "failure_count", "matched_tests")
+    return history.lookup_counts(found, with_cases=True).select(F.col("test_id").alias("needle"), "cases", "total_runs", "failure_count", "matched_tests")
 
 
 @query("store_status", f"""WITH {RUNS}

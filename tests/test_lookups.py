@@ -74,3 +74,25 @@ def test_rollups_of_nothing(spark):
     made = rollups.build(spark.createDataFrame([], CASES), spark.createDataFrame([], RUNS))
     out = rollups.failure_lookup(spark.createDataFrame([("a::b",)], "test_id string"), made, spark.createDataFrame([], CASES), spark.createDataFrame([], RUNS)).collect()
     assert [(r.test_id, r.total_runs, r.failures) for r in out] == [("a::b", 0, None)]
+
+
+def test_index_stores_long_pieces_only_and_a_row_counts_once_per_needle(spark, tmp_path):
+    index = literals.LiteralIndex(Store(spark, str(tmp_path)))
+    rows = spark.createDataFrame([(1, "abcd", "abx"), (2, "xab", None), (3, None, None), (4, "abcd", "abx")], "id int, a string, b string")
+    index.add(rows, ["a", "b"], 1)
+    assert {len(r.piece) for r in index.postings().collect()} == {3}
+    needles = spark.createDataFrame([("ab",), ("x",), ("bcd",), ("zz",), ("zzz",)], "needle string")
+    found = sorted((r.needle, r.id) for r in index.matching_rows(needles, rows, ["a", "b"], ["id"]).collect())
+    assert found == [("ab", 1), ("ab", 2), ("ab", 4), ("bcd", 1), ("bcd", 4), ("x", 1), ("x", 2), ("x", 4)]
+
+
+def test_matches_by_terms_and_signals_are_written_once(spark):
+    """Several branches read them: what is read again is the found keys and the signal lines, not the texts."""
+    from reliq.plans import stabilize
+
+    cases = spark.createDataFrame([(1, 1, "c", "n", None, "failed", "expected 1 but got 2", "t")],
+                                  "case_id int, run_id int, classname string, name string, file_path string, status string, failure_message string, stack_trace string")
+    triaged = spark.createDataFrame([("l1", "\n  expected 1 but got 2\nnext")], "log_id string, excerpt string")
+    out = stabilize.history_enrichment(triaged, cases)
+    assert {f.split("/")[-2].rsplit("-", 1)[0] for f in out.inputFiles()} >= {"signals", "text-hits"}
+    assert [(r.log_id, r.signal, r.total_runs, r.failure_count) for r in out.collect()] == [("l1", "expected 1 but got 2", 1, 1)]
