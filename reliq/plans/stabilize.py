@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reliq.functions import loglines as L
 from reliq.operators import history, incidents, stability, verdicts
+from reliq.operators.search import materialize
 
 
 #: Leads a stand-in key that meets no other key.
@@ -30,7 +31,9 @@ def incident_context(failures: DataFrame, triaged: DataFrame, stored: DataFrame,
 
 def history_enrichment(triaged: DataFrame, cases: DataFrame) -> DataFrame:
     """History counts for the signal line of each log, where it matches a known test."""
-    asked = triaged.select("log_id", F.substring(L.top_signal_line(F.col("excerpt")), 1, 200).alias("test_id")).filter("test_id <> ''")
+    # Written before the lines are sought in them: else the filter on a line goes below whatever made the logs distinct.
+    logs = materialize(triaged.select("log_id", "excerpt"), "triaged")
+    asked = materialize(logs.select("log_id", F.substring(L.top_signal_line(F.col("excerpt")), 1, 200).alias("test_id")).filter("test_id <> ''"), "signals")
     counts = history.lookup_counts(history.matches(asked, cases)).filter("matched_tests > 0")
     return asked.join(counts, "test_id").select("log_id", F.col("test_id").alias("signal"), "matched_tests", "total_runs", "failure_count")
 
