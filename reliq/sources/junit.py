@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from xml.parsers import expat
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,8 @@ from reliq.operators.search import materialize
 
 #: Bytes of a report handed to the XML parser at once.
 XML_PIECE = 1 << 20
-FILES_PER_BATCH = 64
+#: Reports, and about the bytes of them, whose rows are handed back at once.
+FILES_PER_BATCH, BATCH_BYTES = 1024, 4 << 20
 
 _COUNTS = "tests string, failures string, errors string, skipped string"
 SHRED_SCHEMA = (
@@ -108,17 +111,16 @@ class _Report:
         }
 
 
-def _shred_one(content: bytes) -> dict:
-    """Raw strings of one report, or the reason why the whole file is refused."""
-    from xml.parsers import expat
+def _refuse(*_):
+    raise ValueError("DTD is not allowed")
 
-    def refuse(*_):
-        raise ValueError("DTD is not allowed")
 
+def _shred_one(content: bytes) -> dict:
+    """Raw strings of one report, or the reason why the whole file is refused."""
     try:
         report = _Report()
         parser = expat.ParserCreate()
-        parser.StartDoctypeDeclHandler = refuse  # fires before any entity expands
+        parser.StartDoctypeDeclHandler = _refuse  # fires before any entity expands
         parser.StartElementHandler, parser.EndElementHandler = report.start, report.end
         parser.CharacterDataHandler = report.text
         parser.buffer_text = True
@@ -130,6 +132,18 @@ def _shred_one(content: bytes) -> dict:
         return {"reason": str(exc)[:200]}
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of at most ``FILES_PER_BATCH`` reports; a part ends with the report that fills ``BATCH_BYTES``."""
+    start = size = 0
+    for i, n in enumerate(pc.binary_length(batch.column("content")).to_pylist()):
+        size += n or 0
+        if size >= BATCH_BYTES or i + 1 - start == FILES_PER_BATCH:
+            yield batch.slice(start, i + 1 - start)
+            start, size = i + 1, 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def shred(files: DataFrame) -> DataFrame:
     """``(path, modificationTime, length, content)`` rows to one raw row per file."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -137,18 +151,13 @@ def shred(files: DataFrame) -> DataFrame:
 
     schema = to_arrow_schema(_parse_datatype_string(SHRED_SCHEMA))
 
+    own = pa.schema([f for f in schema if f.name not in ("path", "modified")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for i in range(batch.num_rows):
-                row = _shred_one(batch["content"][i].as_py())
-                row |= {"path": batch["path"][i].as_py(), "modified": batch["modified"][i].as_py()}
-                rows.append(row)
-                if len(rows) == FILES_PER_BATCH:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            for part in _parts(batch):
+                rows = pa.RecordBatch.from_pylist([_shred_one(content) for content in part.column("content").to_pylist()], schema=own)
+                yield pa.RecordBatch.from_arrays([part.column("path"), part.column("modified"), *rows.columns], schema=schema)
 
     slim = files.select(
         "path", F.col("modificationTime").cast("timestamp_ntz").alias("modified"), "content")

@@ -302,3 +302,29 @@ def test_long_inputs_stay_whole(spark, tmp_path):
         z.writestr("b.txt", "y")
     got = {r.entry: r.reason for r in files.unzip_entries(files._binary(spark, str(tmp_path), "z.zip"), (".txt",), max_entry_bytes=50).collect()}
     assert got == {"a.txt": "entry over the size bound", "b.txt": None}
+
+
+def test_reports_are_handed_back_in_parts_bounded_by_bytes():
+    import pyarrow as pa
+
+    def parts(sizes):
+        return [p.num_rows for p in junit._parts(pa.RecordBatch.from_pydict({"content": pa.array([b"x" * n for n in sizes], pa.binary())}))]
+
+    assert parts([100] * 1000) == [1000]  # small reports share a batch
+    assert parts([10] * (junit.FILES_PER_BATCH + 1)) == [junit.FILES_PER_BATCH, 1]
+    assert parts([junit.BATCH_BYTES, 1, 1, junit.BATCH_BYTES, 5]) == [1, 3, 1]
+    assert parts([]) == []
+
+
+def test_rich_text_is_flattened_in_parts_bounded_by_bytes(spark, monkeypatch):
+    import pyarrow as pa
+
+
+    texts = pa.RecordBatch.from_pydict({"t": pa.array(["x" * issues.PART_BYTES, "a", None, "x" * issues.PART_BYTES, "b"])})
+    assert [p.num_rows for p in issues._parts(texts, "t")] == [1, 3, 1]
+    import json
+
+    doc = '{"d":{"type":"doc","content":[{"type":"paragraph","content":[{"type":"text","text":"é %d"}]}]},"n":%d}'
+    rows = spark.createDataFrame([(i, None if i == 3 else doc % (i, i)) for i in range(7)], "id int, j string")
+    out = {r.id: r.j for r in issues.flatten_rich_text(rows, "j").collect()}
+    assert {i: json.loads(j) for i, j in out.items() if j} == {i: {"d": f"é {i}\n", "n": i} for i in range(7) if i != 3} and out[3] is None
