@@ -176,3 +176,21 @@ def test_a_long_chain_of_overlaps(spark):
         F.lit(1).cast("bigint").alias("line"), F.lit("t").alias("type"), F.lit("x").alias("raw"))
     got = evidence._claim(df, [0, 1]).agg(F.count("*").alias("n"), F.max(F.col("start") % 4).alias("odd")).head()
     assert (got.n, got.odd) == (25_000, 0)
+
+
+def test_gates_of_long_redaction_rules_hide_no_match(spark):
+    """A gated rule runs on a small part of the texts only, and changes what the bare pattern changes."""
+    from reliq.functions import redact
+
+    long = [r for r in redact.RULES if r[0] in redact.PATTERN_GATES]
+    assert [redact.RULES.index(r) for r in long] == [1, 4, 12]
+    odd = ["", "plain prose of no kind", "ghp_" + "a" * 20, "ghs_" + "a" * 20, "github_pat_" + "b" * 20, "AKIA" + "A" * 16, "xoxb-" + "1" * 12, "AIza" + "c" * 30, "sk-" + "d" * 16,
+           "eyJa.b.c", "ATXTT" + "e" * 8, "Bearer " + "f" * 10, "API KEY: a", "apiKey=1", "API-\u212aEY=1", "To\u212aen: x", "\u017fecret: x", "pa\u017f\u017fword = x", "PWD:x", "passwd = y", "ap\u0131_key: z",
+           "CL\u0130ENT_SECRET: q", "Reporter: Ann Lee", "REPORTED BY Ann Lee", "a\u017f\u017fignee: Ann", "ass\u0131gnee: Ann", "ASSIGNED TO: Ann", "owner Ann", "Contact - Ann", "reque\u017fted by Ann", "requester: Ann",
+           "caller: Ann", "created by Ann", "creator: Ann"]
+    rows = spark.createDataFrame([(t,) for t in odd], "t string")
+    for pattern, token in long:
+        gated = redact.bind(F.col("t"), redact._gated(redact.PATTERN_GATES[pattern], pattern, token))
+        got = rows.select("t", gated.alias("a"), F.regexp_replace("t", pattern, token).alias("b")).collect()
+        assert [r.a for r in got] == [r.b for r in got]
+        assert sum(r.a != r.t for r in got) >= 9
