@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reliq.llm.store import free_name, id_text, stored, utf8, words_of
+from reliq.llm.store import free_name, id_text, slices, stored, utf8, words_of, worker_keeps
 
 #: Labelled rows learned from at most (those with the smallest hashed ids), cells of hashed words, rounds of descent.
 LABELLED_ROWS, CELLS, ROUNDS = 20_000, 1 << 16, 25
 #: A text's log-odds grow with the number of its words to this power.
 TEMPER = 0.5
+#: Bytes of text that a worker holds at once.
+_PART = 1 << 20
 
 
 class _Cells(dict):
@@ -46,11 +48,8 @@ class _Cells(dict):
         return cell
 
 
-_CELLS: dict[int, _Cells] = {}
-
-
 def _cells_of(text: bytes, cells: int) -> np.ndarray:
-    known = _CELLS.setdefault(cells, _Cells(cells))
+    known = worker_keeps(("cells", cells), lambda: _Cells(cells))
     words = words_of(text.lower())
     return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
@@ -65,7 +64,7 @@ def learn_domains(docs: DataFrame, labels: DataFrame, domains: list[str], id_col
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((cells, len(domains)), np.int64)
         texts = np.zeros(len(domains), np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text", _PART)):
             for text, domain in zip(utf8(batch.column("text")), batch.column("domain").to_pylist(), strict=True):
                 k = domains.index(domain)
                 total[:, k] += np.bincount(_cells_of(text, cells), minlength=cells)
@@ -98,7 +97,7 @@ def _memberships(texts: list[bytes], prior: np.ndarray, words: np.ndarray) -> tu
 def posteriors(docs: DataFrame, prior: np.ndarray, words: np.ndarray, text_col: str = "text") -> DataFrame:
     """(n_tokens, posterior: array<double>) of every row; tokens are words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text", _PART)):
             n, p = _memberships(utf8(batch.column("text")), prior, words)
             yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(list(p), pa.list_(pa.float64()))], ["n_tokens", "posterior"])
 
@@ -175,7 +174,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], keep: Seq
     steps, _, _ = fit_rates(members, list(weights.values()), rounds, whole=place_whole)
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for every in batches for part in slices(every, every.schema.field(place).name, _PART)):
             n, p = _memberships(utf8(batch.column(place)), prior, words)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(n), pa.array(list(p), pa.list_(pa.float64())),
                                               pa.array(_rates(p, steps, place_whole))], [f.name for f in schema.fields])

@@ -26,12 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reliq.llm.components import components
-from reliq.llm.store import free_name, id_text, slices, stored, utf8, words_of
+from reliq.llm.store import free_name, id_text, slices, stored, utf8, words_of, worker_drops
 
 #: Fingerprints per trie node at the depth where Spark's joins end; smaller nodes meet more others.
 NODE_SIZE = 1 << 16
 #: Fingerprints of one slice of a node, and node pairs walked at once.
-SLICE_SIZE, WALK = 1 << 16, 1 << 18
+SLICE_SIZE, WALK = 1 << 16, 1 << 16
 _MANY = 1 << 15
 #: Bytes of text that a worker holds at once.
 _TEXT_BYTES = 4 << 20
@@ -56,6 +56,7 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, print): the 64-bit fingerprint of every row as a signed long."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_drops()
         for batch in batches:
             prints = np.array([fingerprint(t, shingle, seed) for t in utf8(batch.column("text"))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "print"])
@@ -160,6 +161,7 @@ def linked_prints(prints: DataFrame, budget: int = 2, node_size: int = NODE_SIZE
     second = sliced.join(other, (F.col("node") == F.col("n2")) & (F.col("slice") == F.col("s2"))).select(*key, "print", F.lit(1).alias("side"))
 
     def walk(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        worker_drops()
         values = rows["print"].to_numpy().view(np.uint64)
         a, b = (np.sort(values[(rows["side"] == side).to_numpy()]) for side in (0, 1))
         same = group[0] == group[2] and group[1] == group[3]
@@ -198,7 +200,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Rows of a bucket up to which all its pairs are written out; larger buckets are searched around a pivot.
 BUCKET = 32
 #: Shingles counted at once for the order of rarity, and the most frequent ones that are told to all tasks.
-COUNTED, COMMON = 1 << 21, 1 << 18
+COUNTED, COMMON = 1 << 20, 1 << 18
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 
 
@@ -232,7 +234,9 @@ def _scored(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (part for batch in batches for part in slices(batch, "text", _TEXT_BYTES))
+    worker_drops()
+    for batch in batches:
+        yield from slices(batch, "text", _TEXT_BYTES)
 
 
 def voted(hashes: np.ndarray) -> int:

@@ -4,10 +4,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from reliq.llm import brown, langid, mixing, queries
+from reliq.llm import brown, langid, mixing, queries, simhash, store
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, score double, rate double, _text string"
@@ -218,3 +219,17 @@ def test_rates_of_a_whole_domain_rise_only(spark):
         rates = mixing._rates(p, steps, 0)
         assert rates[:2].min() >= 1 and rates[2] >= 0
     assert rates[2] < 1 or rates[:2].max() > 1
+
+
+def test_workers_hold_the_memory_of_one_operator_and_parts_of_a_batch(monkeypatch):
+    mixing._cells_of(b"a b", 8)
+    assert list(store._HELD) == [("cells", 8)]
+    store.worker_keeps("another", dict)
+    assert list(store._HELD) == ["another"]
+    given_back = []
+    monkeypatch.setattr(store, "give_back", lambda: given_back.append(1))
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * 10] * 5})
+    assert [part.num_rows for part in store.slices(batch, "text", 20)] == [2, 2, 1]
+    assert len(given_back) == 3
+    assert list(simhash._small(iter([]))) == []
+    assert not store._HELD
