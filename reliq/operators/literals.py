@@ -86,7 +86,8 @@ class LiteralIndex:
 
     def matching_texts(self, needles: DataFrame, needle: str = "needle") -> DataFrame:
         """(needle, text_key) for every text that holds the needle; empty and null needles match nothing."""
-        asked = needles.select(F.col(needle).alias("needle")).filter("needle <> ''").distinct()
+        # Written once: of known size, so that it is sent to the pieces of the texts, whose number Spark cannot foresee, and never these to it.
+        asked = materialize(needles.select(F.col(needle).alias("needle")).filter("needle <> ''").distinct(), "needles")
         short = asked.filter(F.char_length("needle") < LENGTH)
         contained = self.texts().select("text_key", F.explode(short_pieces(F.col("text"))).alias("needle")).join(short, "needle").select("needle", "text_key")
         wanted = asked.filter(F.char_length("needle") >= LENGTH).select("needle", F.explode(pieces(F.col("needle"), LENGTH)).alias("piece")).withColumn("bucket", _bucket("piece"))
@@ -107,7 +108,8 @@ class LiteralIndex:
         distinct = keyed.select("_texts", *columns).distinct().select("_texts", F.explode(keys).alias("text_key"))
         # Written once: what reads the matches in several ways joins it to the rows' keys only.
         hits = materialize(distinct.join(self.matching_texts(needles, needle), "text_key").groupBy("_texts").agg(F.collect_set("needle").alias("_needles")), "literal-hits")
-        return keyed.select("_texts", *key).join(hits, "_texts").select(F.explode("_needles").alias("needle"), *key)
+        # Lists of few different needles are far smaller in their files than in memory, so these sizes must not decide on a broadcast.
+        return keyed.select("_texts", *key).join(hits.hint("merge"), "_texts").select(F.explode("_needles").alias("needle"), *key)
 
 
 def build(rows: DataFrame, columns: list[str]) -> LiteralIndex:

@@ -96,3 +96,21 @@ def test_matches_by_terms_and_signals_are_written_once(spark):
     out = stabilize.history_enrichment(triaged, cases)
     assert {f.split("/")[-2].rsplit("-", 1)[0] for f in out.inputFiles()} >= {"signals", "text-hits"}
     assert [(r.log_id, r.signal, r.total_runs, r.failure_count) for r in out.collect()] == [("l1", "expected 1 but got 2", 1, 1)]
+
+
+def test_what_is_broadcast_has_a_known_size(spark, tmp_path):
+    """The pieces of all texts are many more than their files' size says; needles are sent to them, however large what they come from."""
+    index = literals.LiteralIndex(Store(spark, str(tmp_path)))
+    rows = spark.createDataFrame([(i, f"step {i} of test_{i % 7}") for i in range(50)], "id int, a string")
+    index.add(rows, ["a"], 1)
+    needles = spark.range(2_000_000).select((F.col("id") % 30).cast("string").alias("needle"))
+    found = index.matching_texts(needles)
+    lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    for at, line in enumerate(lines):
+        if (depth := line.find("BroadcastExchange")) >= 0:
+            below = next((k for k in range(at + 1, len(lines)) if len(lines[k]) - len(lines[k].lstrip(" :+-*")) <= depth), len(lines))
+            assert not any("Generate explode(flatten" in x for x in lines[at:below]), "\n".join(lines[at:below])
+    want = {(str(n), i) for n in range(30) for i in range(50) if str(n) in f"step {i} of test_{i % 7}"}
+    assert {(r.needle, r.id) for r in index.matching_rows(needles, rows, ["a"], ["id"]).collect()} == want
+    joins = index.matching_rows(needles, rows, ["a"], ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in joins and "BroadcastHashJoin" not in joins
