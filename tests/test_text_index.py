@@ -121,6 +121,24 @@ def test_similar_patterns_equal_brute_force(spark):
     assert {(r.project, r.wanted, r.signature) for r in got.collect()} == expected and len(expected) > 20
 
 
+def test_similar_patterns_write_no_pairs_and_blocks_agree_with_one_search(spark, monkeypatch):
+    """Every pattern shares its words with every failure: what is written stays as long as the tables, and ties keep the order of signatures."""
+    from reliq.operators import triage
+
+    stored = [(f"p{i % 2}", f"s{i:03d}", "data", i, " ".join([f"alpha{i % 3}", f"beta{i % 5}"] * (1 + i % 2) + ["gamma"] * (i % 4))) for i in range(240)]
+    asked = [(f"p{i % 2}", f"w{i}", [f"alpha{i % 3}", f"beta{i % 5}", "gamma"]) for i in range(60)]
+    patterns = spark.createDataFrame(stored, "project string, signature string, category string, occurrences int, sample string")
+    wanted = spark.createDataFrame(asked, "project string, wanted string, tokens array<string>")
+    whole = triage.similar_patterns(wanted, patterns).collect()
+    written = []
+    keep = search.materialize
+    monkeypatch.setattr(search, "materialize", lambda df, name: written.append(keep(df, name)) or written[-1])
+    for name, n in (("ASKED_BLOCK", 7), ("PATTERN_BLOCK", 16), ("LEAST_BLOCK", 16)):
+        monkeypatch.setattr(triage, name, n, raising=False)
+    assert sorted(triage.similar_patterns(wanted, patterns).collect()) == sorted(whole) and len(whole) == 60
+    assert max(t.count() for t in written) <= 240
+
+
 def test_terms_that_cannot_reach_the_best_are_not_opened(spark, tmp_path, monkeypatch):
     index = text_index.TextIndex(Store(spark, str(tmp_path)), "docs")
     docs = {f"d{i}": "the of " + "x1 " * (i % 50 == 0) + f"w{i}" for i in range(400)}
