@@ -132,3 +132,48 @@ def test_a_sync_writes_changed_rows_only(landed, spark, tmp_path):
     assert index(store) == {f"K{i}": "1.again.json" for i in range(0, 300, 2)}
     new = set((tmp_path / "db" / "incidents").rglob("*.parquet")) - before
     assert sum(spark.read.parquet(str(f)).count() for f in new) == 300  # 150 changed rows, 150 removed keys
+
+
+def test_batches_share_expressions_and_list_by_few_tasks(landed, spark, tmp_path, monkeypatch):
+    """The expressions that read an issue are made for a stream and not for each of its batches; pages are parsed once, and listed by few tasks."""
+    from reliq.functions import issues
+    from reliq.operators import incidents
+
+    store, page, _ = landed
+    for n in range(1, 5):
+        page(f"{n}.json", f"K{n}", description={"type": "doc", "content": [{"type": "text", "text": f"body {n}"}]}, following=None if n == 4 else "x")
+    calls = {"field_text": 0, "checked": 0}
+
+    def counted(name, fn):
+        def call(*args, **more):
+            calls[name] += 1
+            return fn(*args, **more)
+        return call
+
+    monkeypatch.setattr(issues, "field_text", counted("field_text", issues.field_text))
+    monkeypatch.setattr(ingest, "materialize", counted("checked", ingest.materialize))
+    incidents.map_issues(spark.createDataFrame([("p", "[]")], "page_id string, t string").select("page_id", F.parse_json("t").cast("array<variant>").alias("issues")))
+    made, calls["field_text"] = calls["field_text"], 0
+    ingest.stream_incidents(spark, str(tmp_path / "pages"), store, str(tmp_path), "q", NOW, max_pages=1).awaitTermination()
+    assert calls["field_text"] == made and calls["checked"] == 4
+    assert int(spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")) <= 4 * spark.sparkContext.defaultParallelism
+    assert {r.key: r.body for r in store.read("incidents").collect()} == {f"K{n}": f"body {n}" for n in range(1, 5)}
+
+
+def test_strip_of_long_texts_is_strip(spark):
+    from reliq.functions import text as X
+
+    odd = ["", " ", "a", " a", "a ", "a b", " a ", " a", "a ", "a\n", "a\r\n", "\x85a\x85", "😀 ", " 😀", "😀", "a​", "\x1ca\x1f", "\n\na\nb\n\n", None]
+    rows = spark.createDataFrame([(x,) for x in odd], "x string").select(X.strip(F.col("x")).alias("a"), X.strip_long(F.col("x")).alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] and rows[2].a == "a"
+
+
+def test_root_cause_line_is_found_in_any_case(spark):
+    from reliq.functions import issues
+
+    bodies = ["x\nROOT Cause: the disk\ny", "Root\tcauſe - long s", "no such line", "root of it", "", None]
+    frame = spark.createDataFrame([(b,) for b in bodies], "body string")
+    none = F.array().cast("array<string>")
+    got = frame.select(issues.root_cause(F.create_map().cast("map<string,variant>"), none, F.col("body")).alias("c")).collect()
+    want = frame.select(F.coalesce(F.nullif(F.trim(F.regexp_extract("body", issues.ROOT_CAUSE_LINE, 1)), F.lit("")), F.lit("")).alias("c")).collect()
+    assert got == want and got[0].c == "the disk"
