@@ -50,3 +50,23 @@ def test_chain_on_nothing(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, SF), name)
         assert docs.count() == 0
+
+
+def test_stages_send_small_batches_to_python(spark):
+    import corpus_pipeline
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(i, f"some words of text {i} " * 40_000, "en", "s", 1) for i in range(8)], "doc_id long, text string, lang string, source string, n_chars int")
+    try:
+        spark.conf.set(name, "64m")
+        encoded = corpus_pipeline.tokenize(spark, docs.coalesce(1), "")
+        assert int(spark.conf.get(name).rstrip("b")) == 4 << 20
+        sizes = docs.coalesce(1).select("text").mapInArrow(lambda batches: (type(b).from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+        assert len(sizes) > 1 and max(r.n for r in sizes) < 8 << 20
+        assert {r.doc_id for r in encoded.select("doc_id").collect()} == set(range(8))
+        spark.conf.set(name, "1m")
+        corpus_pipeline._small_batches(spark)
+        assert spark.conf.get(name) == "1m"  # a smaller setting is kept
+    finally:
+        spark.conf.set(name, before)
